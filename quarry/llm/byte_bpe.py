@@ -1,23 +1,32 @@
 """Whole texts to token ids with a byte-level BPE file of the ``tokenizers`` library.
 
-The pre-tokeniser never joins a space that stands between two visible characters to
-what is before it, so a text may be cut before each such space and every piece encoded
-by itself.  Pieces repeat a lot: each distinct one is encoded once by the library and
-kept in a bounded table, which gives the ids of the whole text at a fraction of the cost.
+The pre-tokeniser of these files always ends a token before a space that stands between
+two visible characters, and before a mark of ``,.;:!?`` that follows a letter.  A text is
+cut there, with vector operations over the bytes of a whole block of texts, and each
+distinct piece is encoded once by the library.  Pieces are known by a 64-bit hash in
+sorted arrays that a worker keeps from block to block, up to a bound.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+
+from .textvec import buffer_of, hash_spans
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Spaces between characters that no definition of white space or control contains.
-CUT = re.compile(r" (?<=[!-~À-ɏ] )(?=[!-~À-ɏ])")
-#: Distinct pieces kept by a worker, and the longest piece kept.
-KEPT, LONGEST = 200_000, 64
+#: Distinct pieces that a worker keeps; beyond, it starts anew.
+KEPT = 2_000_000
+#: Pieces that go through the library in one text.
+TOGETHER = 2000
+
+_BYTE = np.arange(256)
+_ASCII = (_BYTE > 0x20) & (_BYTE < 0x7F)
+_LETTER = ((_BYTE | 0x20) >= 0x61) & ((_BYTE | 0x20) <= 0x7A)
+_LEAD = (_BYTE >= 0xC3) & (_BYTE <= 0xC9)  # of U+00C0 to U+027F, letters but for two signs
+_MARK = np.isin(_BYTE, np.frombuffer(b",.;:!?", np.uint8))
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -26,49 +35,131 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def piece_starts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where the pieces of a buffer of texts start: at each text's first byte and at each cut."""
+    cut = np.zeros(len(raw) + 1, bool)
+    if len(raw) > 2:
+        before, here, after = raw[:-2], raw[1:-1], raw[2:]
+        two = np.zeros(len(raw) - 2, bool)  # the two bytes before are such a letter
+        sign = (before == 0x97) | (before == 0xB7)
+        two[1:] = _LEAD[raw[:-3]] & ~((raw[:-3] == 0xC3) & sign[1:])
+        sure = two | _ASCII[before]
+        space = (here == 0x20) & sure & (_ASCII[after] | _LEAD[after])
+        mark = _MARK[here] & (two | _LETTER[before])
+        cut[1:-2] = space | mark
+    cut[bounds] = True
+    return np.flatnonzero(cut[:-1])
+
+
 class Encoder:
-    """``ids(text)`` gives the ids of the whole text as little-endian bytes of ``dtype``."""
+    """Encodes blocks of texts; keep one for a worker process."""
 
-    def __init__(self, path: str | None = None, dtype: str = "<u2"):
+    def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or vocabulary_path())
         self.tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype(dtype)
-        self.kept: dict[str, bytes] = {}
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
-
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of every text; a null text counts as empty."""
-        kept = self.kept
-        if len(kept) > KEPT:
-            kept.clear()
-        cut = [CUT.split(t) if t else [] for t in texts]
-        heads = self._encode([c[0] for c in cut if c])
-        new = {p for c in cut for p in c[1:]}.difference(kept)
-        new = list(new)
-        found = dict(zip(new, self._encode([" " + p for p in new])))
-        own = {p: b for p, b in found.items() if len(p) > LONGEST}
-        kept.update((p, b) for p, b in found.items() if len(p) <= LONGEST)
-        if own:
-            look = lambda p: kept.get(p) or own[p]
-        else:
-            look = kept.__getitem__
-        out, head = [], iter(heads)
-        for c in cut:
-            out.append(b"".join([next(head), *map(look, c[1:])]) if c else b"")
-        return out
-
-
-_encoders: dict[tuple, Encoder] = {}
-
-
-def encoder(path: str, dtype: str = "<u2") -> Encoder:
-    """The encoder of this worker process."""
-    if (path, dtype) not in _encoders:
-        _encoders[path, dtype] = Encoder(path, dtype)
-    return _encoders[path, dtype]
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
+        self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():  # a character of a token stands for a byte
+            self.bytes_of[i] = len(token)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Two levels of sorted hashes, a large one and one of what came since."""
+        empty = lambda: (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+        self.levels = [empty(), empty()]
+        self.ids = np.empty(1 << 20, self.dtype)
+        self.used = 0
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encode pieces and append their ids; returns where and how many."""
+        sizes, counts = ends - starts, np.zeros(len(starts), np.int64)
+        data, parts, order = raw.tobytes() if len(starts) else b"", [], []
+        spaced = raw[starts] == 0x20
+        alone = np.flatnonzero(~spaced)
+        for i, ids in zip(alone, self._library([data[a:b].decode() for a, b in zip(starts[alone], ends[alone])])):
+            counts[i] = len(ids)
+            parts.append(ids)
+        order.append(alone)
+        joined = np.flatnonzero(spaced)
+        for at in range(0, len(joined), TOGETHER):
+            some = joined[at: at + TOGETHER]
+            ids = self._library([b"".join([data[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist())]).decode()])[0]
+            want, done = np.cumsum(sizes[some]), np.cumsum(self.bytes_of[ids])
+            to = np.searchsorted(done, want) + 1
+            if not np.array_equal(done[to - 1], want):
+                raise ValueError("a token crosses a border between pieces")
+            counts[some] = np.diff(to, prepend=0)
+            parts.append(ids)
+            order.append(some)
+        all_ids = np.concatenate(parts) if parts else np.empty(0, self.dtype)
+        if self.used + len(all_ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * (self.used + len(all_ids)))
+        self.ids[self.used: self.used + len(all_ids)] = all_ids
+        rank = np.concatenate(order)
+        at = np.empty(len(starts), np.int64)
+        at[rank] = self.used + np.cumsum(counts[rank]) - counts[rank]
+        self.used += len(all_ids)
+        return at, counts
+
+    def _merge(self, level: int, more: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        both = [np.concatenate(x) for x in zip(self.levels[level], more)]
+        rank = np.argsort(both[0], kind="stable")
+        self.levels[level] = tuple(x[rank] for x in both)
+
+    def flat(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array and the bounds of each text in it; ``end`` is
+        put after each text if given.  A null text counts as empty."""
+        if len(self.levels[0][0]) > KEPT:
+            self._forget()
+        raw, bounds = buffer_of(texts)  # with a newline after each text, which isn't part of it
+        n = len(bounds) - 1
+        starts = piece_starts(raw, bounds)
+        ends = np.append(starts[1:], len(raw))
+        last = np.searchsorted(starts, bounds[1:]) - 1
+        ends[last] -= 1
+        hashes = hash_spans(raw, starts, ends, lower=False)
+        keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        where, count, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        for have, offsets, counts in self.levels:
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                hit = have[at] == keys
+                where[hit], count[hit] = offsets[at[hit]], counts[at[hit]]
+                known |= hit
+        new = np.flatnonzero(~known)
+        if len(new):
+            where[new], count[new] = self._new(raw, starts[first[new]], ends[first[new]])
+            self._merge(1, (keys[new], where[new], count[new]))
+            if 4 * len(self.levels[1][0]) > len(self.levels[0][0]):
+                self._merge(0, self.levels[1])
+                self.levels[1] = tuple(x[:0] for x in self.levels[1])
+        long = count[which]
+        total = np.cumsum(long)
+        out_bounds = np.concatenate(([0], total[last])) if n else np.zeros(1, np.int64)
+        index = np.arange(total[-1] if len(total) else 0) + np.repeat(where[which] - total + long, long)
+        ids = self.ids[index]
+        if end is not None:
+            full = np.empty(len(ids) + n, self.dtype)
+            out_bounds = out_bounds + np.arange(n + 1)
+            mark = np.zeros(len(full), bool)
+            mark[out_bounds[1:] - 1] = True
+            full[mark] = end
+            full[~mark] = ids
+            ids = full
+        return ids, out_bounds
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this worker process, kept from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]

@@ -33,25 +33,24 @@ BLOCK_IDS = 1 << 20
 
 def write_flat(documents: DataFrame, path: str, vocabulary: str | None = None, separator: int = SEPARATOR) -> DataFrame:
     """Encode ``documents`` as they lie, one flat file per partition, a separator after each
-    document.  Returns ``uri, n_ids, doc_ids``: the documents of a file in their order,
-    in rows of at most one Arrow batch, numbered by ``batch`` and ``first``."""
+    document.  Returns ``uri, n_ids, ordinal, doc_id``: which document is where in its file."""
     spark = documents.sparkSession
     vocabulary = vocabulary or byte_bpe.vocabulary_path()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, names, total = byte_bpe.Encoder(vocabulary), [], 0
-        end = np.array([separator], coder.dtype).tobytes()
+        coder, names, total = byte_bpe.encoder(vocabulary), [], 0
+        if coder.dtype.itemsize != WIDTH:
+            raise ValueError(f"ids of this vocabulary don't fit {WIDTH} bytes")
         uri = f"{path}/{uuid.uuid4().hex}.ids"
 
         def ids() -> Iterator[bytes]:
             nonlocal total
             for batch in batches:
                 for piece in slices(batch):
-                    names.append(piece.column("doc_id").to_numpy(zero_copy_only=False) if not piece.column("doc_id").null_count else piece.column("doc_id").to_pylist())
-                    for x in coder.batch(piece.column("text").to_pylist()):
-                        total += len(x) // WIDTH + 1
-                        yield x
-                        yield end
+                    names.append(piece.column("doc_id"))
+                    found, _ = coder.flat(piece.column("text"), separator)
+                    total += len(found)
+                    yield found.tobytes()
 
         feed = ids()
         first = next(feed, None)
@@ -61,7 +60,7 @@ def write_flat(documents: DataFrame, path: str, vocabulary: str | None = None, s
         at = 0
         for part in names:
             n = len(part)
-            yield pa.record_batch({"uri": pa.array([uri] * n), "n_ids": pa.array([total] * n, pa.int64()), "ordinal": pa.array(np.arange(at, at + n)), "doc_id": pa.array(part, pa.int64())})
+            yield pa.record_batch({"uri": pa.array([uri] * n), "n_ids": pa.array([total] * n, pa.int64()), "ordinal": pa.array(np.arange(at, at + n)), "doc_id": part})
             at += n
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,16 +41,16 @@ MANIFEST = "part int, lo long, ids_uri string, idx_uri string, n_docs long, n_id
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def write_pair(uri: str, width: int, ids: Iterator[bytes], lengths: list[int], doc_ids: list[int | None]) -> tuple[str, str, int]:
+def write_pair(uri: str, width: int, chunks: Iterator[bytes], lengths: list[np.ndarray], doc_ids: list[pa.Array]) -> tuple[str, str, int, int]:
+    """Write one ids file from ``chunks`` and its index; ``lengths`` and ``doc_ids`` fill up as chunks are drawn."""
     name = f"{uri}-{uuid.uuid4().hex[:12]}"
-    write_file(f"{name}.ids", ids)
-    ends = np.zeros(len(lengths) + 1, "<u8")
-    np.cumsum(lengths, out=ends[1:])
-    head = MAGIC + np.array([width, len(lengths), ends[-1]], "<u8").tobytes()
-    keys = np.array([0 if x is None else x for x in doc_ids], "<i8")
-    nulls = np.array([x is None for x in doc_ids], "u1")
-    write_file(f"{name}.idx", [head, ends.tobytes(), keys.tobytes(), nulls.tobytes()])
-    return f"{name}.ids", f"{name}.idx", int(ends[-1])
+    write_file(f"{name}.ids", chunks)
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype("<u8")
+    keys = pa.chunked_array(doc_ids)
+    plain = pc.fill_null(keys, 0).to_numpy().astype("<i8")
+    head = MAGIC + np.array([width, len(plain), ends[-1]], "<u8").tobytes()
+    write_file(f"{name}.idx", [head, ends.tobytes(), plain.tobytes(), pc.is_null(keys).to_numpy().astype("u1").tobytes()])
+    return f"{name}.ids", f"{name}.idx", len(plain), int(ends[-1])
 
 
 def read_index(uri: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,30 +84,25 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str | None = None,
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        coder = byte_bpe.Encoder(vocabulary)
-        wide = 2 if max(coder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        coder.dtype = np.dtype(f"<u{wide}")
-        end, lengths, doc_ids = np.array([end_id], coder.dtype).tobytes(), [], []
+        coder, lengths, doc_ids = byte_bpe.encoder(vocabulary), [], []
 
         def ids() -> Iterator[bytes]:
             for batch in batches:
                 for piece in slices(batch):
-                    doc_ids.extend(piece.column("doc_id").to_pylist())
-                    for x in coder.batch(piece.column("text").to_pylist()):
-                        lengths.append(len(x) // wide + 1)
-                        yield x
-                        yield end
+                    found, bounds = coder.flat(piece.column("text"), end_id)
+                    lengths.append(np.diff(bounds))
+                    doc_ids.append(piece.column("doc_id"))
+                    yield found.tobytes()
 
         feed = ids()
         first = next(feed, None)
         if first is None:
             return
-        chained = (x for source in ([first], feed) for x in source)
-        ids_uri, idx_uri, total = write_pair(f"{path}/part-{part:06d}", wide, chained, lengths, doc_ids)
-        lo = next((x for x in doc_ids if x is not None), None)
-        yield pa.RecordBatch.from_pylist(
-            [{"part": part, "lo": lo, "ids_uri": ids_uri, "idx_uri": idx_uri, "n_docs": len(doc_ids), "n_ids": total}],
-            schema=pa.schema([("part", pa.int32()), ("lo", pa.int64()), ("ids_uri", pa.string()), ("idx_uri", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+        chunks = (x for source in ([first], feed) for x in source)
+        ids_uri, idx_uri, n_docs, n_ids = write_pair(f"{path}/part-{part:06d}", coder.dtype.itemsize, chunks, lengths, doc_ids)
+        row = {"part": part, "lo": pc.min(pa.chunked_array(doc_ids)).as_py(), "ids_uri": ids_uri, "idx_uri": idx_uri, "n_docs": n_docs, "n_ids": n_ids}
+        yield pa.RecordBatch.from_pylist([row], schema=pa.schema([
+            ("part", pa.int32()), ("lo", pa.int64()), ("ids_uri", pa.string()), ("idx_uri", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     # Written at once: the writing task must not run again with another outcome.
     rows.mapInArrow(write, MANIFEST).write.parquet(f"{path}/written")
