@@ -142,12 +142,13 @@ def slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS, block_words: int =
     won = draws.join(ranges, ["last", "bin"]).where((F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi")))
     won = won.groupBy("src", "shard").agg(F.count("*").alias("extra"))
 
-    counts = shards.join(plan.select("last", "src", "granted", "n_blocks"), "last").join(won, ["src", "shard"], "left")
+    counts = shards.join(plan.select("last", "src", "granted", "n_blocks"), "last").join(won.hint("merge"), ["src", "shard"], "left")
     counts = counts.withColumn("n", F.col("granted") + F.coalesce(F.col("extra"), F.lit(0)))
     before = Window.partitionBy("src").orderBy("shard")
     counts = counts.withColumn("first", F.sum("n").over(before) - F.col("n"))
     stop = F.least(F.col("first") + F.col("n"), F.col("n_blocks") * REPEATS)
-    filled = counts.where(F.col("first") < stop).withColumn("slot", F.explode(F.sequence(F.col("first"), stop - 1)))
+    # Spread again: a source's shards came together above only to be numbered.
+    filled = counts.where(F.col("first") < stop).repartition("src", "shard").withColumn("slot", F.explode(F.sequence(F.col("first"), stop - 1)))
     filled = filled.withColumns({"pass": F.floor(F.col("slot") / F.col("n_blocks")), "index": F.col("slot") % F.col("n_blocks")})
     key = F.xxhash64(F.lit(seed), F.col("src"), F.col("pass"))
     return filled.withColumn("block", permuted(F.col("index"), F.col("n_blocks"), key)).select("shard", "src", "slot", "pass", "block")
@@ -172,7 +173,8 @@ def taken_words(documents: DataFrame, **options) -> DataFrame:
     """``doc_id, size, source_size, target, taken``: one row per row of ``documents``."""
     sources, pieces, filled = mix(documents, **options)
     times = filled.groupBy("src", "block").agg(F.count("*").alias("times"))
-    took = pieces.join(times, ["src", "block"], "left")
+    # Sizes after explode() are underestimated, so these joins must not choose to broadcast.
+    took = pieces.join(times.hint("merge"), ["src", "block"], "left")
     took = took.groupBy("src", "bucket", "seq", "doc_id", "size").agg(F.sum(F.col("n_words") * F.coalesce(F.col("times"), F.lit(0))).alias("taken"))
     return took.join(sources, "src").select("doc_id", "size", "source_size", "target", "taken")
 
@@ -182,10 +184,10 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     blocks that the pass takes, with the white space that follows each; ``n_chars`` is
     the new length.  Documents of which a pass takes nothing have no row for it."""
     _, pieces, filled = mix(documents, **options)
-    took = pieces.where("block IS NOT NULL").join(filled.select("src", "block", "pass"), ["src", "block"])
+    took = pieces.where("block IS NOT NULL").join(filled.select("src", "block", "pass").hint("merge"), ["src", "block"])
     took = took.groupBy("src", "bucket", "seq", "pass").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("spans"))
     rows = documents.withColumns({"src": _source_key(F.col("source")), "size": word_count(F.col("text")), "tie": F.xxhash64("text")})
-    rows = place(rows).join(took, ["src", "bucket", "seq"])
+    rows = place(rows).join(took.hint("merge"), ["src", "bucket", "seq"])
     # Words with the white space after them; white space before the first word stays with it.
     lead = F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)
     units = F.split(F.substring(F.col("text"), F.length(lead) + 1, F.length("text")), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
