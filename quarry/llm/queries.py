@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, minhash, mixing, quality, token_counts, token_files, toxicity
+from . import chat, minhash, mixing, pivot_index, quality, token_counts, token_files, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op7_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op8_pivot_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_read(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_rules, op4_chat_formatting, op5_token_counts, op6_toxicity, op7_minhash_near_duplicates,
-        op9_source_mixing, op10_token_files)
+        op8_pivot_near_vectors, op9_source_mixing, op10_token_files)
 }
 
 ORACLE_SQL: dict[str, str] = {
