@@ -3,8 +3,7 @@
 The pre-tokeniser of these files always ends a token before a space that stands between
 two visible characters, and before a mark of ``,.;:!?`` that follows a letter.  A text is
 cut there, with vector operations over the bytes of a whole block of texts, and each
-distinct piece is encoded once by the library.  Pieces are known by a 64-bit hash in
-sorted arrays that a worker keeps from block to block, up to a bound.
+distinct piece is encoded once by the library and kept in a bounded table.
 """
 
 from __future__ import annotations
@@ -14,11 +13,10 @@ import os
 import numpy as np
 import pyarrow as pa
 
+from .piece_table import PieceTable
 from .textvec import buffer_of, hash_spans
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Distinct pieces that a worker keeps; beyond, it starts anew.
-KEPT = 2_000_000
 #: Pieces that go through the library in one text.
 TOGETHER = 2000
 
@@ -64,22 +62,15 @@ class Encoder:
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():  # a character of a token stands for a byte
             self.bytes_of[i] = len(token)
-        self._forget()
-
-    def _forget(self) -> None:
-        """Two levels of sorted hashes, a large one and one of what came since."""
-        empty = lambda: (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
-        self.levels = [empty(), empty()]
-        self.ids = np.empty(1 << 20, self.dtype)
-        self.used = 0
+        self.table = PieceTable(self.dtype)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _new(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Encode pieces and append their ids; returns where and how many."""
+        """All ids of some pieces in order, and the number for each."""
         sizes, counts = ends - starts, np.zeros(len(starts), np.int64)
-        data, parts, order = raw.tobytes() if len(starts) else b"", [], []
+        data, parts, order = raw.tobytes(), [], []
         spaced = raw[starts] == 0x20
         alone = np.flatnonzero(~spaced)
         for i, ids in zip(alone, self._library([data[a:b].decode() for a, b in zip(starts[alone], ends[alone])])):
@@ -97,26 +88,16 @@ class Encoder:
             counts[some] = np.diff(to, prepend=0)
             parts.append(ids)
             order.append(some)
-        all_ids = np.concatenate(parts) if parts else np.empty(0, self.dtype)
-        if self.used + len(all_ids) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * (self.used + len(all_ids)))
-        self.ids[self.used: self.used + len(all_ids)] = all_ids
         rank = np.concatenate(order)
-        at = np.empty(len(starts), np.int64)
-        at[rank] = self.used + np.cumsum(counts[rank]) - counts[rank]
-        self.used += len(all_ids)
-        return at, counts
-
-    def _merge(self, level: int, more: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        both = [np.concatenate(x) for x in zip(self.levels[level], more)]
-        rank = np.argsort(both[0], kind="stable")
-        self.levels[level] = tuple(x[rank] for x in both)
+        ids = np.concatenate(parts) if parts else np.empty(0, self.dtype)
+        begins = np.empty(len(starts), np.int64)
+        begins[rank] = np.cumsum(counts[rank]) - counts[rank]
+        total = np.cumsum(counts)
+        return ids[np.arange(len(ids)) + np.repeat(begins - total + counts, counts)], counts
 
     def flat(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array and the bounds of each text in it; ``end`` is
         put after each text if given.  A null text counts as empty."""
-        if len(self.levels[0][0]) > KEPT:
-            self._forget()
         raw, bounds = buffer_of(texts)  # with a newline after each text, which isn't part of it
         n = len(bounds) - 1
         starts = piece_starts(raw, bounds)
@@ -124,26 +105,8 @@ class Encoder:
         last = np.searchsorted(starts, bounds[1:]) - 1
         ends[last] -= 1
         hashes = hash_spans(raw, starts, ends, lower=False)
-        keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        where, count, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        for have, offsets, counts in self.levels:
-            if len(have):
-                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-                hit = have[at] == keys
-                where[hit], count[hit] = offsets[at[hit]], counts[at[hit]]
-                known |= hit
-        new = np.flatnonzero(~known)
-        if len(new):
-            where[new], count[new] = self._new(raw, starts[first[new]], ends[first[new]])
-            self._merge(1, (keys[new], where[new], count[new]))
-            if 4 * len(self.levels[1][0]) > len(self.levels[0][0]):
-                self._merge(0, self.levels[1])
-                self.levels[1] = tuple(x[:0] for x in self.levels[1])
-        long = count[which]
-        total = np.cumsum(long)
+        ids, total = self.table.expand(hashes, lambda at: self._new(raw, starts[at], ends[at]))
         out_bounds = np.concatenate(([0], total[last])) if n else np.zeros(1, np.int64)
-        index = np.arange(total[-1] if len(total) else 0) + np.repeat(where[which] - total + long, long)
-        ids = self.ids[index]
         if end is not None:
             full = np.empty(len(ids) + n, self.dtype)
             out_bounds = out_bounds + np.arange(n + 1)

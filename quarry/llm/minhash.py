@@ -290,7 +290,10 @@ def near_duplicates(documents: DataFrame, size: int = WORDS, percent: int = PERC
 
 def kept_documents(documents: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each group of near duplicates, with its own columns: the one with
-    the least doc_id, and of rows that share it one."""
-    found = near_duplicates(documents, size, percent).where("kept").select(F.col("doc_id").alias("keep_id")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id"))
-    return documents.join(found.hint("merge"), same, "left_semi").dropDuplicates(["doc_id"])
+    the least doc_id, and of rows that share it the one whose text has the least hash.
+    Rows without a doc_id all stay."""
+    found = near_duplicates(documents, size, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("keep_id")).distinct()
+    named = documents.where("doc_id IS NOT NULL").join(found.hint("merge"), F.col("doc_id").cast("long") == F.col("keep_id"), "left_semi")
+    row = F.struct(*(F.col(c) for c in documents.columns))
+    one = named.groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text", row.cast("string"))).alias("row")).select("row.*")
+    return one.unionByName(documents.where("doc_id IS NULL"))
