@@ -292,8 +292,11 @@ def kept_documents(documents: DataFrame, size: int = WORDS, percent: int = PERCE
     """One document of each group of near duplicates, with its own columns: the one with
     the least doc_id, and of rows that share it the one whose text has the least hash.
     Rows without a doc_id all stay."""
-    found = near_duplicates(documents, size, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("keep_id")).distinct()
-    named = documents.where("doc_id IS NOT NULL").join(found.hint("merge"), F.col("doc_id").cast("long") == F.col("keep_id"), "left_semi")
-    row = F.struct(*(F.col(c) for c in documents.columns))
-    one = named.groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text", row.cast("string"))).alias("row")).select("row.*")
-    return one.unionByName(documents.where("doc_id IS NULL"))
+    found = near_duplicates(documents, size, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("keep")).distinct()
+    # The input's columns stay in one struct, so their names can't clash with those used here.
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text", row.cast("string")).alias("tie"), row.alias("row"))
+    named = rows.join(found.hint("merge"), F.col("id") == F.col("keep"), "left_semi")
+    one = named.groupBy("id").agg(F.min_by("row", "tie").alias("row")).select("row")
+    both = one.unionByName(rows.where("id IS NULL").select("row"))
+    return both.select(*(F.col("row").getField(c).alias(c) for c in documents.columns))
