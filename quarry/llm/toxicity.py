@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .textvec import buffer_of, hash_spans, mix, slices, word_spans
 
 FOLDS = 5
-POSITIVES, UNLABELLED = 3000, 6000
+POSITIVES, UNLABELLED = 2000, 4000
 BITS, PREFIXES = 18, (None, 5, 6, 7)
 SCREEN, RIDGE, STEPS, RATE = 4.0, 1e-4, 200, 0.05
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
@@ -75,18 +75,35 @@ class Linear:
 class Sparse:
     """Rows of (id, value) in one array each, with the sums a gradient step needs."""
 
+    CHUNK = 1 << 19
+
     def __init__(self, bounds: np.ndarray, ids: np.ndarray, values: np.ndarray):
         self.bounds, self.ids, self.values = bounds, ids, values
         self.n = len(bounds) - 1
 
+    def _chunks(self) -> Iterator[slice]:
+        for at in range(0, len(self.ids), self.CHUNK):
+            yield slice(at, at + self.CHUNK)
+
     def moments(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        mean = np.bincount(self.ids, self.values, minlength=size) / max(1, self.n)
-        return mean, np.bincount(self.ids, self.values ** 2, minlength=size) / max(1, self.n) - mean ** 2
+        first, second = np.zeros(size), np.zeros(size)
+        for part in self._chunks():
+            values = self.values[part].astype(np.float64)
+            first += np.bincount(self.ids[part], values, minlength=size)
+            second += np.bincount(self.ids[part], values * values, minlength=size)
+        mean = first / max(1, self.n)
+        return mean, second / max(1, self.n) - mean ** 2
 
     def only(self, place: np.ndarray) -> Sparse:
-        to = place[self.ids]
-        keep = to >= 0
-        return Sparse(np.concatenate(([0], np.cumsum(keep)))[self.bounds], to[keep], self.values[keep])
+        """The entries whose id has a place, under that place."""
+        ids, values, keep = [], [], np.zeros(len(self.ids) + 1, np.int32)
+        for part in self._chunks():
+            to = place[self.ids[part]]
+            ids.append(to[to >= 0])
+            values.append(self.values[part][to >= 0])
+            keep[1:][part] = to >= 0
+        empty = [np.empty(0, np.int64)]
+        return Sparse(np.cumsum(keep, dtype=np.int64)[self.bounds], np.concatenate(ids or empty), np.concatenate(values or empty).astype(np.float64))
 
     def times(self, weights: np.ndarray) -> np.ndarray:
         total = np.concatenate(([0.0], np.cumsum(weights[self.ids] * self.values)))[self.bounds]
@@ -142,13 +159,17 @@ def _collect(rows: DataFrame) -> Sparse:
                     "ids": pa.ListArray.from_arrays(to, pa.array(ids.astype(np.int32))),
                     "vals": pa.ListArray.from_arrays(to, pa.array(values.astype(np.float32)))})
 
-    table = rows.select("text").mapInArrow(extract, "ids array<int>, vals array<float>").toArrow().combine_chunks()
-    lists = [table.column(c).combine_chunks() for c in ("ids", "vals")]
-    lists = [x.chunk(0) if isinstance(x, pa.ChunkedArray) and x.num_chunks else x for x in lists]
-    if not table.num_rows:
-        return Sparse(np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0))
-    sizes = np.diff(lists[0].offsets.to_numpy())
-    return Sparse(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), lists[0].flatten().to_numpy().astype(np.int64), lists[1].flatten().to_numpy().astype(np.float64))
+    table = rows.select("text").mapInArrow(extract, "ids array<int>, vals array<float>").toArrow()
+    bounds, ids, values = [np.zeros(1, np.int64)], [], []
+    for batch in table.to_batches():
+        found = batch.column("ids")
+        offsets = found.offsets.to_numpy().astype(np.int64)
+        bounds.append(bounds[-1][-1] + offsets[1:] - offsets[0])
+        ids.append(found.flatten().to_numpy())
+        values.append(batch.column("vals").flatten().to_numpy())
+    if not ids:
+        return Sparse(np.zeros(1, np.int64), np.empty(0, np.int32), np.empty(0, np.float32))
+    return Sparse(np.concatenate(bounds), np.concatenate(ids), np.concatenate(values))
 
 
 def train(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Linear:
