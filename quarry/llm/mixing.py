@@ -186,14 +186,19 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     _, pieces, filled = mix(documents, **options)
     took = pieces.where("block IS NOT NULL").join(filled.select("src", "block", "pass").hint("merge"), ["src", "block"])
     took = took.groupBy("src", "bucket", "seq", "pass").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("spans"))
-    rows = documents.withColumns({"src": _source_key(F.col("source")), "size": word_count(F.col("text")), "tie": F.xxhash64("text")})
+    # The input's columns stay in one struct, so their names can't clash with those used here.
+    whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("whole")
+    rows = documents.select(whole, "doc_id", "text", _source_key(F.col("source")).alias("src"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
     rows = place(rows).join(took.hint("merge"), ["src", "bucket", "seq"])
     # Words with the white space after them; white space before the first word stays with it.
     lead = F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)
     units = F.split(F.substring(F.col("text"), F.length(lead) + 1, F.length("text")), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    rows = rows.withColumns({"lead": lead, "units": units})
+    # explode() of one array keeps the optimiser from splitting the text again for each span.
+    rows = rows.withColumn("lead", lead).withColumn("units", F.explode(F.array(units)))
     span = F.transform("spans", lambda s: F.array_join(F.slice(F.col("units"), (s["from_word"] + 1).cast("int"), s["n_words"].cast("int")), ""))
-    whole = F.when(F.element_at("spans", 1)["from_word"] == 0, F.col("lead")).otherwise("")
-    rows = rows.withColumn("text", F.concat(whole, F.array_join(span, "")))
-    columns = [F.length("text").cast(documents.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in documents.columns]
-    return rows.select(*columns)
+    first = F.when(F.element_at("spans", 1)["from_word"] == 0, F.col("lead")).otherwise("")
+    rows = rows.withColumn("text", F.concat(first, F.array_join(span, "")))
+    new = {"text": F.col("text").cast(documents.schema["text"].dataType)}
+    if "n_chars" in documents.columns:
+        new["n_chars"] = F.length("text").cast(documents.schema["n_chars"].dataType)
+    return rows.select(*(new.get(c, F.col("whole").getField(c)).alias(c) for c in documents.columns))
