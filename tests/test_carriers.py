@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from conftest import SF
 
-from quarry.plans import carriers
+from quarry.plans import carriers, packed_carriers  # noqa: F401
 
 TABLES = [f[:-8] for f in os.listdir(SF)]
 
@@ -12,6 +12,8 @@ TABLES = [f[:-8] for f in os.listdir(SF)]
 def normal(value):
     if value is None or value != value:
         return None
+    if isinstance(value, (bytes, bytearray)):
+        return bytes(value).hex()
     return f"{value:.9g}" if isinstance(value, float) else str(value)
 
 
