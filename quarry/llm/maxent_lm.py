@@ -14,8 +14,8 @@ within its class.  Tokens are lower-cased words and an end token per document.
 * Between classes a softmax has weights for hashed features of the last three classes:
   n-grams c1, c1c2, c1c2c3, skips c2, c3, c1c3, and a bias.  Contexts and classes of all
   training tokens are counted; then each round every partition of contexts computes its
-  part of the gradient and of the diagonal of the Hessian, Spark sums both by slot, and the
-  driver takes one damped step on the table, whose size is fixed.
+  part of the gradient, Spark sums it by slot, and the driver takes one damped step on the
+  table, whose size is fixed.
 * Scoring is one pass in numpy over blocks of texts: the features of the distinct contexts
   of a block are looked up sparsely.  Tail words are scored by a join with the counts.
 
@@ -45,7 +45,7 @@ CLASSES, GROUPS, SLOTS = 32, 8, 1 << 16
 TAIL, END = 0, 1
 DISCOUNT = 0.5
 #: A context has 7 features, so a damped diagonal step of 1/7 on each can't overshoot.
-ROUNDS, RATE, RIDGE = 10, 1 / 7, 0.5
+ROUNDS, RATE, RIDGE, PRIOR = 10, 1 / 7, 0.5, 10.0
 #: The hash of the end token; no word's hash is made this way.
 END_HASH = int(np.uint64(0x454E444F46444F43).view(np.int64))
 HELD_ROWS = 1 << 20
@@ -215,39 +215,51 @@ def count_contexts(documents: DataFrame, head) -> DataFrame:
     return rows.groupBy("context", "class").agg(F.sum("n").alias("n"))
 
 
+def _by_slot(parts: DataFrame, weights) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all contexts by slot and class: of the counts seen, or with ``weights`` of
+    what they exceed the model's expectation by, which is the gradient."""
+    names = [f"k{k}" for k in range(CLASSES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        part = pa.Table.from_batches(rows)
+        keys, which = np.unique(part.column("context").to_numpy(), return_inverse=True)
+        seen = np.zeros((len(keys), CLASSES))
+        np.add.at(seen, (which, part.column("class").to_numpy()), part.column("n").to_numpy())
+        if weights is not None:
+            seen -= seen.sum(axis=1, keepdims=True) * np.exp(log_softmax(weights.value, keys))
+        slots = feature_slots(keys)
+        own, to = np.unique(slots, return_inverse=True)
+        sums = np.zeros((len(own), CLASSES))
+        np.add.at(sums, to.reshape(slots.shape).T.reshape(-1), np.tile(seen, (slots.shape[1], 1)))
+        yield pa.record_batch({"slot": pa.array(own.astype(np.int32))} | {x: pa.array(sums[:, k].astype(np.float32)) for k, x in enumerate(names)})
+
+    found = parts.mapInArrow(run, "slot int, " + ", ".join(f"{x} float" for x in names))
+    # SLOTS rows at most reach the driver.
+    table = found.groupBy("slot").agg(*(F.sum(x).cast("float").alias(x) for x in names)).toArrow()
+    slots = table.column("slot").to_numpy()
+    return slots, np.stack([table.column(x).to_numpy() for x in names], axis=1).astype(np.float64) if len(slots) else np.zeros((0, CLASSES))
+
+
 def train(table: DataFrame, class_tokens: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Class weights by slot from ``context, class, n``; the bias starts at the class shares."""
     context = table.sparkSession.sparkContext
+    share = (class_tokens + 0.5) / (class_tokens + 0.5).sum()
     weights = np.zeros((SLOTS, CLASSES), np.float32)
-    weights[feature_slots(np.zeros(1, np.int64))[0, 0]] = np.log((class_tokens + 0.5) / (class_tokens + 0.5).sum())
-    names = [f"{x}{k}" for x in "gh" for k in range(CLASSES)]
+    weights[feature_slots(np.zeros(1, np.int64))[0, 0]] = np.log(share)
     parts = table.repartition("context")
+    # The diagonal of the Hessian, at each slot's own class shares.
+    slots, seen = _by_slot(parts, None)
+    mass = seen.sum(axis=1, keepdims=True)
+    own = (seen + PRIOR * share) / (mass + PRIOR)
+    curve = np.zeros((SLOTS, CLASSES))
+    curve[slots] = mass * own * (1 - own)
     for _ in range(rounds):
         now = context.broadcast(weights)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = [b for b in batches if b.num_rows]
-            if not rows:
-                return
-            part = pa.Table.from_batches(rows)
-            keys, which = np.unique(part.column("context").to_numpy(), return_inverse=True)
-            seen = np.zeros((len(keys), CLASSES))
-            np.add.at(seen, (which, part.column("class").to_numpy()), part.column("n").to_numpy())
-            p = np.exp(log_softmax(now.value, keys))
-            n = seen.sum(axis=1, keepdims=True)
-            both = np.concatenate((seen - n * p, n * p * (1 - p)), axis=1)
-            slots = feature_slots(keys)
-            own, to = np.unique(slots, return_inverse=True)
-            sums = np.zeros((len(own), 2 * CLASSES))
-            np.add.at(sums, to.reshape(slots.shape).T.reshape(-1), np.tile(both, (slots.shape[1], 1)))
-            yield pa.record_batch({"slot": pa.array(own)} | {name: pa.array(sums[:, k]) for k, name in enumerate(names)})
-
-        found = parts.mapInArrow(run, "slot long, " + ", ".join(f"{x} double" for x in names))
-        step = found.groupBy("slot").agg(*(F.sum(x).alias(x) for x in names)).toArrow()  # SLOTS rows at most
-        slots = step.column("slot").to_numpy()
-        g = np.stack([step.column(x).to_numpy() for x in names[:CLASSES]], axis=1) if len(slots) else np.zeros((0, CLASSES))
-        h = np.stack([step.column(x).to_numpy() for x in names[CLASSES:]], axis=1) if len(slots) else np.zeros((0, CLASSES))
-        move = RATE * (g - RIDGE * weights[slots]) / (h + RIDGE)
+        slots, gradient = _by_slot(parts, now)
+        move = RATE * (gradient - RIDGE * weights[slots]) / (curve[slots] + RIDGE)
         weights = weights.copy()
         weights[slots] += np.clip(move, -2.0, 2.0).astype(np.float32)
         now.unpersist()
