@@ -52,3 +52,13 @@ def first_invalid_utf8(data: bytes) -> int | None:
 
 def digest(data: Column) -> Column:
     return F.sha2(data.cast("binary"), 256)
+
+
+def checked_sum(a: Column, b: Column) -> Column:
+    """The sum, or null where it overflows."""
+    return F.try_add(a, b)
+
+
+def checked_product(a: Column, b: Column) -> Column:
+    """The product, or null where it overflows."""
+    return F.try_multiply(a, b)

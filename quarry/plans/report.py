@@ -10,9 +10,15 @@ from quarry.sources import files, tables
 
 
 def probed(spark: SparkSession, inputs: list[str], max_bytes: int | None = None) -> DataFrame:
-    """All files under the inputs with their kind."""
-    found = files.listed_files(spark, inputs, max_bytes)
-    return found.withColumn("p", files.probe(F.col("content"), F.col("length"))).select("path", "length", "content", "sha256", "p.kind", "p.serialized_version")
+    """All files under the inputs with their kind.  Of every file the first 96 bytes are read;
+    only archives and serialized files are then read whole, the others have a null content."""
+    heads = files.prefixes(files.listed(spark, inputs))
+    heads = heads.withColumn("p", files.probe(F.col("head"), F.col("length"))).select("path", "length", "p.kind", "p.serialized_version")
+    if max_bytes is not None:
+        heads = heads.where(F.col("length") <= max_bytes)
+    wanted = F.col("kind").isin("archive", "serialized-file")
+    content = files.read_listed(heads.where(wanted)).select("path", "content", "sha256")
+    return heads.join(content, "path", "left")
 
 
 def structure_report(spark: SparkSession, inputs: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import stat
+import sys
 from collections import deque
 from dataclasses import dataclass
 
@@ -95,3 +96,14 @@ def discover(inputs: list[str], options: Options = Options()) -> list[tuple[str,
 
 def paths(spark: SparkSession, inputs: list[str], options: Options = Options()) -> DataFrame:
     return spark.createDataFrame(discover(inputs, options), PATHS)
+
+
+def program_resource(name: str, program: str | None = None) -> str:
+    """A regular file under ``share`` next to the running program."""
+    home = os.path.dirname(os.path.realpath(program or sys.argv[0]))
+    path = os.path.join(home, "share", name)
+    if not name or os.path.isabs(name) or ".." in name.split("/"):
+        raise Reject("invalid-argument", name)
+    if os.path.islink(path) or not os.path.isfile(path):
+        raise Reject("not-found", path)
+    return path

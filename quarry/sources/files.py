@@ -30,9 +30,54 @@ def files(spark: SparkSession, locations: list[str], max_bytes: int | None = Non
     return read.select("path", "length", "content", F.sha2("content", 256).alias("sha256"))
 
 
+def prefixes(paths: DataFrame, size: int = PREFIX_BYTES) -> DataFrame:
+    """``path, length, head`` of the files in ``path``: the first bytes only, whatever the size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for uri in batch.column("path").to_pylist():
+                system, path = pafs.FileSystem.from_uri(uri)
+                with system.open_input_file(path) as f:
+                    rows.append({"path": uri, "length": f.size(), "head": f.read(size)})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("length", pa.int64()), ("head", pa.binary())]))
+
+    return paths.select("path").mapInArrow(run, "path string, length long, head binary")
+
+
+def listed(spark: SparkSession, inputs: list[str]) -> DataFrame:
+    """The URIs of what discovery finds, spread over tasks."""
+    found = [(f"file://{os.path.abspath(p)}",) for p, _ in discover(inputs)]
+    parts = max(1, min(len(found), 4 * spark.sparkContext.defaultParallelism))
+    return spark.createDataFrame(found, "path string").repartition(parts)
+
+
+def revalidate(found: DataFrame) -> DataFrame:
+    """``path, status`` of files read before: unchanged, changed or missing, by digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for uri, digest in zip(batch.column("path").to_pylist(), batch.column("sha256").to_pylist()):
+                system, path = pafs.FileSystem.from_uri(uri)
+                if not system.get_file_info(path).is_file:
+                    rows.append({"path": uri, "status": "missing"})
+                    continue
+                h = hashlib.sha256()
+                with system.open_input_stream(path) as f:
+                    while chunk := f.read(1 << 20):
+                        h.update(chunk)
+                rows.append({"path": uri, "status": "unchanged" if h.hexdigest() == digest else "changed"})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows)
+
+    return found.select("path", "sha256").mapInArrow(run, "path string, status string")
+
+
 def read_listed(paths: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """The same columns for the rows of ``path`` as they are spelled, read one by one on the
-    executors; for names that Spark's listing hides (a leading ``_`` or ``.``)."""
+    executors; also for names that Spark's listing hides (a leading ``_`` or ``.``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

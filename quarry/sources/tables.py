@@ -122,6 +122,13 @@ def objects_table(source: DataFrame) -> DataFrame:
     return _rows(source, "objects", rows, _SOURCE)
 
 
+def payloads(objects: DataFrame, source: DataFrame) -> DataFrame:
+    """The bytes of each object, sliced from its source."""
+    start = (F.col("data_offset") + F.col("rel_offset")).cast("int")
+    rows = objects.join(source.select("path", "member", "data"), ["path", "member"])
+    return rows.select(*objects.columns, F.substring(F.col("data"), start + 1, F.col("byte_size").cast("int")).alias("payload"))
+
+
 def scripts(source: DataFrame) -> DataFrame:
     return _rows(source, "scripts", lambda s: iter(container.decode(s["data"]).scripts), _SOURCE)
 

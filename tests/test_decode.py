@@ -4,7 +4,8 @@ import pytest
 from builders import SIMPLE, Out, bundle, lz4_literals, serialized, simple_payload, tree
 
 from quarry.decode import archive, build_settings, container, objects, registry, schema
-from quarry.decode.cursor import Reject
+from quarry.decode.cursor import Cursor, Reject
+from quarry.decode.legacy import read_type
 
 
 def sample(big=False):
@@ -319,3 +320,24 @@ def test_build_settings(big):
     for n in range(1, len(good)):
         with pytest.raises(Reject):
             of(good[:n])
+
+
+@pytest.mark.parametrize("version,width", [(16, 24), (17, 24), (18, 32), (21, 32), (22, 32)])
+@pytest.mark.parametrize("reference", [False, True])
+def test_legacy_types(version, width, reference):
+    raw, table = tree(SIMPLE)
+    nodes = b"".join(raw[k:k + width] for k in range(0, len(raw), 32))
+    out = Out().put("iB", 114 if version >= 17 else -5, 1)
+    if version >= 17:
+        out.put("H", 3)
+    out.raw(b"s" * 16).raw(b"h" * 16).put("II", len(SIMPLE), len(table)).raw(nodes).raw(table)
+    if version >= 21:
+        out.raw(b"C\0N\0A\0") if reference else out.put("I2i", 2, 7, -7)
+    data = bytes(out.data)
+    row = read_type(Cursor(data, big=False), version, True, reference)
+    assert row["stripped"] and row["script_hash"] == b"s" * 16 and row["script_index"] == (3 if version >= 17 else 0xFFFF)
+    assert row["dependencies"] == ([7, -7] if version >= 21 and not reference else []) and (version < 21 or not reference or row["assembly"] == b"A")
+    assert [n.level for n in schema.compile_schema(row["nodes"], row["strings"], False)] == [n[2] for n in SIMPLE]
+    for n in range(len(data)):
+        with pytest.raises(Reject):
+            read_type(Cursor(data[:n], big=False), version, True, reference)

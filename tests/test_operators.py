@@ -52,13 +52,28 @@ def test_discovery(folder):
     assert all("deep" not in p for p, _ in discovery.discover([folder], discovery.Options(recursive=False)))
 
 
+def test_program_resource(tmp_path):
+    (tmp_path / "share").mkdir()
+    (tmp_path / "share" / "f").write_bytes(b"")
+    assert discovery.program_resource("f", str(tmp_path / "prog")) == str(tmp_path / "share" / "f")
+    for name in ("", "g", "../f", "/f"):
+        with pytest.raises(Reject):
+            discovery.program_resource(name, str(tmp_path / "prog"))
+
+
 def test_probe_column_equals_decoder(spark, folder):
     from quarry.decode.container import probe
 
-    rows = report.probed(spark, [folder]).select("path", "content", "kind", "serialized_version").collect()
+    rows = {r.path: r for r in report.probed(spark, [folder]).collect()}
     assert len(rows) == 10
-    for r in rows:
-        assert (r.kind, r.serialized_version) == probe(bytes(r.content)[:96], len(r.content)), r.path
+    whole = files.listed_files(spark, [folder])
+    for r in whole.collect():
+        found = rows[r.path.replace("file:/", "file:///").replace("file://///", "file:///")]
+        assert (found.kind, found.serialized_version) == probe(bytes(r.content)[:96], r.length), r.path
+        assert found.content is None or (bytes(found.content), found.sha256) == (bytes(r.content), r.sha256)
+    assert {r.status for r in files.revalidate(whole).collect()} == {"unchanged"}
+    gone = spark.createDataFrame([(f"file://{folder}/nothing", "0"), (f"file://{folder}/good", "0")], "path string, sha256 string")
+    assert sorted(r.status for r in files.revalidate(gone).collect()) == ["changed", "missing"]
     kept = files.listed_files(spark, [folder], 200)
     assert {name_of(r.path) for r in kept.collect()} >= {"note.txt"} and kept.agg(F.max("length")).first()[0] <= 200
 
@@ -81,6 +96,8 @@ def test_tables(spark, folder):
     only = lambda df, name: df.where(F.col("path").endswith(name))
     assert only(tables.externals(source), "good").count() == 2 and only(tables.scripts(source), "good").first().path_id == 77
     assert only(tables.headers(source), "good").first().target == 19
+    sliced = only(tables.payloads(tables.objects_table(source), source), "good").orderBy("ordinal").collect()
+    assert [bytes(r.payload) for r in sliced] == [simple_payload(-5, b"abc", b"\x01\x02")] * 2 + [b""]
     refs = only(tables.ref_types(source), "good").first()
     assert bytes(refs.class_name) == b"C"
     values = only(tables.tree_values(source), "good")
