@@ -34,12 +34,15 @@ from pyspark.sql import functions as F
 
 from .storage import cut, filesystem, map_file, shared_dir, write_file
 from .textvec import SPACE, buffer_of, hash_spans, mix, pair, slices, word_spans
+from .workers import lean
 
 ORDER, BITS = 4, 6
 SPREAD_HIGH, SPREAD_LOW, NARROWEST, NOISE = 2.0, 2.0, 0.02, 3.5
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
 BIN = 0.0005
+#: Languages up to which their bands are broadcast.
+MOST_BROADCAST = 65_536
 
 _U = np.uint64
 #: Marks with a class each; the order fixes the classes from 46 on.
@@ -134,7 +137,7 @@ def count_grams(documents: DataFrame) -> DataFrame:
             yield pa.record_batch({"lang": pa.array([lang] * len(codes), pa.string()), "code": pa.array(codes.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
     rows = documents.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(lean(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
@@ -314,7 +317,7 @@ def score(documents: DataFrame, path: str, carry: tuple[str, ...] = ()) -> DataF
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"),
         *(F.col(c).alias(f"in_{c}") for c in carry))
     more = "".join(f", in_{c} {documents.schema[c].dataType.simpleString()}" for c in carry)
-    return rows.mapInArrow(run, SCORED + more)
+    return rows.mapInArrow(lean(run), SCORED + more)
 
 
 def bands(scored: DataFrame, high: float = SPREAD_HIGH, low: float = SPREAD_LOW, narrowest: float = NARROWEST) -> DataFrame:
@@ -351,7 +354,9 @@ def train(documents: DataFrame) -> str:
 def judged(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """All columns of ``score`` with the bands and ``kept``."""
     scored = cut(score(documents, train(documents), carry), "kn-scores")
-    limits = bands(scored).withColumnRenamed("lang", "of")
+    limits = cut(bands(scored).withColumnRenamed("lang", "of"), "kn-bands")
+    if limits.count() <= MOST_BROADCAST:  # a row for each language; a join by language would gather a common one
+        limits = F.broadcast(limits)
     found = scored.join(limits, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
     x, noise = F.log10("perplexity"), F.col("error") * NOISE
     banded = x.between(F.log10("low_ppl") - noise, F.log10("high_ppl") + noise)
