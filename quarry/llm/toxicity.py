@@ -37,7 +37,7 @@ from .textvec import buffer_of, hash_spans, mix, slices, word_spans
 FOLDS = 5
 POSITIVES, UNLABELLED = 2000, 4000
 BITS, PREFIXES = 18, (None, 5, 6, 7)
-SCREEN, RIDGE, STEPS, RATE = 4.0, 1e-4, 200, 0.05
+SCREEN, RIDGE, STEPS, RATE = 3.0, 0.1, 200, 0.05
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -141,7 +141,7 @@ def non_negative_pu(positive: Sparse, unlabelled: Sparse, prior: float, hidden:
             gp, gu = (prior * (pp - 1) - hidden * pp) / xp.n, pu / xu.n
         else:
             gp, gu = hidden * pp / xp.n, -pu / xu.n
-        g = np.append(xp.back(gp, k) + xu.back(gu, k) + RIDGE * w[:k], gp.sum() + gu.sum())
+        g = np.append(xp.back(gp, k) + xu.back(gu, k) + RIDGE / xp.n * w[:k], gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
     return Linear(ids, w[:k], float(w[k]))
