@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import vocabulary_path
+from .workers import lean
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
@@ -113,7 +114,7 @@ def format_conversations(conversations: DataFrame, vocabulary: str | None = None
                 columns["mask"] = pa.array([x["mask"] for x in found], pa.list_(pa.int8()))
                 yield pa.record_batch(columns)
 
-    return grouped.mapInArrow(run, FORMATTED)
+    return grouped.mapInArrow(lean(run), FORMATTED)
 
 
 def loss_text(row: dict) -> list[str]:
@@ -139,4 +140,4 @@ def digests(formatted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
                 ("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]))
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import cut
+from .workers import lean
 
 
 class UnionFind:
@@ -58,7 +59,7 @@ def components(edges: DataFrame) -> DataFrame:
     """``id, component`` for every id in the edges ``a, b``; component is its least id.
     An id that only has an edge to itself, or none, has no row: it is its own component."""
     e = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
-    e = cut(e.mapInArrow(_forest, "a long, b long").distinct(), "forest")
+    e = cut(e.mapInArrow(lean(_forest), "a long, b long").distinct(), "forest")
     before = None
     while True:
         # Large star: every larger neighbour goes to the least id around.

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from .storage import cut
 from .textvec import mix, slices, words
+from .workers import lean
 
 FOLDS = 10
 HEAD = 1 << 19
@@ -105,7 +106,7 @@ def count_tokens(documents: DataFrame) -> DataFrame:
                     size = 0
         yield from flush()
 
-    rows = _rows(documents).where("NOT held_out").select("g", "text").mapInArrow(run, "h long, g int, n long")
+    rows = _rows(documents).where("NOT held_out").select("g", "text").mapInArrow(lean(run), "h long, g int, n long")
     best = F.max(F.struct("n", "g"))
     return rows.groupBy("h").agg(F.sum("n").alias("c"), best.alias("best")).select("h", "c", F.col("best.g").alias("g"))
 
@@ -211,7 +212,7 @@ def count_contexts(documents: DataFrame, head) -> DataFrame:
         some = np.flatnonzero(total)
         yield pa.record_batch({"context": pa.array(some // CLASSES), "class": pa.array(some % CLASSES), "n": pa.array(total[some])})
 
-    rows = _rows(documents).where("NOT held_out").select("text").mapInArrow(run, "context long, class long, n long")
+    rows = _rows(documents).where("NOT held_out").select("text").mapInArrow(lean(run), "context long, class long, n long")
     return rows.groupBy("context", "class").agg(F.sum("n").alias("n"))
 
 
@@ -236,7 +237,7 @@ def _by_slot(parts: DataFrame, weights) -> tuple[np.ndarray, np.ndarray]:
         np.add.at(sums, to.reshape(slots.shape).T.reshape(-1), np.tile(seen, (slots.shape[1], 1)))
         yield pa.record_batch({"slot": pa.array(own.astype(np.int32))} | {x: pa.array(sums[:, k].astype(np.float32)) for k, x in enumerate(names)})
 
-    found = parts.mapInArrow(run, "slot int, " + ", ".join(f"{x} float" for x in names))
+    found = parts.mapInArrow(lean(run), "slot int, " + ", ".join(f"{x} float" for x in names))
     # SLOTS rows at most reach the driver.
     table = found.groupBy("slot").agg(*(F.sum(x).cast("float").alias(x) for x in names)).toArrow()
     slots = table.column("slot").to_numpy()
@@ -302,7 +303,7 @@ def _score(documents: DataFrame, head, weights) -> DataFrame:
                     "tail": pa.ListArray.from_arrays(pa.array(np.searchsorted(rest, bounds), pa.int32()), pa.array(tokens[rest]))})
                 rid += n
 
-    return _rows(documents).select("doc_id", "held_out", "text").mapInArrow(run, DOCS)
+    return _rows(documents).select("doc_id", "held_out", "text").mapInArrow(lean(run), DOCS)
 
 
 def score_documents(documents: DataFrame, most: int = HEAD, rounds: int = ROUNDS) -> DataFrame:

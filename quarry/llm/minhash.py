@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .storage import cut
 from .textvec import mix, pair, slices, words
+from .workers import lean
 
 POSITIONS, BAND_ROWS = 80, 4
 WORDS, PERCENT = 5, 80
@@ -143,7 +144,7 @@ def sketches(documents: DataFrame, size: int) -> DataFrame:
                     "d2": pa.array(digest[1], mask=none), "bands": lists})
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return rows.mapInArrow(lean(run), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
 def set_table(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -161,7 +162,7 @@ def set_table(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-    return rows.mapInArrow(run, "id long, shingles binary, short binary")
+    return rows.mapInArrow(lean(run), "id long, shingles binary, short binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -179,7 +180,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     one = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b")
     two = one.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")).hint("merge"), "a")
-    return two.mapInArrow(run, "a long, b long")
+    return two.mapInArrow(lean(run), "a long, b long")
 
 
 def _possible(pairs: DataFrame, percent: int) -> DataFrame:
@@ -269,7 +270,7 @@ def links(documents: DataFrame, classes: DataFrame, size: int, percent: int) ->
     cells = F.when(F.col("component") == F.col("top"), cells).otherwise(F.concat(cells, extra))
     rows = rows.withColumn("cell", F.explode(cells)).select("key", "cell.i", "cell.j", "cell.side", "id", "component")
     rows = rows.join(sets.select("id", "short").hint("merge"), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    maybe = rows.mapInArrow(lambda batches: _blocks(batches, percent), "a long, b long").distinct()
+    maybe = rows.mapInArrow(lean(lambda batches: _blocks(batches, percent)), "a long, b long").distinct()
     more = cut(verified(maybe, sets, percent), "further-links")
     return components(found.unionByName(more))
 

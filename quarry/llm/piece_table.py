@@ -11,7 +11,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Distinct pieces that a worker keeps; beyond, it starts anew.
-KEPT = 2_000_000
+KEPT = 1_000_000
 
 
 class PieceTable:

@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .piece_table import PieceTable
-from .textvec import _INVERSE, _BASE, _power, mix, slices
+from .textvec import BLOCK, _BASE, _INVERSE, _power, mix, slices
+from .workers import lean
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE, LITERAL = 0x2581, 0x110000  # the mark for a space, and what stands for that character itself
@@ -167,7 +168,7 @@ class Encoder:
         at = 0
         while at < len(starts):  # a bounded number of code points at a time
             first = int(starts[at])
-            to = max(at + 1, int(np.searchsorted(ends, first + (1 << 20), side="right")))
+            to = max(at + 1, int(np.searchsorted(ends, first + BLOCK, side="right")))
             last = int(ends[to - 1])
             sums = np.zeros(last - first + 1, np.uint64)
             np.cumsum(mix(points[first:last].astype(np.uint64) + np.uint64(1)) * _power(_BASE, last - first), out=sums[1:])
@@ -218,7 +219,7 @@ def encode_documents(documents: DataFrame, vocabulary: str | None = None) -> Dat
                 yield pa.record_batch({"doc_id": piece.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))})
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return rows.mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def encoding_digests(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -242,4 +243,4 @@ def encoding_digests(documents: DataFrame, vocabulary: str | None = None) -> Dat
                     "score": pa.array(np.diff(score)), "round_trip": pa.array(same, pa.bool_())})
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, score double, round_trip boolean")
+    return rows.mapInArrow(lean(run), "doc_id long, n_tokens long, ids_crc32 long, score double, round_trip boolean")

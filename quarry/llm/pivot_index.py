@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import UnionFind, components
 from .storage import cut
+from .workers import lean
 
 THRESHOLD = 0.9
 NEAREST, SHARED, MOST_PIVOTS, BLOCK = 8, 2, 4096, 1024
@@ -96,7 +97,7 @@ def _index(classes: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
                     "key": pa.array(keys.reshape(-1)), "id": piece.column("id").take(rows), "size": piece.column("size").take(rows),
                     "near": p.take(rows), "v": v.take(rows)})
 
-    return classes.select("id", "size", "v").mapInArrow(run, "key long, id long, size long, near binary, v binary")
+    return classes.select("id", "size", "v").mapInArrow(lean(run), "key long, id long, size long, near binary, v binary")
 
 
 def _verify(part: pa.RecordBatch, n_pivots: int, dim: int, threshold: float) -> pa.RecordBatch | None:
@@ -182,7 +183,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, block: int
     cells = F.transform(upto, lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"), F.when(own == o, 2).when(own < o, 0).otherwise(1).alias("side")))
     blocks = entries.withColumn("cell", F.explode(cells)).select("key", "cell.i", "cell.j", "cell.side", "id", "size", "near", "v")
     blocks = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = cut(blocks.mapInArrow(lambda batches: _stream(batches, n_pivots, dim, threshold), "a long, b long, n long"), "vector-links")
+    found = cut(blocks.mapInArrow(lean(lambda batches: _stream(batches, n_pivots, dim, threshold)), "a long, b long, n long"), "vector-links")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     groups = components(found.where("b IS NOT NULL").select("a", "b"))
     homes = classes.select("d1", "d2", "id", "size").join(counts, "id", "left").join(groups, "id", "left")

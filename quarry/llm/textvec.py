@@ -15,9 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes hashed at a time; a longer single word extends its own block.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Bytes of text taken from an Arrow batch at a time; one longer text goes alone.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from . import byte_bpe
 from .storage import map_file, shared_dir, write_file
 from .textvec import slices
+from .workers import lean
 
 #: <|endoftext|>, which the encoder never makes from a text.
 SEPARATOR = 50256
@@ -64,7 +65,7 @@ def write_flat(documents: DataFrame, path: str, vocabulary: str | None = None, s
             at += n
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows.mapInArrow(write, "uri string, n_ids long, ordinal long, doc_id long").write.parquet(f"{path}/order")
+    rows.mapInArrow(lean(write), "uri string, n_ids long, ordinal long, doc_id long").write.parquet(f"{path}/order")
     return spark.read.parquet(f"{path}/order")
 
 
@@ -102,13 +103,13 @@ def scan(files: DataFrame, separator: int = SEPARATOR, width: int = WIDTH, block
                     "uri": pa.array([row["uri"]] * len(ends), pa.string()), "ordinal": pa.array(row["before"] + np.arange(len(ends))),
                     "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(ends - starts, pa.int64()), "ended": pa.array(ended)})
 
-    found = blocks.mapInArrow(survey, "uri string, n_ids long, block long, n long, last long")
+    found = blocks.mapInArrow(lean(survey), "uri string, n_ids long, block long, n long, last long")
     before = Window.partitionBy("uri").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     stitched = found.withColumns({
         "before": F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")),
         "carry": F.coalesce(F.max("last").over(before), F.lit(-1).cast("long")),
     }).drop("n", "last")
-    return stitched.mapInArrow(documents, "uri string, ordinal long, start long, n_tokens long, ended boolean")
+    return stitched.mapInArrow(lean(documents), "uri string, ordinal long, start long, n_tokens long, ended boolean")
 
 
 def token_counts(documents: DataFrame, path: str | None = None, vocabulary: str | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from . import byte_bpe
 from .storage import map_file, shared_dir, write_file
 from .textvec import slices
+from .workers import lean
 
 MAGIC = b"FLATTOK1"
 END_ID = 2
@@ -105,7 +106,7 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str | None = None,
             ("part", pa.int32()), ("lo", pa.int64()), ("ids_uri", pa.string()), ("idx_uri", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     # Written at once: the writing task must not run again with another outcome.
-    rows.mapInArrow(write, MANIFEST).write.parquet(f"{path}/written")
+    rows.mapInArrow(lean(write), MANIFEST).write.parquet(f"{path}/written")
     written = spark.read.parquet(f"{path}/written")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     based = written.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
@@ -131,7 +132,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                     "n_tokens": pa.array(np.diff(at)), "ids_crc32": pa.array(crc, pa.int64())})
 
     # One file to a task.
-    return manifest.repartition(max(1, n), "part").mapInArrow(read, DOCUMENTS)
+    return manifest.repartition(max(1, n), "part").mapInArrow(lean(read), DOCUMENTS)
 
 
 def tokens_on_disk(documents: DataFrame, path: str | None = None, **options) -> DataFrame:

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textvec import buffer_of, hash_spans, mix, slices, word_spans
+from .workers import lean
 
 FOLDS = 5
 POSITIVES, UNLABELLED = 2000, 4000
@@ -159,7 +160,7 @@ def _collect(rows: DataFrame) -> Sparse:
                     "ids": pa.ListArray.from_arrays(to, pa.array(ids.astype(np.int32))),
                     "vals": pa.ListArray.from_arrays(to, pa.array(values.astype(np.float32)))})
 
-    table = rows.select("text").mapInArrow(extract, "ids array<int>, vals array<float>").toArrow()
+    table = rows.select("text").mapInArrow(lean(extract), "ids array<int>, vals array<float>").toArrow()
     bounds, ids, values = [np.zeros(1, np.int64)], [], []
     for batch in table.to_batches():
         found = batch.column("ids")
@@ -211,7 +212,7 @@ def score(documents: DataFrame, model: Linear, carry: tuple[str, ...] = ()) -> D
         F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("text").cast("string").alias("text"),
         *(F.col(c).alias(f"in_{c}") for c in carry))
     more = "".join(f", in_{c} {documents.schema[c].dataType.simpleString()}" for c in carry)
-    return rows.mapInArrow(run, SCORED + more)
+    return rows.mapInArrow(lean(run), SCORED + more)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
