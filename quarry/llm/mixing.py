@@ -147,8 +147,10 @@ def slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS, block_words: int =
     before = Window.partitionBy("src").orderBy("shard")
     counts = counts.withColumn("first", F.sum("n").over(before) - F.col("n"))
     stop = F.least(F.col("first") + F.col("n"), F.col("n_blocks") * REPEATS)
-    # Spread again: a source's shards came together above only to be numbered.
-    filled = counts.where(F.col("first") < stop).repartition("src", "shard").withColumn("slot", F.explode(F.sequence(F.col("first"), stop - 1)))
+    # Spread again: a source's shards came together above only to be numbered.  By a given
+    # number, as these few rows grow much when exploded and must not be coalesced.
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filled = counts.where(F.col("first") < stop).repartition(parts, "src", "shard").withColumn("slot", F.explode(F.sequence(F.col("first"), stop - 1)))
     filled = filled.withColumns({"pass": F.floor(F.col("slot") / F.col("n_blocks")), "index": F.col("slot") % F.col("n_blocks")})
     key = F.xxhash64(F.lit(seed), F.col("src"), F.col("pass"))
     return filled.withColumn("block", permuted(F.col("index"), F.col("n_blocks"), key)).select("shard", "src", "slot", "pass", "block")
@@ -188,11 +190,12 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     took = took.groupBy("src", "bucket", "seq", "pass").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("spans"))
     # The input's columns stay in one struct, so their names can't clash with those used here.
     whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("whole")
-    rows = documents.select(whole, "doc_id", "text", _source_key(F.col("source")).alias("src"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    rows = documents.select(whole, "doc_id", _source_key(F.col("source")).alias("src"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
     rows = place(rows).join(took.hint("merge"), ["src", "bucket", "seq"])
     # Words with the white space after them; white space before the first word stays with it.
-    lead = F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)
-    units = F.split(F.substring(F.col("text"), F.length(lead) + 1, F.length("text")), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    text = F.col("whole").getField("text")
+    lead = F.regexp_extract(text, r"^[\x20\x09-\x0D]*", 0)
+    units = F.split(F.substring(text, F.length(lead) + 1, F.length(text)), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     # explode() of one array keeps the optimiser from splitting the text again for each span.
     rows = rows.withColumn("lead", lead).withColumn("units", F.explode(F.array(units)))
     span = F.transform("spans", lambda s: F.array_join(F.slice(F.col("units"), (s["from_word"] + 1).cast("int"), s["n_words"].cast("int")), ""))
