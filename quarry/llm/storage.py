@@ -32,12 +32,6 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a folder below the shared one through Spark's own file system layer."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The pyarrow file system of a URI or plain absolute path, and the path in it."""
     if "://" not in uri and uri.startswith("file:"):
