@@ -246,7 +246,8 @@ def links(documents: DataFrame, classes: DataFrame, size: int, percent: int) ->
     """``id, component`` of all classes ``id, n, bands`` that link with another class."""
     members = classes.select("id", "n", F.explode("bands").alias("key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
-    members = cut(members.join(sizes, "key"), "bucket-members")
+    # Sizes after explode() are underestimated, so this join must not choose to broadcast.
+    members = cut(members.join(sizes.hint("merge"), "key"), "bucket-members")
     reach = members.groupBy("id").agg(F.sum(F.col("k") - 1).alias("reach"))
     sets = cut(set_table(documents, reach.select("id"), size).dropDuplicates(["id"]), "shingle-sets")
     ranked = members.join(reach, "id")
