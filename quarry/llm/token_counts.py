@@ -119,4 +119,5 @@ def token_counts(documents: DataFrame, path: str | None = None, vocabulary: str
     order = write_flat(documents, path, vocabulary)
     files = order.groupBy("uri").agg(F.max("n_ids").alias("n_ids"))
     counts = scan(files, block_ids=block_ids)
-    return order.select("uri", "ordinal", "doc_id").join(counts, ["uri", "ordinal"]).select("doc_id", "n_tokens")
+    # A row for each document: never to be broadcast, however small it is taken to be.
+    return order.select("uri", "ordinal", "doc_id").join(counts.hint("merge"), ["uri", "ordinal"]).select("doc_id", "n_tokens")
