@@ -36,8 +36,8 @@ def _packed(df: DataFrame, pack) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, CAST(o_custkey AS DECIMAL(20,0)) AS metadata_size, CAST(o_orderkey + 1000000 AS DECIMAL(20,0)) AS file_size,
-  CAST(o_custkey + 48 AS DECIMAL(20,0)) AS data_offset, CAST(o_orderkey % 2 AS INTEGER) AS endian,
+SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS metadata_size, CAST(o_orderkey + 1000000 AS BIGINT) AS file_size,
+  CAST(o_custkey + 48 AS BIGINT) AS data_offset, CAST(o_orderkey % 2 AS INTEGER) AS endian,
   CASE WHEN o_orderkey % 5 = 0 THEN 'unsupported-serialized-file' ELSE 'serialized-file' END AS kind FROM orders""")
 def header_scan(spark, sf_dir):
     wide = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
@@ -46,7 +46,8 @@ def header_scan(spark, sf_dir):
     head = F.concat(F.lit(struct.pack(">IIII", 0, 0, 22, 0)), wide(F.col("o_custkey")), wide(key + 1000000), wide(F.col("o_custkey") + 48), F.unhex(F.lpad(F.hex(key % 2), 2, "0")), F.lit(bytes(7)))
     rows = o.select("o_orderkey", head.alias("head"))
     logical = key + 1000000 + F.when(key % 5 == 0, 1).otherwise(0)
-    return rows.select("o_orderkey", files.header(F.col("head")).alias("h"), files.probe(F.col("head"), logical)["kind"].alias("kind")).select("o_orderkey", "h.*", "kind")
+    found = rows.select("o_orderkey", files.header(F.col("head")).alias("h"), files.probe(F.col("head"), logical)["kind"].alias("kind"))
+    return found.select("o_orderkey", *(F.col(f"h.{c}").cast("long").alias(c) for c in ("metadata_size", "file_size", "data_offset")), "h.endian", "kind")
 
 
 _SUPPLY = "(SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS k, CAST(s_suppkey % 97 AS BIGINT) AS size FROM supplier)"
@@ -66,12 +67,12 @@ def _supplier_files(spark, sf_dir) -> DataFrame:
 
 @query(f"""
 SELECT CAST(s_nationkey AS VARCHAR) AS path, CAST(k AS INTEGER) AS ordinal, CAST(s_suppkey AS BIGINT) AS path_id,
-  CAST(sum(size) OVER (PARTITION BY s_nationkey ORDER BY k) - size AS DECIMAL(20,0)) AS rel_offset, size AS byte_size, CAST(CASE WHEN k % 2 = 0 THEN 1 ELSE 28 END AS INTEGER) AS class_id
+  CAST(sum(size) OVER (PARTITION BY s_nationkey ORDER BY k) - size AS BIGINT) AS rel_offset, size AS byte_size, CAST(CASE WHEN k % 2 = 0 THEN 1 ELSE 28 END AS INTEGER) AS class_id
 FROM {_SUPPLY}""")
 def directory_scan(spark, sf_dir):
     source = _supplier_files(spark, sf_dir)
     rows = lookups.objects_with_type(tables.objects_table(source), tables.types(source))
-    return rows.select("path", "ordinal", "path_id", "rel_offset", "byte_size", "class_id")
+    return rows.select("path", "ordinal", "path_id", F.col("rel_offset").cast("long").alias("rel_offset"), "byte_size", "class_id")
 
 
 @query(f"""
@@ -224,16 +225,16 @@ def registry_lookup(spark, sf_dir):
 @query("""
 WITH offers AS (SELECT p_partkey, p_type, length(p_name) AS n, p_brand, p_size FROM part),
 agreed AS (SELECT p_type, n, p_brand, min(p_size) <> max(p_size) AS conflict FROM offers GROUP BY ALL)
-SELECT encode(o.p_type) AS engine, CAST(o.n AS INTEGER) AS class_id, encode(o.p_brand) AS type_hash, o.p_size AS size, CASE WHEN conflict THEN 'conflict' ELSE 'learnt' END AS status
+SELECT o.p_type AS engine, CAST(o.n AS INTEGER) AS class_id, o.p_brand AS type_hash, o.p_size AS size, CASE WHEN conflict THEN 'conflict' ELSE 'learnt' END AS status
 FROM offers o JOIN agreed USING (p_type, n, p_brand) GROUP BY ALL""")
 def registry_learn(spark, sf_dir):
     entries = _registry(spark, sf_dir, "true")
     learnt = lookups.learn(entries.limit(0), entries)
-    return learnt.select("engine", "class_id", "type_hash", F.col("schema").cast("string").cast("int").alias("size"), "status")
+    return learnt.select(F.decode("engine", "UTF-8").alias("engine"), "class_id", F.decode("type_hash", "UTF-8").alias("type_hash"), F.col("schema").cast("string").cast("int").alias("size"), "status")
 
 
 @query("""
-SELECT c_custkey, CAST(c_custkey * 1000003 AS DECIMAL(20,0)) AS big, CAST(c_custkey * 1000003 AS DECIMAL(20,0)) AS little, -CAST(c_custkey AS BIGINT) AS negative FROM customer""")
+SELECT c_custkey, CAST(c_custkey * 1000003 AS BIGINT) AS big, CAST(c_custkey * 1000003 AS BIGINT) AS little, -CAST(c_custkey AS BIGINT) AS negative FROM customer""")
 def endian_round_trip(spark, sf_dir):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,4 +245,4 @@ def endian_round_trip(spark, sf_dir):
 
     rows = _table(spark, sf_dir, "customer").select("c_custkey").mapInArrow(run, "c_custkey long, b binary")
     b = F.col("b")
-    return rows.select("c_custkey", binary.unsigned(b, 0, 8).alias("big"), binary.unsigned(b, 8, 8, False).alias("little"), binary.signed(b, 16, 8).alias("negative"))
+    return rows.select("c_custkey", binary.unsigned(b, 0, 8).cast("long").alias("big"), binary.unsigned(b, 8, 8, False).cast("long").alias("little"), binary.signed(b, 16, 8).alias("negative"))
