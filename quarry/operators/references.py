@@ -63,7 +63,7 @@ def wanted_paths(outer: str | None, root: str | None, locator: str | None) -> li
     for depth, directory in enumerate(paths.ancestors(paths.parent(outer), root)):
         wanted = paths.join(directory, locator)
         if wanted is None:
-            # The reference stops here; nearer directories were tried before.
+            # The walk ends here; nearer directories were tried before.
             out.append({"depth": depth, "wanted": None})
             break
         if paths.contains(wanted, root):
