@@ -1,7 +1,9 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
-Reference points are a bounded sample of the vectors: the ``2 * sqrt(n)`` classes with the
-lowest hash, ``MOST_PIVOTS`` at most.  Every vector is described by its ``NEAREST`` nearest
+Reference points are a bounded sample of the vectors, ``2 * sqrt(n)`` and ``MOST_PIVOTS``
+at most: in the order of a hash, each class whose cosine with all before it is below
+``APART``, so that a large group of near vectors gets one and its members share it, rather
+than draw from many about as near.  Every vector is described by its ``NEAREST`` nearest
 reference points in order, and indexed in inverted lists under each two of them, so that two
 vectors meet if they share ``SHARED`` = 2 or more pivots.  Within a list, a pair is verified
 only where the two are its least shared pivots, which counts every pair once.  With a number
@@ -30,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import UnionFind, components
+from .components import components
 from .storage import cut
 from .workers import lean
 
 THRESHOLD = 0.9
 NEAREST, SHARED, MOST_PIVOTS, BLOCK = 8, 2, 4096, 1024
+APART, ROUNDS = 0.7, 4
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -70,11 +73,51 @@ def _clean(embeddings: DataFrame) -> tuple[DataFrame, int]:
     return rows.withColumns({"d1": F.when(F.col("v").isNotNull(), F.xxhash64("v")), "d2": F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), "v"))}), dim
 
 
+def _thin(vectors: np.ndarray, pivots: np.ndarray, most: int) -> np.ndarray:
+    """``pivots`` and each of the unit vectors that is far from all of them and all before it."""
+    held = np.concatenate((pivots, np.empty((max(0, most - len(pivots)), vectors.shape[1]))))
+    n = len(pivots)
+    for x in vectors:
+        if n < most and (not n or (held[:n] @ x).max() < APART):
+            held[n] = x
+            n += 1
+    return held[:n]
+
+
+def _far(classes: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
+    """The classes that are near none of the pivots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = [np.empty(0, bool)]
+            for at in range(0, batch.num_rows, 512):
+                x = unit(_matrix(batch.column("v").slice(at, 512), dim))
+                far.append((x @ pivots.T).max(axis=1) < APART)
+            yield batch.filter(pa.array(np.concatenate(far)))
+
+    return classes.mapInArrow(lean(run), classes.schema)
+
+
 def choose_pivots(classes: DataFrame, most: int = MOST_PIVOTS) -> np.ndarray:
+    """Rounds, each over the classes that are far from the pivots so far, so that large groups
+    don't use up the sample; near ones only where there are fewer than ``NEAREST`` others."""
     n = classes.count()
     wanted = max(NEAREST, min(most, math.ceil(2 * math.sqrt(n))))
-    rows = classes.orderBy(F.xxhash64("id", F.lit(5)), "d1", "d2").select("v").limit(wanted).collect()
-    return unit(np.array([r["v"] for r in rows], np.float64)) if rows else np.empty((0, 0))
+    classes = classes.select("id", "d1", "d2", "v")
+    lowest = lambda rows: [r["v"] for r in rows.orderBy(F.xxhash64("id", F.lit(5)), "d1", "d2").select("v").limit(wanted).collect()]
+    rows = lowest(classes)
+    if not rows:
+        return np.empty((0, 0))
+    first = unit(np.array(rows, np.float64))
+    pivots = _thin(first, first[:0], wanted)
+    for _ in range(ROUNDS):
+        if len(pivots) >= wanted or not (rows := lowest(_far(classes, pivots, first.shape[1]))):
+            break
+        pivots = _thin(unit(np.array(rows, np.float64)), pivots, wanted)
+    if len(pivots) < NEAREST:
+        new = [x for x in first if (pivots != x).any(axis=1).all()]
+        pivots = np.array([*pivots, *new][:NEAREST])
+    return pivots
 
 
 def _index(classes: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
@@ -113,28 +156,28 @@ def _verify(part: pa.RecordBatch, n_pivots: int, dim: int, threshold: float) ->
     lists = np.frombuffer(b"".join(part.column("near").to_pylist()), "<u2").reshape(len(ids), -1).astype(np.int64)
     p, q = divmod(int(part.column("key")[0].as_py()), n_pivots)
     # A pair belongs to the list of its two least shared pivots.
-    lower = (lists < q) & (lists != p)
-    at, who = np.nonzero(near)
-    left, right = a[at], b[who]
-    shared = (lists[left][:, :, None] == lists[right][:, None, :]) & lower[left][:, :, None]
-    own = ~shared.any(axis=(1, 2))
-    left, right = left[own], right[own]
-    if side[0] == 2:
-        once = left < right
-    else:
-        once = np.ones(len(left), bool)
-    n = np.zeros(len(ids), np.int64)
-    np.add.at(n, left[once], size[right[once]])
-    np.add.at(n, right[once], size[left[once]])
-    sets, edges = UnionFind(), []
-    for i, j in zip(ids[left[once]].tolist(), ids[right[once]].tolist()):
-        if sets.find(i) != sets.find(j):
-            sets.union(i, j)
-            edges.append((i, j))
+    who, which = np.nonzero((lists < q) & (lists != p))
+    seen, which = np.unique(lists[who, which], return_inverse=True)
+    lower = np.zeros((len(ids), len(seen)), np.float32)
+    lower[who, which] = 1
+    near &= lower[a] @ lower[b].T == 0
+    n = np.zeros(len(ids))
+    n[a] += near @ size[b].astype(np.float64)
+    if side[0] != 2:
+        n[b] += size[a].astype(np.float64) @ near
+    n = n.astype(np.int64)
+    edges = []
+    group = np.arange(len(b))  # of each column; a row joins all that it links with
+    for row in np.flatnonzero(near.any(axis=1)).tolist():
+        linked, first = np.unique(group[hits := np.flatnonzero(near[row])], return_index=True)
+        own = group[row] if side[0] == 2 else linked[0]
+        edges += [(ids[a[row]], ids[b[hits[k]]]) for k, g in zip(first.tolist(), linked.tolist()) if side[0] != 2 or g != own]
+        if len(linked) > 1 or linked[0] != own:
+            group[np.isin(group, linked)] = own
     hit = np.flatnonzero(n)
     return pa.record_batch({
         "a": pa.array(np.concatenate((ids[hit], np.array([e[0] for e in edges], np.int64)))),
-        "b": pa.array([None] * len(hit) + [e[1] for e in edges], pa.int64()),
+        "b": pa.array([None] * len(hit) + [int(e[1]) for e in edges], pa.int64()),
         "n": pa.array(np.concatenate((n[hit], np.zeros(len(edges), np.int64))))})
 
 

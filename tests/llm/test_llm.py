@@ -447,6 +447,23 @@ def test_near_vectors(spark):
     assert pivot_index.near_vectors(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [3_000, 12_000])
+def test_near_vectors_in_a_large_group(spark, size):
+    rng = np.random.default_rng(size)
+    x = rng.normal(size=(size, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    group = size // 3  # around one centre, at cosines of about 0.91 to 0.98
+    x[:group] = x[0] + np.sqrt(1 / rng.uniform(0.92, 0.98, size=(group, 1)) - 1) * x[1: group + 1]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    link = (x[:group] @ x[:group].T >= 0.9).sum(axis=1) - 1
+    frame = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in pivot_index.near_vectors(frame).collect()}
+    found = np.array([got[k] for k in range(group)])
+    assert (found <= link).all() and found.sum() >= 0.95 * link.sum()
+    pivots = pivot_index.choose_pivots(frame.selectExpr("vec_id id", "embedding v", "xxhash64(embedding) d1", "0L d2"))
+    assert len(pivots) == math.ceil(2 * math.sqrt(size)) and (pivots @ pivots.T - np.eye(len(pivots))).max() < pivot_index.APART
+
+
 # 9 mixing
 
 def test_mixing(spark, documents, awkward, empty):
