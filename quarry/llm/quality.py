@@ -12,9 +12,9 @@ memory-mapped by the workers and searched once per distinct 4-gram of a block of
 A document's perplexity is 10 ** (-mean log10 probability of its characters).  Within
 each language the bands are median +- ``spread`` robust standard deviations of
 log10(perplexity) over all documents that pass the base rules, and never narrower than
-``narrowest``.  A document is rejected if its log10(perplexity) is outside its language's
-bands by more than ``NOISE`` standard errors of its own mean, so that short clean texts,
-whose perplexity varies most, are not rejected by chance.
+``narrowest``.  As perplexity varies most between short texts, the deviation is that of
+texts with the document's standard error: its error times the language's robust standard
+deviation of (log10(perplexity) - median) / error.  A document outside is rejected.
 
 Edge cases: a null or empty text has no words, fails the base rules and has a null
 perplexity; a null language is a language of its own; repeated rows count as often as
@@ -37,10 +37,12 @@ from .textvec import SPACE, buffer_of, hash_spans, mix, pair, slices, word_spans
 from .workers import lean
 
 ORDER, BITS = 4, 6
-SPREAD_HIGH, SPREAD_LOW, NARROWEST, NOISE = 2.0, 2.0, 0.02, 3.5
+SPREAD_HIGH, SPREAD_LOW, NARROWEST = 2.0, 2.0, 0.02
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
 BIN = 0.0005
+#: Of deviations in standard errors, and the most that is told apart.
+ERROR_BIN, MOST_ERRORS = 0.005, 100.0
 #: Languages up to which their bands are broadcast.
 MOST_BROADCAST = 65_536
 
@@ -320,28 +322,31 @@ def score(documents: DataFrame, path: str, carry: tuple[str, ...] = ()) -> DataF
     return rows.mapInArrow(lean(run), SCORED + more)
 
 
-def bands(scored: DataFrame, high: float = SPREAD_HIGH, low: float = SPREAD_LOW, narrowest: float = NARROWEST) -> DataFrame:
-    """``lang, low_ppl, high_ppl`` from exact medians over a histogram of log10(perplexity)."""
+def _per_language(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``few``, a row for each language."""
+    few = few.withColumnRenamed("lang", "of")
+    if few.count() <= MOST_BROADCAST:  # a join by language would gather a common one
+        few = F.broadcast(few)
+    return rows.join(few, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
+
+
+def bands(scored: DataFrame) -> DataFrame:
+    """``lang, centre, scale``: the median of log10(perplexity), and the robust standard deviation
+    from it in standard errors; exact medians over histograms."""
     x = scored.where(~F.col("base_failed") & F.col("perplexity").isNotNull())
-    histogram = x.groupBy("lang", F.round(F.log10("perplexity") / BIN).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
-    def median(bins: DataFrame, name: str) -> DataFrame:
+    def median(value, name: str, rows: DataFrame, width: float) -> DataFrame:
+        bins = rows.groupBy("lang", F.round(value / width).cast("long").alias("bin")).agg(F.count("*").alias("n"))
         w = Window.partitionBy("lang")
         upto = F.sum("n").over(w.orderBy("bin"))
         marked = bins.withColumns({"upto": upto, "all": F.sum("n").over(w)})
-        return marked.where(F.col("upto") * 2 >= F.col("all")).groupBy("lang").agg(F.min("bin").alias(name))
-
-    def with_(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.join(b.withColumnRenamed("lang", "of"), F.col("lang").eqNullSafe(F.col("of"))).drop("of")
+        return marked.where(F.col("upto") * 2 >= F.col("all")).groupBy("lang").agg((F.min("bin") * width).alias(name))
 
-    middle = median(histogram, "middle")
-    away = with_(histogram, middle).groupBy("lang", F.abs(F.col("bin") - F.col("middle")).alias("bin")).agg(F.sum("n").alias("n"))
-    both = with_(middle, median(away, "away"))
-    sigma = F.col("away") * BIN * 1.4826
-    centre = F.col("middle") * BIN
-    return both.select(
-        "lang", F.pow(F.lit(10.0), centre - F.greatest(sigma * low, F.lit(narrowest))).alias("low_ppl"),
-        F.pow(F.lit(10.0), centre + F.greatest(sigma * high, F.lit(narrowest))).alias("high_ppl"))
+    centre = cut(median(F.log10("perplexity"), "centre", x, BIN), "kn-centres")
+    away = F.abs(F.log10("perplexity") - F.col("centre"))
+    errors = F.when(F.col("error") > 0, F.least(away / F.col("error"), F.lit(MOST_ERRORS))).otherwise(F.lit(0.0))
+    scale = median(errors, "scale", _per_language(x, centre), ERROR_BIN).withColumn("scale", F.col("scale") * 1.4826)
+    return _per_language(centre, cut(scale, "kn-scales"))
 
 
 def train(documents: DataFrame) -> str:
@@ -351,15 +356,12 @@ def train(documents: DataFrame) -> str:
     return path
 
 
-def judged(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """All columns of ``score`` with the bands and ``kept``."""
+def judged(documents: DataFrame, carry: tuple[str, ...] = (), high: float = SPREAD_HIGH, low: float = SPREAD_LOW, narrowest: float = NARROWEST) -> DataFrame:
+    """All columns of ``score`` with ``centre`` and ``scale`` of the language, and ``kept``."""
     scored = cut(score(documents, train(documents), carry), "kn-scores")
-    limits = cut(bands(scored).withColumnRenamed("lang", "of"), "kn-bands")
-    if limits.count() <= MOST_BROADCAST:  # a row for each language; a join by language would gather a common one
-        limits = F.broadcast(limits)
-    found = scored.join(limits, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
-    x, noise = F.log10("perplexity"), F.col("error") * NOISE
-    banded = x.between(F.log10("low_ppl") - noise, F.log10("high_ppl") + noise)
+    found = _per_language(scored, cut(bands(scored), "kn-bands"))
+    away, spread = F.log10("perplexity") - F.col("centre"), F.col("scale") * F.col("error")
+    banded = away.between(-F.greatest(spread * low, F.lit(narrowest)), F.greatest(spread * high, F.lit(narrowest)))
     inside = F.col("perplexity").isNotNull() & F.coalesce(banded, F.lit(True))
     return found.withColumn("kept", ~F.col("base_failed") & inside)
 

@@ -136,6 +136,14 @@ def test_quality_rejects_by_band(spark):
 
 # 2 SentencePiece
 
+def test_quality_rejects_labelled_junk(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.judged(docs).where("NOT base_failed").join(labels, "doc_id").where("quality IS NOT NULL").select("lang", "quality", "kept").collect()
+    share = lambda flag, lang: np.mean([r.kept for r in rows if r.quality == flag and r.lang == lang])
+    assert share(0, "en") < 0.5 and share(0, "de") < 0.8 and share(0, "fr") < 0.9
+    assert all(share(1, lang) > 0.95 for lang in ("de", "en", "es", "fr"))
+
+
 def brute_viterbi(coder, text):
     if not text:
         return 0.0
