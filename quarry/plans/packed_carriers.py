@@ -168,22 +168,33 @@ def string_resolution(spark, sf_dir):
     return lookups.resolve_strings(offsets, table, ["r_regionkey"])
 
 
-@query("""
-SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 11 = 0 OR l_suppkey + (l_partkey % 3 - 1) * 1000000 = 0 THEN 'null' WHEN l_linenumber = 7 THEN 'invalid-file-id'
-  WHEN l_partkey % 3 <> 1 THEN 'target-missing' WHEN l_linenumber % 2 = 0 THEN 'target-wrong-class' ELSE 'local' END AS status FROM lineitem WHERE l_orderkey % 10 = 3""")
-def local_references(spark, sf_dir):
+def _line_references(spark, sf_dir, line: DataFrame) -> DataFrame:
     """Pointers of line items to an object of the supplier's file with the supplier's key."""
     supplier = _table(spark, sf_dir, "supplier")
     nodes = supplier.select(F.col("s_suppkey").alias("node"), F.lit("r/f").alias("outer_path"), F.lit(None).cast("string").alias("member_name"), F.lit(False).alias("is_member"), F.lit("r").alias("scope_root"), F.lit(False).alias("has_guid"), F.lit(bytes(16)).alias("guid"))
     objects = supplier.select(F.col("s_suppkey").alias("node"), F.lit(0).alias("ordinal"), F.col("s_suppkey").alias("path_id"), F.lit(5).alias("class_id"))
     externals = spark.createDataFrame([], "node long, ordinal int, virtual_path string, path_name string, guid binary, type int")
-    line = _table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 3")
     pointers = line.select(
         F.struct("l_orderkey", "l_linenumber").alias("pointer"), F.col("l_suppkey").alias("node"), F.when(F.col("l_linenumber") == 7, -1).otherwise(0).alias("file_id"),
         F.when(F.col("l_partkey") % 11 == 0, 0).otherwise(F.col("l_suppkey") + (F.col("l_partkey") % 3 - 1) * 1000000).alias("path_id"), F.when(F.col("l_linenumber") % 2 == 0, 6).otherwise(5).alias("expected_class"))
     return references.resolve(nodes, objects, externals, pointers).select("pointer.*", "status")
 
 
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 11 = 0 OR l_suppkey + (l_partkey % 3 - 1) * 1000000 = 0 THEN 'null' WHEN l_linenumber = 7 THEN 'invalid-file-id'
+  WHEN l_partkey % 3 <> 1 THEN 'target-missing' WHEN l_linenumber % 2 = 0 THEN 'target-wrong-class' ELSE 'local' END AS status FROM lineitem WHERE l_orderkey % 10 = 3""")
+def local_references(spark, sf_dir):
+    """A tenth of the pointers; ``whole_local_references`` resolves all of them."""
+    return _line_references(spark, sf_dir, _table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 3"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 11 = 0 OR l_suppkey + (l_partkey % 3 - 1) * 1000000 = 0 THEN 'null' WHEN l_linenumber = 7 THEN 'invalid-file-id'
+  WHEN l_partkey % 3 <> 1 THEN 'target-missing' WHEN l_linenumber % 2 = 0 THEN 'target-wrong-class' ELSE 'local' END AS status FROM lineitem""")
+def whole_local_references(spark, sf_dir):
+    return _line_references(spark, sf_dir, _table(spark, sf_dir, "lineitem"))
+
+
 @query("""
 WITH slots AS (SELECT o_custkey % 50 AS host, o_orderkey, o_custkey AS rid FROM orders), rows AS (SELECT c_custkey % 50 AS host, c_custkey AS rid, c_custkey % 4 = 0 AS empty FROM customer WHERE c_custkey % 6 <> 1
   UNION ALL SELECT c_custkey % 50, c_custkey, false FROM customer WHERE c_custkey % 9 = 0),

@@ -38,3 +38,9 @@ def test_entry_and_registration(spark):
 
     assert entry.entry(spark).count() >= 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_every_line_item_is_resolved(spark):
+    found = carriers.QUERIES["whole_local_references"](spark, SF)
+    line = spark.read.parquet(f"{SF}/lineitem.parquet")
+    assert found.count() == line.count() and found.select("l_orderkey", "l_linenumber").exceptAll(line.select("l_orderkey", "l_linenumber")).count() == 0
