@@ -221,11 +221,8 @@ def _registry(spark, sf_dir, keep: str) -> DataFrame:
         F.col("p_size").cast("string").cast("binary").alias("schema"), F.col("p_partkey").cast("string").alias("path"), F.lit(0).alias("member"), F.lit("type").alias("row_kind"), F.lit(0).alias("type_ordinal"))
 
 
-@query("""
-WITH known AS (SELECT p_type, length(p_name) AS n, p_brand, min(p_size) AS size FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL)
-SELECT p.p_partkey, k.size IS NOT NULL AS found, k.size AS size FROM part p LEFT JOIN known k ON p.p_type = k.p_type AND length(p.p_name) = k.n AND p.p_brand = k.p_brand WHERE p.p_partkey % 3 = 1""")
-def registry_lookup(spark, sf_dir):
-    entries = _registry(spark, sf_dir, "p_partkey % 3 = 1").withColumn("schema", F.lit(None).cast("binary"))
+def _known_schemas(spark, sf_dir, keep: str) -> DataFrame:
+    entries = _registry(spark, sf_dir, keep).withColumn("schema", F.lit(None).cast("binary"))
     known = _registry(spark, sf_dir, "p_partkey % 3 = 0")
     keys = [c for c in known.columns if c not in ("schema", "path", "member", "row_kind", "type_ordinal")]
     known = known.groupBy(*keys).agg(F.min(F.col("schema").cast("string").cast("int")).alias("s")).withColumn("schema", F.col("s").cast("string").cast("binary")).drop("s")
@@ -233,6 +230,21 @@ def registry_lookup(spark, sf_dir):
     return found.select(F.col("path").cast("long").alias("p_partkey"), "found", F.col("found_schema").cast("string").cast("int").alias("size"))
 
 
+@query("""
+WITH known AS (SELECT p_type, length(p_name) AS n, p_brand, min(p_size) AS size FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL)
+SELECT p.p_partkey, k.size IS NOT NULL AS found, k.size AS size FROM part p LEFT JOIN known k ON p.p_type = k.p_type AND length(p.p_name) = k.n AND p.p_brand = k.p_brand WHERE p.p_partkey % 3 = 1""")
+def registry_lookup(spark, sf_dir):
+    """A third of the parts; ``whole_registry_lookup`` looks up all of them."""
+    return _known_schemas(spark, sf_dir, "p_partkey % 3 = 1")
+
+
+@query("""
+WITH known AS (SELECT p_type, length(p_name) AS n, p_brand, min(p_size) AS size FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL)
+SELECT p.p_partkey, k.size IS NOT NULL AS found, k.size AS size FROM part p LEFT JOIN known k ON p.p_type = k.p_type AND length(p.p_name) = k.n AND p.p_brand = k.p_brand""")
+def whole_registry_lookup(spark, sf_dir):
+    return _known_schemas(spark, sf_dir, "true")
+
+
 @query("""
 WITH offers AS (SELECT p_partkey, p_type, length(p_name) AS n, p_brand, p_size FROM part),
 agreed AS (SELECT p_type, n, p_brand, min(p_size) <> max(p_size) AS conflict FROM offers GROUP BY ALL)

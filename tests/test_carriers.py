@@ -44,3 +44,8 @@ def test_every_line_item_is_resolved(spark):
     found = carriers.QUERIES["whole_local_references"](spark, SF)
     line = spark.read.parquet(f"{SF}/lineitem.parquet")
     assert found.count() == line.count() and found.select("l_orderkey", "l_linenumber").exceptAll(line.select("l_orderkey", "l_linenumber")).count() == 0
+
+
+def test_every_part_is_looked_up(spark):
+    found = carriers.QUERIES["whole_registry_lookup"](spark, SF)
+    assert sorted(r.p_partkey for r in found.collect()) == sorted(r.p_partkey for r in spark.read.parquet(f"{SF}/part.parquet").collect())
