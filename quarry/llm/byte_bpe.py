@@ -69,18 +69,18 @@ class Encoder:
 
     def _new(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some pieces in order, and the number for each."""
-        sizes, counts = ends - starts, np.zeros(len(starts), np.int64)
-        data, parts, order = raw.tobytes(), [], []
+        sizes, counts, low = ends - starts, np.zeros(len(starts), np.int64), int(starts.min())
+        data, parts, order = raw[low: int(ends.max())].tobytes(), [], []
         spaced = raw[starts] == 0x20
         alone = np.flatnonzero(~spaced)
-        for i, ids in zip(alone, self._library([data[a:b].decode() for a, b in zip(starts[alone], ends[alone])])):
+        for i, ids in zip(alone, self._library([data[a:b].decode() for a, b in zip(starts[alone] - low, ends[alone] - low)])):
             counts[i] = len(ids)
             parts.append(ids)
         order.append(alone)
         joined = np.flatnonzero(spaced)
         for at in range(0, len(joined), TOGETHER):
             some = joined[at: at + TOGETHER]
-            ids = self._library([b"".join([data[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist())]).decode()])[0]
+            ids = self._library([b"".join([data[a:b] for a, b in zip((starts[some] - low).tolist(), (ends[some] - low).tolist())]).decode()])[0]
             want, done = np.cumsum(sizes[some]), np.cumsum(self.bytes_of[ids])
             to = np.searchsorted(done, want) + 1
             if not np.array_equal(done[to - 1], want):
@@ -105,7 +105,7 @@ class Encoder:
         last = np.searchsorted(starts, bounds[1:]) - 1
         ends[last] -= 1
         hashes = hash_spans(raw, starts, ends, lower=False)
-        ids, total = self.table.expand(hashes, lambda at: self._new(raw, starts[at], ends[at]))
+        ids, total = self.table.expand(hashes, raw, starts, ends, lambda at: self._new(raw, starts[at], ends[at]))
         out_bounds = np.concatenate(([0], total[last])) if n else np.zeros(1, np.int64)
         if end is not None:
             full = np.empty(len(ids) + n, self.dtype)

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .piece_table import PieceTable
-from .textvec import BLOCK, _BASE, _INVERSE, _power, mix, slices
+from .textvec import hash_spans, slices
 from .workers import lean
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE, LITERAL = 0x2581, 0x110000  # the mark for a space, and what stands for that character itself
 BYTE_PENALTY = 10.0
+#: Code points of text taken at a time.
+PART = 1 << 20
+#: Code points from which a part's states are held in machine types.
+MANY = 1 << 12
 _LOW = 0x250
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>$")
 
@@ -102,83 +107,112 @@ class Encoder:
         for i in self.pieces.plain:
             self.automaton.add_word(self.pieces.names[i], (len(self.pieces.names[i]), float(self.pieces.score[i]), i))
         self.automaton.make_automaton()
+        self.lengths = [len(x) for x in self.pieces.names]
         self.byte_score = float(self.pieces.score[self.pieces.byte_id[0]])
         self.table = PieceTable("<u2" if len(self.pieces.names) < 1 << 16 else "<u4")
 
     def _fallback(self, point: int) -> list[int]:
-        text = chr(SPACE) if point in (SPACE, LITERAL) else chr(point)
-        if point == SPACE:
-            text = " "
+        text = " " if point == SPACE else chr(SPACE) if point == LITERAL else chr(point)
         return [self.pieces.byte_id[b] for b in text.encode()]
 
-    def segment(self, points: list[int]) -> list[int]:
-        """The ids of the best segmentation of a sequence of code points."""
-        text = "".join(map(chr, points)) if LITERAL not in points else "".join("\U0010FFFF" if p == LITERAL else chr(p) for p in points)
-        n = len(points)
-        best, back, done = [0.0] * (n + 1), [None] * (n + 1), 0
-        bytes_of: dict[int, list[int]] = {}
-
-        def reach(to: int) -> None:  # bytes are always possible, and come first
-            nonlocal done
-            while done < to:
-                bytes_of[done] = own = self._fallback(points[done])
-                best[done + 1] = best[done] + len(own) * self.byte_score
-                done += 1
-
+    def segment(self, text: str, points: np.ndarray, own: np.ndarray) -> list[int] | array:
+        """The ids of the best segmentation of a piece of text: ``points`` are its code points,
+        ``own`` the scores of their bytes."""
+        n = len(text)
+        if n < MANY:
+            own, best, back = own.tolist(), [0.0] * (n + 1), [-1] * (n + 1)
+        else:
+            best, back = array("d", bytes(8 * (n + 1))), array("i", b"\xff" * 4 * (n + 1))
+        done = 0
         for end, (size, score, piece) in self.automaton.iter(text):
-            if end >= done:
-                reach(end + 1)
+            while done <= end:  # bytes are always possible, and come first
+                best[done + 1] = best[done] + own[done]
+                done += 1
             total = best[end + 1 - size] + score
-            if total > best[end + 1] or back[end + 1] is None and total == best[end + 1]:
-                best[end + 1], back[end + 1] = total, (size, piece)
-        reach(n)
-        out: list[int] = []
-        at = n
+            if total > best[end + 1] or back[end + 1] < 0 and total == best[end + 1]:
+                best[end + 1], back[end + 1] = total, piece
+        out, at, sizes = [] if n < MANY else array("i"), n, self.lengths
         while at:
-            step = back[at]
-            if step is None:
+            piece = back[at]
+            if piece < 0:
                 at -= 1
-                out += reversed(bytes_of[at])
+                out.extend(reversed(self._fallback(int(points[at]))))
             else:
-                at -= step[0]
-                out.append(step[1])
-        return out[::-1]
+                at -= sizes[piece]
+                out.append(piece)
+        out.reverse()
+        return out
 
     def _new(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = [self.segment(points[a:b].tolist()) for a, b in zip(starts.tolist(), ends.tolist())]
-        counts = np.array([len(x) for x in found], np.int64)
-        return np.array([i for x in found for i in x], self.table.dtype), counts
-
-    def flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in one array and the bounds of each text in it."""
-        spaced = [" " + t if t else "" for t in texts]
-        points = np.frombuffer("".join(spaced).encode("utf-32-le"), "<u4").copy()
-        points[points == SPACE] = LITERAL
-        points[points == 0x20] = SPACE
-        bounds = np.concatenate(([0], np.cumsum([len(t) for t in spaced], dtype=np.int64))).astype(np.int64)
-        if not len(points):
-            return np.empty(0, self.table.dtype), np.zeros(len(texts) + 1, np.int64)
+        low = int(starts.min())
+        points = points[low: int(ends.max())]
+        text = np.where(points == LITERAL, 0x10FFFF, points).astype("<u4").tobytes().decode("utf-32-le")
+        own = np.where(points == SPACE, 1, np.where(points == LITERAL, 3, 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))) * self.byte_score
+        ids, counts = array("i"), np.empty(len(starts), np.int64)
+        for k, (a, b) in enumerate(zip((starts - low).tolist(), (ends - low).tolist())):
+            before = len(ids)
+            ids.extend(self.segment(text[a:b], points[a:b], own[a:b]))
+            counts[k] = len(ids) - before
+        return np.array(ids, self.table.dtype), counts
+
+    def _parts(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, bool]]:
+        """The code points of the texts, whole texts together up to a size or a part of a long
+        one, and whether the part ends its text (else it ends where a piece must)."""
+        for text in texts:
+            if not text:
+                yield np.empty(0, np.uint32), True
+                continue
+            held = np.empty(0, np.uint32)
+            for at in range(0, len(text), PART):
+                more = (" " if not at else "") + text[at: at + PART]
+                more = np.frombuffer(more.encode("utf-32-le"), "<u4").copy()
+                more[more == SPACE] = LITERAL
+                more[more == 0x20] = SPACE
+                held = np.concatenate((held, more)) if len(held) else more
+                if at + PART >= len(text):
+                    yield held, True
+                elif len(edges := np.flatnonzero(self._borders(held)[1:-1])):
+                    yield held[: edges[-1] + 1], False
+                    held = held[edges[-1] + 1:]
+
+    def _borders(self, points: np.ndarray) -> np.ndarray:
+        """Before which code points a piece must end, and after the last."""
         codes = self.pieces.codes(points)
         cut = np.ones(len(points) + 1, bool)
         cut[1:-1] = ~self.pieces.beside[codes[:-1], codes[1:]] & ~((codes[:-1] == _LOW + 1) & (codes[1:] == _LOW + 1))
-        cut[bounds] = True
-        edges = np.flatnonzero(cut)
-        starts, ends = edges[:-1], edges[1:]
-        hashes = np.empty(len(starts), np.uint64)
-        at = 0
-        while at < len(starts):  # a bounded number of code points at a time
-            first = int(starts[at])
-            to = max(at + 1, int(np.searchsorted(ends, first + BLOCK, side="right")))
-            last = int(ends[to - 1])
-            sums = np.zeros(last - first + 1, np.uint64)
-            np.cumsum(mix(points[first:last].astype(np.uint64) + np.uint64(1)) * _power(_BASE, last - first), out=sums[1:])
-            s, e = starts[at:to] - first, ends[at:to] - first
-            value = (sums[e] - sums[s]) * _power(_INVERSE, last - first + 1)[s]
-            hashes[at:to] = mix(value + (e - s).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-            at = to
-        ids, total = self.table.expand(hashes, lambda k: self._new(points, starts[k], ends[k]))
-        upto = np.searchsorted(edges, bounds)  # pieces before each text
-        return ids, np.concatenate(([0], total))[upto]
+        return cut
+
+    def flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array and the bounds of each text in it."""
+        out, ends, total = [np.empty(0, self.table.dtype)], [0], 0
+        held: list[tuple[np.ndarray, bool]] = []
+
+        def done() -> None:
+            nonlocal total
+            points = np.concatenate([p for p, _ in held])
+            bounds = np.cumsum([0, *(len(p) for p, _ in held)])
+            cut = self._borders(points)
+            cut[bounds] = True
+            edges = np.flatnonzero(cut) if len(points) else np.zeros(1, np.int64)
+            starts, stops, raw = edges[:-1], edges[1:], points.view(np.uint8)
+            hashes = hash_spans(raw, 4 * starts, 4 * stops, lower=False)
+            ids, upto = self.table.expand(hashes, raw, 4 * starts, 4 * stops, lambda k: self._new(points, starts[k], stops[k]))
+            upto = np.concatenate(([0], upto))[np.searchsorted(edges, bounds[1:])] + total
+            ends.extend(u for u, (_, last) in zip(upto.tolist(), held) if last)
+            out.append(ids)
+            total += len(ids)
+            held.clear()
+
+        size = 0
+        for part in self._parts(texts):
+            held.append(part)
+            size += len(part[0])
+            if size >= PART:
+                done()
+                size = 0
+        if held:
+            done()
+        return np.concatenate(out), np.array(ends, np.int64)
 
     def decode_flat(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """The bytes of every text; vector operations over all ids at once."""

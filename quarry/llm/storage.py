@@ -1,8 +1,10 @@
 """Shared storage for operators that cut lineage or keep files of their own.
 
-Everything lives under the folder that the cluster names in
-``spark.checkpoint.dir``.  Only where that setting is absent (unit tests) a
-folder is made on this machine and handed to Spark as its checkpoint folder.
+Everything lives under the folder that the cluster names in ``spark.checkpoint.dir``, or
+that was given to ``setCheckpointDir``.  Where neither is set, a folder is made on this
+machine if the session runs on it alone (unit tests), and any other session is refused,
+as executors would write to disks of their own.  ``clean_up`` removes what a session's
+operators left there, once their results are stored elsewhere.
 """
 
 from __future__ import annotations
@@ -10,18 +12,37 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+_made: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder URI under the shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="quarry-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/quarry/{label}-{uuid.uuid4().hex}"
+        context.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/quarry/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(context.applicationId, []).append(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete all folders that this application's operators made; DataFrames that they
+    returned can't be read afterwards.  Returns how many there were."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    jvm, settings = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(settings).delete(where, True)
+    return len(paths)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -34,6 +55,8 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The pyarrow file system of a URI or plain absolute path, and the path in it."""
+    if uri.startswith(("s3a://", "s3n://")):  # what Spark calls it
+        uri = "s3" + uri[3:]
     if "://" not in uri and uri.startswith("file:"):
         uri = "file://" + uri[len("file:"):]
     return pafs.FileSystem.from_uri(uri)
@@ -54,8 +77,6 @@ def write_file(uri: str, chunks) -> int:
 
 def map_file(uri: str):
     """A read-only buffer over a file: memory-mapped where the file system is local."""
-    import pyarrow as pa
-
     fs, path = filesystem(uri)
     if isinstance(fs, pafs.LocalFileSystem):
         if fs.get_file_info(path).size == 0:
@@ -64,3 +85,12 @@ def map_file(uri: str):
             return f.read_buffer()
     with fs.open_input_file(path) as f:
         return f.read_buffer()
+
+
+def read_range(uri: str, start: int, size: int):
+    """A buffer over ``size`` bytes of a file from ``start`` on, or as many as there are."""
+    fs, path = filesystem(uri)
+    if isinstance(fs, pafs.LocalFileSystem):
+        return map_file(uri)[start: start + size]
+    with fs.open_input_file(path) as f:
+        return pa.py_buffer(f.read_at(size, start))

@@ -1,21 +1,27 @@
 """Words and 64-bit hashes of whole texts, vectorised over Arrow buffers.
 
 A word is a maximal run of bytes other than space and 0x09-0x0D, which equals
-``[^\\x20\\x09-\\x0D]+`` on the decoded text.  A word's hash is a polynomial over
-a fixed table of random byte values, taken from prefix sums modulo 2**64 and
-mixed with its length; it is the same in every process and on every machine.
+``[^\\x20\\x09-\\x0D]+`` on the decoded text.  A word's hash starts from its length and
+takes in eight bytes at a time, each step being a bijection of them, so that words of up
+to eight bytes and of one length never share a hash; a word of more than ``LONG`` bytes
+is hashed by BLAKE2.  It is the same in every process and on every machine.  Among n
+distinct longer words n**2 / 2**65 pairs are expected to share one; where that isn't
+enough, ``same_spans`` compares the bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes hashed at a time; a longer single word extends its own block.
-BLOCK = 1 << 18
+#: Spans hashed or compared at a time.
+BLOCK = 1 << 17
+#: Bytes from which a span is taken as a whole and not in steps of eight.
+LONG = 512
 #: Bytes of text taken from an Arrow batch at a time; one longer text goes alone.
 SLICE = 2 << 20
 
@@ -23,22 +29,10 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 _U = np.uint64
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_PLAIN = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_LOWER = _PLAIN.copy()
-_LOWER[65:91] = _PLAIN[97:123]
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, BLOCK + 4096), base, dtype=np.uint64)
-        steps[0] = 1
-        have = _powers[base] = np.multiply.accumulate(steps)
-    return have[:n]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Which bytes of a little-endian word of eight belong to the first 0 to 8.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -92,20 +86,49 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
+def _eights(raw: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A padded copy of the buffer, and the eight bytes from each place on as a number."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[:-8] = _LOWER[raw] if lower else raw
+    return padded, np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+
+
 def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """The hash of each span of the buffer; spans are ascending and don't overlap."""
-    table, out = (_LOWER if lower else _PLAIN), np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        first = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(ends, first + BLOCK, side="right")))
-        last = int(ends[to - 1])
-        sums = np.zeros(last - first + 1, np.uint64)
-        np.cumsum(table[raw[first:last]] * _power(_BASE, last - first), out=sums[1:])
-        s, e = starts[at:to] - first, ends[at:to] - first
-        value = (sums[e] - sums[s]) * _power(_INVERSE, last - first + 1)[s]
-        out[at:to] = mix(value + (e - s).astype(np.uint64) * _U(0xA24BAED4963EE407))
-        at = to
+    """The hash of each span of the buffer; spans are ascending."""
+    out = np.empty(len(starts), np.uint64)
+    for at in range(0, len(starts), BLOCK):
+        s, e = starts[at: at + BLOCK], ends[at: at + BLOCK]
+        low = int(s[0])
+        padded, eights = _eights(raw[low: int(e.max())], lower)
+        s, size = s - low, e - s
+        h = mix(size.astype(np.uint64) * _U(0xA24BAED4963EE407) + _U(0x9E3779B97F4A7C15))
+        rest = np.flatnonzero((size > 0) & (size <= LONG))
+        for done in range(0, LONG, 8):
+            if done:
+                rest = rest[size[rest] > done]
+            if not len(rest):
+                break
+            h[rest] = mix(h[rest] ^ (eights[s[rest] + done] & _MASK[np.minimum(size[rest] - done, 8)]))
+        for k in np.flatnonzero(size > LONG).tolist():
+            h[k] = int.from_bytes(hashlib.blake2b(padded[s[k]: s[k] + size[k]], digest_size=8).digest(), "little")
+        out[at: at + BLOCK] = h
+    return out
+
+
+def same_spans(one: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``size`` bytes from each ``a`` in one buffer equal those from ``b`` in the other.
+    Both buffers have eight bytes more than any span needs."""
+    view = lambda raw: np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    x, y, out = view(one), view(other), np.ones(len(a), bool)
+    rest = np.flatnonzero((size > 0) & (size <= LONG))
+    for done in range(0, LONG, 8):
+        rest = rest[size[rest] > done]
+        if not len(rest):
+            break
+        differ = (x[a[rest] + done] ^ y[b[rest] + done]) & _MASK[np.minimum(size[rest] - done, 8)]
+        out[rest[differ != 0]] = False
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = np.array_equal(one[a[k]: a[k] + size[k]], other[b[k]: b[k] + size[k]])
     return out
 
 
@@ -115,10 +138,3 @@ def words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     raw, at = buffer_of(texts)
     starts, ends = word_spans(raw)
     return hash_spans(raw, starts, ends, lower), np.searchsorted(starts, at)
-
-
-def crc_remainder(ids: pa.Array, modulus: int) -> np.ndarray:
-    """crc32(id as text) mod ``modulus`` for each id; a null id counts as the empty text."""
-    from zlib import crc32
-
-    return np.fromiter((crc32(b"" if x is None else str(x).encode()) % modulus for x in ids.to_pylist()), np.int64, len(ids))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import byte_bpe
-from .storage import map_file, shared_dir, write_file
+from .storage import read_range, shared_dir, write_file
 from .textvec import slices
 from .workers import lean
 
@@ -75,9 +75,8 @@ def scan(files: DataFrame, separator: int = SEPARATOR, width: int = WIDTH, block
     blocks = blocks.where("n_ids > 0").repartition("uri", "block")
 
     def view(uri: str, block: int) -> np.ndarray:
-        data = map_file(uri)
-        start = block * block_ids
-        return np.frombuffer(data, f"<u{width}", min(block_ids, data.size // width - start), start * width)
+        data = read_range(uri, block * block_ids * width, block_ids * width)
+        return np.frombuffer(data, f"<u{width}", data.size // width)
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import byte_bpe
-from .storage import map_file, shared_dir, write_file
+from .storage import map_file, read_range, shared_dir, write_file
 from .textvec import slices
 from .workers import lean
 
@@ -146,8 +146,7 @@ def fetch(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
     out = []
     for row in spark.read.parquet(f"{path}/manifest").where(F.col("lo").isNull() | (F.col("lo") <= doc_id)).orderBy("part").toLocalIterator():
         width, offsets, doc_ids, nulls = read_index(row["idx_uri"])
-        ids = None
         for k in np.flatnonzero((doc_ids == doc_id) & (nulls == 0)):
-            ids = read_ids(row["ids_uri"], width) if ids is None else ids
-            out.append(ids[int(offsets[k]): int(offsets[k + 1])].tolist())
+            first, end = int(offsets[k]), int(offsets[k + 1])
+            out.append(np.frombuffer(read_range(row["ids_uri"], first * width, (end - first) * width), f"<u{width}").tolist())
     return out
