@@ -77,10 +77,10 @@ def test_quality_statistics(spark, documents, texts, awkward):
         assert got == want
 
 
-def brute_kneser_ney(counts):
-    """Modified Kneser-Ney from 4-gram counts {tuple of 4 classes: n}, as a function."""
-    levels = {4: Counter(counts)}
-    for k in (3, 2, 1):
+def brute_kneser_ney(texts, least=1):
+    """Modified Kneser-Ney over 5-grams of code points, as a function of a 5-gram."""
+    levels = {5: Counter(p[k:k + 5] for p in ("\0" * 4 + t for t in texts) for k in range(len(p) - 4))}
+    for k in (4, 3, 2, 1):
         levels[k] = Counter(g[1:] for g in levels[k + 1])
     discount, total, kinds = {}, {}, {}
     for k, level in levels.items():
@@ -90,36 +90,50 @@ def brute_kneser_ney(counts):
         total[k], kinds[k] = Counter(), {}
         for g, c in level.items():
             total[k][g[:-1]] += c
-            kinds[k][g[:-1]] = kinds[k].get(g[:-1], 0) + min(discount[k][min(c, 3)], c)
+            kinds[k][g[:-1]] = kinds[k].get(g[:-1], 0) + less(discount[k], c, k, least)
 
     def p(g):
         k = len(g)
         if not k:
-            return 1 / 64
+            return 1 / (len(levels[1]) + 1)
         c, h = levels[k][g], g[:-1]
         if not total[k][h]:
             return p(g[1:])
-        return (c - min(discount[k][min(c, 3)], c) if c else 0) / total[k][h] + kinds[k][h] / total[k][h] * p(g[1:])
+        return (c - less(discount[k], c, k, least) if c else 0) / total[k][h] + kinds[k][h] / total[k][h] * p(g[1:])
 
     return p
 
 
-def test_quality_perplexity_is_kneser_ney(spark):
-    rows = [(1, "the cat sat on the mat. The cat!", "en"), (2, "a cat is a cat, not 12 cats\nand so on", "en"), (3, "le chat", "fr"), (4, "zzzz qqqq 99", "en")]
+def less(discount, c, order, least):
+    return c if order == 5 and c < least else min(discount[min(c, 3)], c)
+
+
+def test_quality_perplexity_is_kneser_ney(spark, monkeypatch):
+    rows = [(1, "the cat sat on the mat. The cat!", "en"), (2, " a cat is a cat, not 12 cats\nand so on", "en"), (3, "le chat", "fr"), (4, "zzzz qqqq 99", "en"), (5, "猫在垫子上 猫在睡觉 \U0001F600", "zh"), (6, "кот сидит на коврике", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    counts = {}
-    split = lambda code: tuple(int(code) >> 6 * k & 63 for k in (3, 2, 1, 0))
-    for _, text, lang in rows:
-        counts.setdefault(lang, Counter()).update(map(split, quality.grams([text])[0]))
-    models = {lang: brute_kneser_ney(c) for lang, c in counts.items()}
-    got = {r.doc_id: r.perplexity for r in quality.quality(docs).collect()}
-    for doc_id, text, lang in rows:
-        codes = [split(c) for c in quality.grams([text])[0]]
-        want = 10 ** (-sum(math.log10(models[lang](g)) for g in codes) / len(codes))
-        assert got[doc_id] == pytest.approx(want, rel=1e-4)
-    p = models["en"]
-    for context in [(0, 0, 0), (3, 4, 5), (22, 10, 7), (1, 1, 1)]:
-        assert sum(p((*context, w)) for w in range(64)) == pytest.approx(1)
+    for least in (1, 2):
+        models = {lang: brute_kneser_ney([t for _, t, other in rows if other == lang], least) for lang in {r[2] for r in rows}}
+        for part in (1 << 20, 7):  # a text in parts
+            monkeypatch.setattr(quality, "PART", part)
+            monkeypatch.setattr(quality, "SHARD_ENTRIES", 64 if part == 7 else 1 << 21)
+            path, bits = quality.train(docs, least)
+            assert (bits > 0) == (part == 7)
+            scores = quality.Scores(path, bits)
+            for doc_id, text, lang in rows:
+                padded = "\0" * 4 + text
+                want = [math.log10(models[lang](padded[k:k + 5])) for k in range(len(text))]
+                batch = pa.record_batch({"lang": pa.array([lang], pa.string()), "text": pa.array([text])})
+                for _ in range(2):
+                    got = np.concatenate([scores.log10(lang, b.hi, b.lo) for _, b in quality.blocks(batch)])
+                    assert got == pytest.approx(want, rel=1e-4)
+                if part > 7:
+                    units = len(words(text)) + (text[0] == " ")
+                    found = quality.score(docs, path, bits).where(F.col("doc_id") == doc_id).first()
+                    assert found.perplexity == pytest.approx(10 ** (-sum(want) / units), rel=1e-3)
+        p = models["en"]
+        for context in ["\0\0\0\0", "the ", "cat ", "zzzz", "q?!."]:
+            symbols = {c for _, t, lang in rows for c in t if lang == "en"}
+            assert sum(p(context + w) for w in symbols) + p(context + "\U0010FFFF") == pytest.approx(1)
 
 
 def test_quality_rejects_by_band(spark):
@@ -131,7 +145,7 @@ def test_quality_rejects_by_band(spark):
     noise = ["".join(draw.choice("qxzjvwk#%!?0123456789 ") for _ in range(1500)) for _ in range(3)]
     docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(clean + noise)], "doc_id long, text string, lang string")
     kept = {r.doc_id: r.kept for r in quality.quality(docs).collect()}
-    assert all(kept[k] for k in range(150)) and not any(kept[k] for k in range(150, 153))
+    assert sum(kept[k] for k in range(150)) >= 146 and not any(kept[k] for k in range(150, 153))  # 2.5 deviations
 
 
 # 2 SentencePiece
@@ -139,9 +153,9 @@ def test_quality_rejects_by_band(spark):
 def test_quality_rejects_labelled_junk(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.judged(docs).where("NOT base_failed").join(labels, "doc_id").where("quality IS NOT NULL").select("lang", "quality", "kept").collect()
-    share = lambda flag, lang: np.mean([r.kept for r in rows if r.quality == flag and r.lang == lang])
-    assert share(0, "en") < 0.5 and share(0, "de") < 0.8 and share(0, "fr") < 0.9
-    assert all(share(1, lang) > 0.95 for lang in ("de", "en", "es", "fr"))
+    share = lambda flag, lang: np.mean([r.kept for r in rows if r.quality == flag and lang in (r.lang, "")])
+    assert share(0, "") < 0.35 and share(0, "en") < 0.45 and all(share(0, lang) < 0.3 for lang in ("de", "es", "fr"))
+    assert share(1, "") > 0.99 and all(share(1, lang) > 0.98 for lang in ("de", "en", "es", "fr"))
 
 
 def brute_viterbi(coder, text):
