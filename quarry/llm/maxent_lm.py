@@ -1,23 +1,30 @@
 """Language-model scores from a hashed maximum-entropy model with a class-factored softmax.
 
-A token's probability is that of its class given the context times that of the token
-within its class.  Tokens are lower-cased words and an end token per document.
+Tokens are lower-cased words and an end token per document.  A token's probability is the
+product of the choices that lead to it through nested classes: the first classes are groups
+of languages and bands of frequency, the last hold two words, and each choice is a softmax
+over the two halves of a class, so that a word costs about as many choices as it has bits.
 
 * Counts.  Spark counts all training tokens.  Words with a count of at least ``T`` form the
   head, where ``T`` >= 2 is the least bound that leaves ``HEAD`` words or fewer, so the head
-  may be broadcast.  Head words fall into classes by the language group in which they are
-  most frequent and by bands of equal mass; the end token is a class; everything else, seen
-  or not, is the tail class.
-* Within a class a head word has its relative frequency.  A tail word of count c has
-  (c - d) / N_t, and what the discount d frees, d * V_t / N_t, is the probability of the one
-  unknown token, so that each class sums to one.
-* Between classes a softmax has weights for hashed features of the last three classes:
-  n-grams c1, c1c2, c1c2c3, skips c2, c3, c1c3, and a bias.  Contexts and classes of all
-  training tokens are counted; then each round every partition of contexts computes its
-  part of the gradient, Spark sums it by slot, and the driver takes one damped step on the
-  table, whose size is fixed.
-* Scoring is one pass in numpy over blocks of texts: the features of the distinct contexts
-  of a block are looked up sparsely.  Tail words are scored by a join with the counts.
+  may be broadcast.  Head words are ordered by the language group in which they are most
+  frequent and by count, and a class is cut where its halves have the most equal mass.  The
+  end token is a head word; everything else, seen or not, shares one place, the tail.
+* A choice has a bias, the logarithm of the halves' ratio of counts, and a weight for each of
+  the context's hashed features: the n-grams w1 and w1 w2 of the words before, and the skips
+  w2 and w1 _ w3.  The weights lie in one table of at least ``PER_TOKEN`` slots for each
+  training token, up to ``2 ** MOST_BITS``; those of nearby choices lie side by side.
+* Training.  In each of ``ROUNDS`` rounds over as many parts of the training documents, every
+  task computes its gradient and curvature with the weights so far, Spark adds them up by
+  ranges of slots, and each slot takes a damped step.  A task sends what it has touched.
+* In the tail, a word of count c has (c - d) / N_t of the tail's probability, and what the
+  discount d frees, d * V_t / N_t, is that of the one unknown token, so all sums are one.
+* Scoring is one pass in numpy over blocks of tokens: the choices of all tokens of a block are
+  laid out in one row and their weights looked up sparsely.  Tail words are scored by a join
+  with the counts.
+
+Words are told apart by 64-bit hashes; among V distinct ones V**2 / 2**65 pairs are expected
+to share one.
 
 Edge cases: a null or empty text is one end token; a null doc_id counts as the empty text
 in the fold; a null language is a group; repeated rows count and are scored each; without
@@ -36,20 +43,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .piece_table import ranges
 from .storage import cut
 from .textvec import mix, slices, words
 from .workers import lean
 
 FOLDS = 10
-HEAD = 1 << 19
-CLASSES, GROUPS, SLOTS = 32, 8, 1 << 16
-TAIL, END = 0, 1
+HEAD, GROUPS = 1 << 17, 8
+#: The place of the tail in the order of words.
+TAIL = 0
 DISCOUNT = 0.5
-#: A context has 7 features, so a damped diagonal step of 1/7 on each can't overshoot.
-ROUNDS, RATE, RIDGE, PRIOR = 10, 1 / 7, 0.5, 10.0
+PER_TOKEN, LEAST_BITS, MOST_BITS = 4, 16, 24
+#: Slots that are added up together, and choices on a path whose weights lie side by side.
+RANGE_BITS, NEARBY = 14, 4
+ROUNDS, RIDGE, MOST_STEP = 3, 0.3, 2.0
+FEATURES = 4
+#: Tokens of a block.
+BLOCK = 8192
 #: The hash of the end token; no word's hash is made this way.
 END_HASH = int(np.uint64(0x454E444F46444F43).view(np.int64))
 HELD_ROWS = 1 << 20
+_U = np.uint64
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -64,10 +78,14 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
+def _fold():
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
+
+
 def _rows(documents: DataFrame) -> DataFrame:
-    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
     group = (F.crc32(F.coalesce(F.col("lang").cast("string"), F.lit("")).cast("binary")) % GROUPS).cast("int")
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == 0).alias("held_out"), group.alias("g"), F.col("text").cast("string").alias("text"))
+    fold = _fold().cast("int")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), fold.alias("fold"), (fold == 0).alias("held_out"), group.alias("g"), F.col("text").cast("string").alias("text"))
 
 
 def count_tokens(documents: DataFrame) -> DataFrame:
@@ -113,12 +131,17 @@ def count_tokens(documents: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """The head in order of hash, and the sums of all and of the tail."""
+    """The head in order of hash with each word's place, the choices that lead to each place,
+    and the sums of all tokens and of the tail."""
 
     hashes: np.ndarray
     counts: np.ndarray
-    classes: np.ndarray
-    class_tokens: np.ndarray
+    places: np.ndarray
+    first: np.ndarray  # of each place, its first choice among the following; one more at the end
+    key: np.ndarray  # of each choice, the key of its neighbourhood
+    near: np.ndarray  # and its place there
+    sign: np.ndarray  # 1 where the place is in the second half of the class, else -1
+    bias: np.ndarray  # times the sign
     least: int
     n: int
     v: int
@@ -126,13 +149,46 @@ class Vocabulary:
     tail_v: int
 
     def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place in the head, and whether a token is in it."""
+        """Index in the head, and whether a token is in it."""
         if not len(self.hashes):
             return np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
         at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
         return at, self.hashes[at] == tokens
 
 
+def choices(counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``first, key, near, sign, bias`` of a vocabulary whose places have these counts: all
+    classes of one depth are cut at a time."""
+    total = np.concatenate(([0.0], np.cumsum(counts)))
+    low, high = np.array([0]), np.array([len(counts)])
+    low, high = low[high > 1], high[high > 1]
+    key, near, n = _U(1) + np.zeros(len(low), _U), np.zeros(len(low), np.uint32), 0
+    depth, found = 0, []
+    while len(low):
+        half = (total[low] + total[high]) / 2
+        cut_at = np.clip(np.searchsorted(total, half), low + 1, high - 1)
+        lower = np.maximum(cut_at - 1, low + 1)
+        cut_at = np.where(np.abs(total[lower] - half) < np.abs(total[cut_at] - half), lower, cut_at)
+        bias = np.log((total[high] - total[cut_at]) / (total[cut_at] - total[low]))
+        size = high - low
+        place = ranges(low, size)
+        sign = np.where(place >= np.repeat(cut_at, size), 1, -1).astype(np.float32)
+        found.append((place, np.repeat((key >> _U(32)).astype(np.uint32), size), np.repeat(near, size), sign, np.repeat(bias, size).astype(np.float32) * sign))
+        depth += 1
+        low, high = np.stack((low, cut_at), 1).ravel(), np.stack((cut_at, high), 1).ravel()
+        if depth % NEARBY:
+            key, near = np.repeat(key, 2), np.stack((2 * near + 1, 2 * near + 2), 1).ravel()
+        else:
+            key, near = mix(n + np.arange(1, len(low) + 1, dtype=np.uint64) + (_U(depth) << _U(40))), np.zeros(len(low), np.uint32)
+        more = high - low > 1
+        low, high, key, near = low[more], high[more], key[more], near[more]
+    if not found:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.float32), np.zeros(0, np.float32))]
+    columns = [np.concatenate(x) for x in zip(*found)]
+    rank = np.argsort(columns[0], kind="stable")
+    return np.searchsorted(columns[0][rank], np.arange(len(counts) + 1)), *(x[rank] for x in columns[1:])
+
+
 def vocabulary(counts: DataFrame, most: int = HEAD) -> Vocabulary:
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     # The least bound from a histogram with a fixed number of bins.
@@ -151,159 +207,178 @@ def vocabulary(counts: DataFrame, most: int = HEAD) -> Vocabulary:
     h = head.column("h").to_numpy()
     order = np.argsort(h, kind="stable")
     h, c, g = h[order], head.column("c").to_numpy()[order], head.column("g").to_numpy()[order]
-    classes = np.zeros(len(h), np.int64)
-    is_end = h == END_HASH
-    groups = np.unique(g[~is_end])
-    if len(groups):
-        each = (CLASSES - 2) // len(groups)
-        for k, group in enumerate(groups):
-            mine = np.flatnonzero((g == group) & ~is_end)
-            mine = mine[np.lexsort((h[mine], -c[mine]))]
-            mass = np.cumsum(c[mine])
-            classes[mine] = 2 + k * each + np.minimum((mass - c[mine]) * each // max(1, mass[-1]), each - 1)
-    classes[is_end] = END
-    tokens = np.bincount(classes, c, minlength=CLASSES)
     tail_n, tail_v = total["n"] - int(c.sum()), total["v"] - len(h)
-    tokens[TAIL] = max(1, tail_n)
-    return Vocabulary(h, c, classes, tokens, int(least), int(total["n"]), int(total["v"]), tail_n, tail_v)
-
-
-def contexts(classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Of each token, its last three classes as one number; before a text stand end classes."""
-    out = np.zeros(len(classes), np.int64)
-    place = np.arange(len(classes)) - np.repeat(bounds[:-1], np.diff(bounds))
-    for back in (3, 2, 1):
-        before = np.full(len(classes), END, np.int64)
-        before[back:] = classes[: len(classes) - back] if len(classes) > back else classes[:0]
-        before[place < back] = END
-        out = out * CLASSES + before
-    return out
-
-
-def feature_slots(context: np.ndarray) -> np.ndarray:
-    """The hashed slots of each context's features."""
-    c1, c2, c3 = context % CLASSES, context // CLASSES % CLASSES, context // CLASSES ** 2
-    parts = [c1 * 0, c1, c1 * CLASSES + c2, context, c2, c3, c1 * CLASSES + c3]
-    hashed = [mix(p.astype(np.uint64) + np.uint64((k + 1) << 40)) >> np.uint64(48) for k, p in enumerate(parts)]
-    return np.stack(hashed, axis=1).astype(np.int64)
-
-
-def log_softmax(weights: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Natural log probability of every class in each context."""
-    z = np.zeros((len(context), CLASSES))
-    for slots in feature_slots(context).T:
-        z += weights[slots]
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
-def count_contexts(documents: DataFrame, head) -> DataFrame:
-    """``context, class, n`` over all training tokens."""
+    ranked = np.lexsort((h, -c, g))
+    places = np.empty(len(h), np.int64)
+    places[ranked] = np.arange(1, len(h) + 1)
+    paths = choices(np.concatenate(([max(1, tail_n)], c[ranked])).astype(np.float64))
+    return Vocabulary(h, c, places, *paths, int(least), int(total["n"]), int(total["v"]), tail_n, tail_v)
+
+
+def features(places: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """The hashed features of each token's context, from all places of some texts; before a
+    text stands a place of its own."""
+    inside = np.arange(len(places)) - np.repeat(bounds[:-1], np.diff(bounds))
+    before = []
+    for back in (1, 2, 3):
+        w = np.zeros(len(places), np.uint64)
+        w[back:] = places[: max(0, len(places) - back)] + 1
+        w[inside < back] = 0
+        before.append(w)
+    w1, w2, w3 = before
+    keys = [w1, w1 | w2 << _U(20), w2, w1 | w3 << _U(20)]
+    return [(mix(k + (_U(i + 1) << _U(50))) >> _U(32)).astype(np.uint32) for i, k in enumerate(keys)]
+
+
+def walk(v: Vocabulary, weights: np.ndarray, bits: int, places: np.ndarray, feats: list[np.ndarray], sums: np.ndarray | None = None) -> np.ndarray:
+    """Natural log probability of each place in its context.  With ``sums``, adds the gradient
+    (real part) and curvature (imaginary part) of every slot."""
+    n = v.first[places + 1] - v.first[places]
+    if not len(n) or not n.any():
+        return np.zeros(len(n))
+    row, at = np.repeat(np.arange(len(n), dtype=np.int32), n), ranges(v.first[places], n)
+    key, near, sign, x = v.key[at], v.near[at], v.sign[at], v.bias[at]
+    slots = []
+    for f in feats:
+        h = f[row]
+        h ^= key
+        h *= np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x85EBCA77)
+        h >>= np.uint32(32 - bits)
+        h += near
+        h &= np.uint32((1 << bits) - 1)
+        slots.append(h.view(np.int32))
+    z = weights[slots[0]]
+    for h in slots[1:]:
+        z += weights[h]
+    x = x + z * sign
+    small = np.exp(-np.abs(x))
+    if sums is not None:
+        other = np.where(x >= 0, small, 1) / (1 + small)  # the probability of the other half
+        step = np.empty(len(x), np.complex64)
+        step.real, step.imag = other * sign, other * (1 - other)
+        for h in slots:
+            np.add.at(sums, h.astype(np.int64), step)
+    logs = np.concatenate(([0.0], np.cumsum(np.minimum(x, 0) - np.log1p(small), dtype=np.float64)))
+    ends = np.cumsum(n)
+    return logs[ends] - logs[ends - n]
+
+
+def table_bits(n: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, PER_TOKEN * n)))))
+
+
+ENCODED = "rid long, doc_id long, fold int, held_out boolean, ids array<int>, known long, base double, tail array<long>"
+
+
+def encode(documents: DataFrame, head) -> DataFrame:
+    """Of each document the places of its tokens, the base sums over its head tokens, and the
+    list of its others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of: Vocabulary = head.value
-        total = np.zeros(CLASSES ** 4, np.int64)
+        from pyspark import TaskContext
+
+        v: Vocabulary = head.value
+        own = np.log10(v.counts + 0.1) - math.log10(v.n + 0.1 * (v.v + 1)) if len(v.hashes) else np.zeros(1)
+        places = v.places if len(v.hashes) else np.zeros(1, np.int64)
+        rid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for piece in slices(batch):
                 tokens, bounds = _tokens(piece.column("text"))
-                at, hit = words_of.find(tokens)
-                classes = np.where(hit, words_of.classes[at] if len(words_of.hashes) else 0, TAIL)
-                np.add.at(total, contexts(classes, bounds) * CLASSES + classes, 1)
-        some = np.flatnonzero(total)
-        yield pa.record_batch({"context": pa.array(some // CLASSES), "class": pa.array(some % CLASSES), "n": pa.array(total[some])})
-
-    rows = _rows(documents).where("NOT held_out").select("text").mapInArrow(lean(run), "context long, class long, n long")
-    return rows.groupBy("context", "class").agg(F.sum("n").alias("n"))
+                distinct, which = np.unique(tokens, return_inverse=True)
+                at, hit = v.find(distinct)
+                ids, base, hit = np.where(hit, places[at], TAIL)[which], np.where(hit, own[at], 0.0)[which], hit[which]
+                sums = lambda x: np.add.reduceat(x, bounds[:-1]) if len(x) else np.zeros(0)
+                rest, n = np.flatnonzero(~hit), piece.num_rows
+                lists = lambda to, x: pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(x))
+                yield pa.record_batch({
+                    "rid": pa.array(rid + np.arange(n)), **{c: piece.column(c) for c in ("doc_id", "fold", "held_out")}, "ids": lists(bounds, ids.astype(np.int32)),
+                    "known": pa.array(sums(hit.astype(np.int64)).astype(np.int64)), "base": pa.array(sums(base)), "tail": lists(np.searchsorted(rest, bounds), tokens[rest])})
+                rid += n
 
+    return _rows(documents).select("doc_id", "fold", "held_out", "text").mapInArrow(lean(run), ENCODED)
 
-def _by_slot(parts: DataFrame, weights) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over all contexts by slot and class: of the counts seen, or with ``weights`` of
-    what they exceed the model's expectation by, which is the gradient."""
-    names = [f"k{k}" for k in range(CLASSES)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        part = pa.Table.from_batches(rows)
-        keys, which = np.unique(part.column("context").to_numpy(), return_inverse=True)
-        seen = np.zeros((len(keys), CLASSES))
-        np.add.at(seen, (which, part.column("class").to_numpy()), part.column("n").to_numpy())
-        if weights is not None:
-            seen -= seen.sum(axis=1, keepdims=True) * np.exp(log_softmax(weights.value, keys))
-        slots = feature_slots(keys)
-        own, to = np.unique(slots, return_inverse=True)
-        sums = np.zeros((len(own), CLASSES))
-        np.add.at(sums, to.reshape(slots.shape).T.reshape(-1), np.tile(seen, (slots.shape[1], 1)))
-        yield pa.record_batch({"slot": pa.array(own.astype(np.int32))} | {x: pa.array(sums[:, k].astype(np.float32)) for k, x in enumerate(names)})
-
-    found = parts.mapInArrow(lean(run), "slot int, " + ", ".join(f"{x} float" for x in names))
-    # SLOTS rows at most reach the driver.
-    table = found.groupBy("slot").agg(*(F.sum(x).cast("float").alias(x) for x in names)).toArrow()
-    slots = table.column("slot").to_numpy()
-    return slots, np.stack([table.column(x).to_numpy() for x in names], axis=1).astype(np.float64) if len(slots) else np.zeros((0, CLASSES))
-
-
-def train(table: DataFrame, class_tokens: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Class weights by slot from ``context, class, n``; the bias starts at the class shares."""
-    context = table.sparkSession.sparkContext
-    share = (class_tokens + 0.5) / (class_tokens + 0.5).sum()
-    weights = np.zeros((SLOTS, CLASSES), np.float32)
-    weights[feature_slots(np.zeros(1, np.int64))[0, 0]] = np.log(share)
-    parts = table.repartition("context")
-    # The diagonal of the Hessian, at each slot's own class shares.
-    slots, seen = _by_slot(parts, None)
-    mass = seen.sum(axis=1, keepdims=True)
-    own = (seen + PRIOR * share) / (mass + PRIOR)
-    curve = np.zeros((SLOTS, CLASSES))
-    curve[slots] = mass * own * (1 - own)
-    for _ in range(rounds):
+def _blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """The place in the column of the first text, places and bounds of about ``BLOCK`` tokens
+    of whole texts or a part of a long one, and their features."""
+    offsets, ids = column.offsets.to_numpy().astype(np.int64), column.values.to_numpy().astype(np.int64)
+    row = 0
+    while row < len(column):
+        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK, side="right")) - 1)
+        some, bounds = ids[offsets[row]: offsets[to]], offsets[row: to + 1] - offsets[row]
+        feats = features(some, bounds)
+        if to > row + 1 or len(some) <= 2 * BLOCK:
+            yield row, some, bounds, feats
+        else:
+            for at in range(0, len(some), BLOCK):
+                yield row, some[at: at + BLOCK], np.array([0, min(BLOCK, len(some) - at)]), [f[at: at + BLOCK] for f in feats]
+        row = to
+
+
+def train(encoded: DataFrame, v: Vocabulary, head, rounds: int = ROUNDS) -> tuple[np.ndarray, int]:
+    """The weights by slot, and how many bits a slot has."""
+    context = encoded.sparkSession.sparkContext
+    bits = table_bits(v.n)
+    span = 1 << min(RANGE_BITS, bits)
+    weights = np.zeros(1 << bits, np.float32)
+    for k in range(rounds):
         now = context.broadcast(weights)
-        slots, gradient = _by_slot(parts, now)
-        move = RATE * (gradient - RIDGE * weights[slots]) / (curve[slots] + RIDGE)
-        weights = weights.copy()
-        weights[slots] += np.clip(move, -2.0, 2.0).astype(np.float32)
+
+        def gradient(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            sums, table, any_rows = np.zeros(1 << bits, np.complex64), now.value, False
+            for batch in batches:
+                for _, some, _, feats in _blocks(batch.column("ids")):
+                    walk(head.value, table, bits, some, feats, sums)
+                    any_rows = True
+            if not any_rows:
+                return
+            for at in range(0, 1 << bits, span):
+                part = sums[at: at + span]
+                hit = part.imag > 0
+                if hit.any():
+                    g, h = part.real[hit].astype("<f2"), part.imag[hit].astype("<f2")
+                    yield pa.record_batch({"at": pa.array([at], pa.int64()), "hit": pa.array([np.packbits(hit).tobytes()]), "g": pa.array([g.tobytes()]), "h": pa.array([h.tobytes()])})
+
+        def step(key: tuple, table: pa.Table) -> pa.Table:
+            g, h = np.zeros(span), np.zeros(span)
+            for row in table.to_pylist():
+                hit = np.flatnonzero(np.unpackbits(np.frombuffer(row["hit"], np.uint8), count=span))
+                g[hit] += np.frombuffer(row["g"], "<f2")
+                h[hit] += np.frombuffer(row["h"], "<f2")
+            move = np.clip(g / (FEATURES * (h + RIDGE)), -MOST_STEP, MOST_STEP).astype("<f4")
+            return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "move": pa.array([move.tobytes()], pa.binary())})
+
+        # As few tasks as keep all cores busy: each sends the slots it has touched.
+        part = encoded.where((F.col("fold") != 0) & (F.col("fold") % rounds == k)).select("ids").coalesce(max(1, context.defaultParallelism))
+        parts = part.mapInArrow(lean(gradient), "at long, hit binary, g binary, h binary")
+        # 2 ** MOST_BITS steps at most reach the driver.
+        moves = parts.groupBy("at").applyInArrow(step, "at long, move binary").toArrow()
         now.unpersist()
-    return weights
+        weights = weights.copy()
+        for at, move in zip(moves.column("at").to_pylist(), moves.column("move")):
+            weights[at: at + span] += np.frombuffer(move.as_buffer(), "<f4")
+    return weights, bits
 
 
-DOCS = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>"
+SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>"
 
 
-def _score(documents: DataFrame, head, weights) -> DataFrame:
-    """One row per document with the sums over its head tokens and the list of its others."""
+def _score(encoded: DataFrame, head, weights, bits: int) -> DataFrame:
+    """One row per document with the log10 probability of its places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        words_of: Vocabulary = head.value
-        z = math.log10(words_of.n + 0.1 * (words_of.v + 1))
-        if len(words_of.hashes):
-            base = np.log10(words_of.counts + 0.1) - z
-            inside = np.log10(words_of.counts / words_of.class_tokens[words_of.classes])
-            kind = words_of.classes
-        else:
-            base, inside, kind = np.zeros(1), np.zeros(1), np.zeros(1, np.int64)
-        rid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for piece in slices(batch):
-                tokens, bounds = _tokens(piece.column("text"))
-                at, hit = words_of.find(tokens)
-                classes = np.where(hit, kind[at], TAIL)
-                context = contexts(classes, bounds)
-                distinct, which = np.unique(context, return_inverse=True)
-                between = log_softmax(weights.value, distinct)[which, classes] / math.log(10)
-                sums = lambda x: np.add.reduceat(x, bounds[:-1]) if len(x) else np.zeros(0)
-                rest = np.flatnonzero(~hit)
-                n = piece.num_rows
-                yield pa.record_batch({
-                    "rid": pa.array(rid + np.arange(n)), "doc_id": piece.column("doc_id"), "held_out": piece.column("held_out"),
-                    "n_tokens": pa.array(np.diff(bounds)), "known": pa.array(sums(hit.astype(np.int64)).astype(np.int64)),
-                    "base": pa.array(sums(np.where(hit, base[at], 0.0))), "score": pa.array(sums(between + np.where(hit, inside[at], 0.0))),
-                    "tail": pa.ListArray.from_arrays(pa.array(np.searchsorted(rest, bounds), pa.int32()), pa.array(tokens[rest]))})
-                rid += n
+            score = np.zeros(batch.num_rows)
+            for row, some, bounds, feats in _blocks(batch.column("ids")):
+                logs = walk(head.value, weights.value, bits, some, feats)
+                score[row: row + len(bounds) - 1] += np.add.reduceat(logs, bounds[:-1]) / math.log(10)
+            n = np.diff(batch.column("ids").offsets.to_numpy()).astype(np.int64)
+            kept = {c: batch.column(c) for c in ("rid", "doc_id", "held_out", "known", "base", "tail")}
+            yield pa.record_batch([kept["rid"], kept["doc_id"], kept["held_out"], pa.array(n), kept["known"], kept["base"], pa.array(score), kept["tail"]], names=["rid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail"])
 
-    return _rows(documents).select("doc_id", "held_out", "text").mapInArrow(lean(run), DOCS)
+    return encoded.mapInArrow(lean(run), SCORED)
 
 
 def score_documents(documents: DataFrame, most: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
@@ -312,8 +387,9 @@ def score_documents(documents: DataFrame, most: int = HEAD, rounds: int = ROUNDS
     counts = cut(count_tokens(documents), "token-counts")
     found = vocabulary(counts, most)
     head = context.broadcast(found)
-    weights = context.broadcast(train(cut(count_contexts(documents, head), "class-contexts"), found.class_tokens, rounds))
-    docs = cut(_score(documents, head, weights), "head-scores")
+    encoded = cut(encode(documents, head), "encoded")
+    weights, bits = train(encoded, found, head, rounds)
+    docs = cut(_score(encoded, head, context.broadcast(weights), bits), "head-scores")
 
     tail = docs.select("rid", F.explode("tail").alias("h"))
     rare = counts.where((F.col("c") < found.least) & (F.col("h") != END_HASH)).select("h", "c")
