@@ -58,8 +58,8 @@ PER_TOKEN, LEAST_BITS, MOST_BITS = 4, 16, 24
 RANGE_BITS, NEARBY = 14, 4
 ROUNDS, RIDGE, MOST_STEP = 3, 0.3, 2.0
 FEATURES = 4
-#: Tokens of a block.
-BLOCK = 8192
+#: Tokens of a block, and the least that a task takes in a round of training.
+BLOCK, TASK_TOKENS = 8192, 1 << 23
 #: The hash of the end token; no word's hash is made this way.
 END_HASH = int(np.uint64(0x454E444F46444F43).view(np.int64))
 HELD_ROWS = 1 << 20
@@ -350,8 +350,9 @@ def train(encoded: DataFrame, v: Vocabulary, head, rounds: int = ROUNDS) -> tupl
             move = np.clip(g / (FEATURES * (h + RIDGE)), -MOST_STEP, MOST_STEP).astype("<f4")
             return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "move": pa.array([move.tobytes()], pa.binary())})
 
-        # As few tasks as keep all cores busy: each sends the slots it has touched.
-        part = encoded.where((F.col("fold") != 0) & (F.col("fold") % rounds == k)).select("ids").coalesce(max(1, context.defaultParallelism))
+        # A task sends the slots it has touched, so it takes as many tokens as make that worth it.
+        tasks = max(1, min(context.defaultParallelism, v.n // (rounds * TASK_TOKENS)))
+        part = encoded.where((F.col("fold") != 0) & (F.col("fold") % rounds == k)).select("ids").coalesce(tasks)
         parts = part.mapInArrow(lean(gradient), "at long, hit binary, g binary, h binary")
         # 2 ** MOST_BITS steps at most reach the driver.
         moves = parts.groupBy("at").applyInArrow(step, "at long, move binary").toArrow()
