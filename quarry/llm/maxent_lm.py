@@ -89,7 +89,7 @@ def _rows(documents: DataFrame) -> DataFrame:
 
 
 def count_tokens(documents: DataFrame) -> DataFrame:
-    """``h, c, g``: the count of every training token and the group of its largest part."""
+    """``h, c, g``: the count of every training token and the language group it is most frequent in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -125,8 +125,9 @@ def count_tokens(documents: DataFrame) -> DataFrame:
         yield from flush()
 
     rows = _rows(documents).where("NOT held_out").select("g", "text").mapInArrow(lean(run), "h long, g int, n long")
-    best = F.max(F.struct("n", "g"))
-    return rows.groupBy("h").agg(F.sum("n").alias("c"), best.alias("best")).select("h", "c", F.col("best.g").alias("g"))
+    by_group = [F.sum(F.when(F.col("g") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(GROUPS)]
+    best = F.greatest(*(F.struct(F.col(f"n{k}").alias("n"), F.lit(k).alias("g")) for k in range(GROUPS)))
+    return rows.groupBy("h").agg(F.sum("n").alias("c"), *by_group).select("h", "c", best["g"].alias("g"))
 
 
 @dataclass

@@ -202,25 +202,123 @@ def brute_base(rows):
 
 def test_maxent(spark, documents, texts, awkward, empty):
     for frame, rows in ((documents, list(texts.items())), (awkward, [(r[0], r[1]) for r in AWKWARD])):
-        got = sorted(((r.doc_id or -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in maxent_lm.score_documents(frame, most=100, rounds=4).collect()))
+        got = sorted(((r.doc_id or -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in maxent_lm.score_documents(frame, most=100, rounds=2).collect()))
         want = sorted((i or -1, *rest) for i, *rest in brute_base(rows))
         for one, other in zip(got, want, strict=True):
             assert one[:5] == other[:5] and one[5] == pytest.approx(other[5], rel=1e-9, abs=1e-9)
     assert maxent_lm.score_documents(empty).count() == 0
-    held = maxent_lm.score_documents(documents).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert held[0] > held[1]
+
+
+def slow_maxent(rows, most, rounds):
+    """The model with dictionaries, one choice of one token at a time; returns log10 scores."""
+    def hashed(text):
+        found, _ = maxent_lm._tokens(pa.array([text], pa.string()))
+        return found.tolist()
+
+    tokens = [hashed(t) for _, t, _ in rows]
+    fold = [zlib.crc32(str(i).encode()) % 10 for i, _, _ in rows]
+    group = [zlib.crc32(lang.encode()) % maxent_lm.GROUPS for _, _, lang in rows]
+    counts = Counter(h for ws, f in zip(tokens, fold) if f for h in ws)
+    by_group = Counter((h, g) for ws, f, g in zip(tokens, fold, group) if f for h in ws)
+    of = {h: max((n, g) for (x, g), n in by_group.items() if x == h)[1] for h in counts}
+    head = sorted((h for h in counts if counts[h] >= 2 or h == maxent_lm.END_HASH), key=lambda h: (of[h], -counts[h], h))
+    assert len(head) <= most
+    tail_n, tail_v = sum(counts.values()) - sum(counts[h] for h in head), len(counts) - len(head)
+    place = {h: k + 1 for k, h in enumerate(head)}
+    masses = [max(1, tail_n)] + [counts[h] for h in head]
+    first, key, near, sign, bias = maxent_lm.choices(np.array(masses, float))
+    # Each path's choices again, from the classes: halves of the most equal mass.
+    for k in range(len(masses)):
+        low, high, path = 0, len(masses), []
+        while high - low > 1:
+            m = min(range(low + 1, high), key=lambda c: (abs(2 * sum(masses[low:c]) - sum(masses[low:high])), -c))
+            right = k >= m
+            path.append((1 if right else -1, math.log(sum(masses[m:high]) / sum(masses[low:m]))))
+            low, high = (m, high) if right else (low, m)
+        assert [(s, pytest.approx(s * b, abs=1e-5)) for s, b in zip(sign[first[k]:first[k + 1]], bias[first[k]:first[k + 1]])] == path
+    bits = maxent_lm.table_bits(sum(counts.values()))
+    weights = {}
+
+    def walk(ws, sums=None):
+        ids = [place.get(h, 0) for h in ws]
+        feats = maxent_lm.features(np.array(ids), np.array([0, len(ids)]))
+        total = 0.0
+        for t, i in enumerate(ids):
+            for c in range(first[i], first[i + 1]):
+                slots = []
+                for f in feats:
+                    x = int(f[t]) ^ int(key[c])
+                    x = x * 0x9E3779B1 % 2 ** 32
+                    x ^= x >> 15
+                    x = x * 0x85EBCA77 % 2 ** 32
+                    slots.append(((x >> 32 - bits) + int(near[c])) % 2 ** bits)
+                z = float(bias[c]) + float(sign[c]) * sum(weights.get(s, 0.0) for s in slots)
+                p = 1 / (1 + math.exp(-z))
+                total += math.log(p)
+                if sums is not None:
+                    for s in slots:
+                        g, h = sums.get(s, (0.0, 0.0))
+                        sums[s] = g + (1 - p) * float(sign[c]), h + p * (1 - p)
+        return total
+
+    for k in range(rounds):
+        sums = {}
+        for ws, f in zip(tokens, fold):
+            if f and f % rounds == k:
+                walk(ws, sums)
+        for s, (g, h) in sums.items():
+            weights[s] = weights.get(s, 0.0) + max(-maxent_lm.MOST_STEP, min(maxent_lm.MOST_STEP, g / (maxent_lm.FEATURES * (h + maxent_lm.RIDGE))))
+    d = maxent_lm.DISCOUNT
+    inside = lambda h: 0.0 if h in place else math.log10((counts[h] - d if counts[h] else d * tail_v) / tail_n)
+    return [walk(ws) / math.log(10) + sum(map(inside, ws)) for ws in tokens]
+
+
+def test_maxent_score_equals_the_slow_model(spark, texts):
+    rows = [(i, t[:400], "en" if i % 3 else "fr") for i, t in list(texts.items())[:60]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.score for r in maxent_lm.score_documents(frame, most=5000, rounds=3).collect()}
+    for (i, _, _), want in zip(rows, slow_maxent(rows, 5000, 3)):
+        assert got[i] == pytest.approx(want, rel=2e-3)
 
 
 def test_maxent_sums_to_one(spark, documents):
     counts = maxent_lm.count_tokens(documents)
-    for most in (50, 1 << 19):
+    rng = np.random.default_rng(0)
+    for most in (50, 1 << 17):
         v = maxent_lm.vocabulary(counts, most)
         assert len(v.hashes) <= most + 1 and v.tail_n + v.counts.sum() == v.n
-        by_class = np.bincount(v.classes, v.counts / v.class_tokens[v.classes], minlength=maxent_lm.CLASSES)
-        tail = (v.tail_n - maxent_lm.DISCOUNT * v.tail_v) / v.tail_n + maxent_lm.DISCOUNT * v.tail_v / v.tail_n
-        assert tail == pytest.approx(1) and all(x == pytest.approx(1) for x in by_class[by_class > 0])
-    p = np.exp(maxent_lm.log_softmax(np.random.default_rng(0).normal(size=(maxent_lm.SLOTS, maxent_lm.CLASSES)), np.arange(50)))
-    assert np.allclose(p.sum(axis=1), 1)
+        every = np.arange(len(v.first) - 1)
+        weights = rng.normal(size=1 << 16).astype(np.float32)
+        for context in rng.integers(0, 2 ** 32, (3, maxent_lm.FEATURES)):
+            feats = [np.full(len(every), f, np.uint32) for f in context]
+            assert np.exp(maxent_lm.walk(v, weights, 16, every, feats)).sum() == pytest.approx(1, rel=1e-4)
+
+
+def test_maxent_beats_a_bigram_model(spark):
+    """Held-out text against an interpolated bigram model with absolute discount over the same
+    words, whose tail costs the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    v = maxent_lm.vocabulary(maxent_lm.count_tokens(docs).cache())
+    head = spark.sparkContext.broadcast(v)
+    encoded = maxent_lm.encode(docs, head).cache()
+    weights, bits = maxent_lm.train(encoded, v, head)
+    table = encoded.select("held_out", "ids").toArrow()
+    held, ids = np.array(table.column("held_out").to_pylist()), table.column("ids").combine_chunks()
+    places, bounds = ids.flatten().to_numpy().astype(np.int64), ids.offsets.to_numpy().astype(np.int64)
+    out = np.repeat(held, np.diff(bounds))
+    size = len(v.first)
+    before = np.concatenate(([size - 1], places[:-1]))
+    before[bounds[:-1]] = size - 1
+    key = before * size + places
+    seen, which = np.unique(key, return_inverse=True)
+    pairs, context = np.bincount(which[~out], minlength=len(seen)), np.bincount(before[~out], minlength=size)
+    kinds = np.bincount(seen[pairs > 0] // size, minlength=size)
+    one = np.bincount(places[~out], minlength=size) / (~out).sum()
+    n = np.maximum(context[before], 1)
+    bigram = np.maximum(pairs[which] - 0.75, 0) / n + np.where(context[before] > 0, 0.75 * kinds[before] / n, 1.0) * one[places]
+    model = np.concatenate([maxent_lm.walk(v, weights, bits, some, feats) for row, some, _, feats in maxent_lm._blocks(ids)])
+    encoded.unpersist()
+    assert model[out].mean() > np.log(bigram[out]).mean() > np.log(one[places][out]).mean() + 1
 
 
 # 4 chat
@@ -482,10 +580,38 @@ def test_near_vectors_in_a_large_group(spark, size):
     got = {r.vec_id: r.n_links for r in pivot_index.near_vectors(frame).collect()}
     found = np.array([got[k] for k in range(group)])
     assert (found <= link).all() and found.sum() >= 0.95 * link.sum()
-    pivots = pivot_index.choose_pivots(frame.selectExpr("vec_id id", "embedding v", "xxhash64(embedding) d1", "0L d2"))
+    pivots = pivot_index.choose_pivots(frame.selectExpr("vec_id id", "embedding v", "size(embedding) dim", "xxhash64(embedding) d1", "0L d2"))[64]
     assert len(pivots) == math.ceil(2 * math.sqrt(size)) and (pivots @ pivots.T - np.eye(len(pivots))).max() < pivot_index.APART
 
 
+def test_near_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for dim in (3, 64, 65):  # of each vector a near one and an equal one
+        for v in rng.normal(size=(30, dim)):
+            rows += [v, v * (1 + 1e-3 * rng.normal(size=dim)), v]
+    frame = spark.createDataFrame([(k, [float(x) for x in np.float32(v)]) for k, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in pivot_index.near_vectors(frame, block=8).collect()}
+    units = [np.float32(v).astype(np.float64) for v in rows]
+    units = [v / np.linalg.norm(v) for v in units]
+    for i, v in enumerate(units):
+        n = sum(len(w) == len(v) and w @ v >= 0.9 for w in units) - 1
+        assert 2 <= got[i].n_links <= n and got[i].component_id <= i // 3 * 3
+        assert len(v) == 3 or got[i].n_links == n
+
+
+@pytest.mark.parametrize("pivots, recall", [(45, 0.99), (1000, 0.97), (4096, 0.97), (pivot_index.MOST_PIVOTS, 0.97)])
+def test_near_vectors_share_a_pivot(pivots, recall):
+    """The chance that a pair of cosine 0.9, the least near that links, meets in a list."""
+    rng = np.random.default_rng(pivots)
+    scaled = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    a, p = scaled(rng.normal(size=(1000, 64))), scaled(rng.normal(size=(pivots, 64)))
+    w = rng.normal(size=a.shape)
+    b = 0.9 * a + math.sqrt(1 - 0.81) * scaled(w - (w * a).sum(axis=1)[:, None] * a)
+    one, other = pivot_index.permutations(a, p), pivot_index.permutations(b, p)
+    assert (one[:, :, None] == other[:, None, :]).any(axis=(1, 2)).mean() >= recall
+
+
 # 9 mixing
 
 def test_mixing(spark, documents, awkward, empty):
