@@ -14,7 +14,8 @@ components.  Then, in each bucket, whatever is outside its largest component is
 with every member of another component; pairs inside a component can't change the result.
 Both steps together test every pair of a bucket that could join two components, so no link
 between a bucket's members is lost whatever the bucket's size.  The second step works on
-blocks of at most ``OUTSIDE_BLOCK`` by ``MEMBER_BLOCK`` members spread over all tasks, counts
+blocks of about ``OUTSIDE_BLOCK`` by ``MEMBER_BLOCK`` members, fewer where their sets are
+large, which are dealt to all tasks in turn, counts
 common shingles there with vector operations on 32-bit hashes, which can only overcount, and
 gives out just the pairs that may be links.  A link counts only if the full sets of 64-bit
 shingle hashes have 100 * intersection >= ``percent`` * union.
@@ -35,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import parts, whole
 from .components import components
 from .storage import cut
 from .textvec import mix, pair, slices, words
@@ -42,8 +44,9 @@ from .workers import lean
 
 POSITIONS, BAND_ROWS = 80, 4
 WORDS, PERCENT = 5, 80
-#: Members of an open bucket that meet in one piece of work: those outside, and all.
-OUTSIDE_BLOCK, MEMBER_BLOCK = 1024, 512
+#: Members of an open bucket that meet in one piece of work, those outside and all, and how
+#: many shingles either may have.
+OUTSIDE_BLOCK, MEMBER_BLOCK, BLOCK_SHINGLES = 512, 512, 1 << 20
 _U = np.uint64
 _EMPTY = np.iinfo(np.uint64).max
 
@@ -259,18 +262,24 @@ def links(documents: DataFrame, classes: DataFrame, size: int, percent: int) ->
 
     # What a bucket has outside its largest component, against its other components.
     placed = members.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    shares = placed.groupBy("key", "component").agg(F.count("*").alias("share"))
-    largest = shares.groupBy("key").agg(F.max(F.struct("share", "component")).alias("top"), F.count("*").alias("parts"), F.sum("share").alias("k"))
-    largest = largest.where("parts > 1").select("key", F.col("top.component").alias("top"), "k", (F.col("k") - F.col("top.share")).alias("outside"))
+    shares = placed.groupBy("key", "component").agg(F.count("*").alias("share"), F.sum("n").alias("mass"))
+    largest = shares.groupBy("key").agg(F.max(F.struct("share", "component", "mass")).alias("top"), F.count("*").alias("parts"), F.sum("share").alias("k"), F.sum("mass").alias("m"))
+    n_i = F.ceil(F.greatest((F.col("k") - F.col("top.share")) / OUTSIDE_BLOCK, (F.col("m") - F.col("top.mass")) / BLOCK_SHINGLES))
+    n_j = F.ceil(F.greatest(F.col("k") / MEMBER_BLOCK, F.col("m") / BLOCK_SHINGLES))
+    largest = largest.where("parts > 1").select("key", F.col("top.component").alias("top"), n_i.alias("n_i"), n_j.alias("n_j"))
     rows = placed.drop("k").join(largest, "key")
-    n_i, n_j = F.ceil(F.col("outside") / OUTSIDE_BLOCK), F.ceil(F.col("k") / MEMBER_BLOCK)
+    n_i, n_j = F.col("n_i"), F.col("n_j")
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     mine = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n)
     cells = F.transform(upto(n_i), lambda i: F.struct(i.alias("i"), mine(n_j, 1).alias("j"), F.lit(1).alias("side")))
     extra = F.transform(upto(n_j), lambda j: F.struct(mine(n_i, 2).alias("i"), j.alias("j"), F.lit(0).alias("side")))
     cells = F.when(F.col("component") == F.col("top"), cells).otherwise(F.concat(cells, extra))
-    rows = rows.withColumn("cell", F.explode(cells)).select("key", "cell.i", "cell.j", "cell.side", "id", "component")
-    rows = rows.join(sets.select("id", "short").hint("merge"), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = rows.withColumn("cell", F.explode(cells)).select("key", "cell.i", "cell.j", "cell.side", "id", "component", "n_j")
+    # The blocks of a bucket go to one task after the other, as a hash would put several into one.
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    task = F.pmod(F.xxhash64("key") % tasks + F.col("i") * F.col("n_j") + F.col("j"), F.lit(tasks)).cast("int")
+    rows = rows.join(sets.select("id", "short").hint("merge"), "id").withColumn("task", task).drop("n_j")
+    rows = rows.repartitionById(tasks, "task").drop("task").sortWithinPartitions("key", "i", "j")
     maybe = rows.mapInArrow(lean(lambda batches: _blocks(batches, percent)), "a long, b long").distinct()
     more = cut(verified(maybe, sets, percent), "further-links")
     return components(found.unionByName(more))
@@ -296,9 +305,9 @@ def kept_documents(documents: DataFrame, size: int = WORDS, percent: int = PERCE
     Rows without a doc_id all stay."""
     found = near_duplicates(documents, size, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("keep")).distinct()
     # The input's columns stay in one struct, so their names can't clash with those used here.
-    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
+    row = whole(documents)
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text", row.cast("string")).alias("tie"), row.alias("row"))
     named = rows.join(found.hint("merge"), F.col("id") == F.col("keep"), "left_semi")
     one = named.groupBy("id").agg(F.min_by("row", "tie").alias("row")).select("row")
     both = one.unionByName(rows.where("id IS NULL").select("row"))
-    return both.select(*(F.col("row").getField(c).alias(c) for c in documents.columns))
+    return both.select(*parts(documents, "row"))

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import parts, whole
 from .storage import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,15 +81,15 @@ def permuted(index: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Col
     return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), index.cast("long"), step)
 
 
-def place(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+def place(docs: DataFrame) -> DataFrame:
     """Each row of ``doc_id, src, size, tie`` with its bucket and number inside the bucket.
     The order is the same in every run up to rows that are equal in these columns."""
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+    bucket = F.pmod(F.xxhash64("doc_id", "tie"), F.lit(BUCKETS)).cast("int")
     order = Window.partitionBy("src", "bucket").orderBy("doc_id", "size", "tie")
     return docs.withColumn("bucket", bucket).withColumn("seq", F.row_number().over(order))
 
 
-def _pieces(rows: DataFrame, sources: DataFrame, block_words: int) -> DataFrame:
+def _pieces(rows: DataFrame, block_words: int) -> DataFrame:
     """One row for each block that a document overlaps (one without block for size 0)."""
     order = Window.partitionBy("src", "bucket").orderBy("seq")
     rows = rows.withColumn("local", F.sum("size").over(order) - F.col("size"))
@@ -105,9 +106,10 @@ def _pieces(rows: DataFrame, sources: DataFrame, block_words: int) -> DataFrame:
     return rows.withColumns({"from_word": begin - F.col("start"), "n_words": F.coalesce(end - begin, F.lit(0).cast("long"))})
 
 
-def slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+def slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS, block_words: int = BLOCK_WORDS, seed: int = SEED, stratified: bool = True) -> DataFrame:
     """The mix: one row per filled slot, ``shard, src, slot, pass, block``.  A slot beyond
-    a source's last pass stays empty and has no row."""
+    a source's last pass stays empty and has no row.  Unless ``stratified``, every slot of a
+    shard is drawn."""
     everything = Window.partitionBy()
     plan = sources.where(F.col("source_size") > 0).withColumn("n_blocks", F.ceil(F.col("source_size") / F.lit(block_words)))
     plan = plan.withColumn("expected", F.col("n_blocks") * F.col("target") / F.col("source_size"))
@@ -119,7 +121,8 @@ def slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS, block_words: int =
     # Full shards are alike; the last one may be shorter.
     plan = plan.withColumn("last", F.explode(F.array(F.lit(False), F.lit(True))))
     wide = F.when(F.col("last"), F.col("all_slots") - (F.col("shards") - 1) * shard_slots).otherwise(F.lit(shard_slots))
-    plan = plan.withColumn("mean", wide * F.col("share")).withColumns({"granted": F.floor("mean"), "part": F.col("mean") - F.floor("mean")})
+    plan = plan.withColumn("mean", wide * F.col("share")).withColumn("granted", F.floor("mean") if stratified else F.lit(0).cast("long"))
+    plan = plan.withColumn("part", F.col("mean") - F.col("granted"))
     kind = Window.partitionBy("last")
     upto = kind.orderBy("src").rowsBetween(Window.unboundedPreceding, 0)
     plan = plan.withColumns({
@@ -156,7 +159,7 @@ def slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS, block_words: int =
     return filled.withColumn("block", permuted(F.col("index"), F.col("n_blocks"), key)).select("shard", "src", "slot", "pass", "block")
 
 
-def mix(documents: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(documents: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, stratified: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(sources, pieces, filled slots)`` of a mix of ``documents``.
 
     pieces: ``src, bucket, seq, doc_id, size, block, from_word, n_words``, one row for
@@ -167,8 +170,8 @@ def mix(documents: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int =
         word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
     sizes = cut(sizes, "mix-sizes")
     sources = cut(source_targets(sizes), "mix-sources")
-    pieces = _pieces(place(sizes.drop("source")), sources, block_words)
-    return sources, pieces, slots(sources, shard_slots, block_words, seed)
+    pieces = _pieces(place(sizes.drop("source")), block_words)
+    return sources, pieces, slots(sources, shard_slots, block_words, seed, stratified)
 
 
 def taken_words(documents: DataFrame, **options) -> DataFrame:
@@ -189,8 +192,7 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     took = pieces.where("block IS NOT NULL").join(filled.select("src", "block", "pass").hint("merge"), ["src", "block"])
     took = took.groupBy("src", "bucket", "seq", "pass").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("spans"))
     # The input's columns stay in one struct, so their names can't clash with those used here.
-    whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("whole")
-    rows = documents.select(whole, "doc_id", _source_key(F.col("source")).alias("src"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    rows = documents.select(whole(documents).alias("whole"), "doc_id", _source_key(F.col("source")).alias("src"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
     rows = place(rows).join(took.hint("merge"), ["src", "bucket", "seq"])
     # Words with the white space after them; white space before the first word stays with it.
     text = F.col("whole").getField("text")
@@ -204,4 +206,4 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     new = {"text": F.col("text").cast(documents.schema["text"].dataType)}
     if "n_chars" in documents.columns:
         new["n_chars"] = F.length("text").cast(documents.schema["n_chars"].dataType)
-    return rows.select(*(new.get(c, F.col("whole").getField(c)).alias(c) for c in documents.columns))
+    return rows.select(*(new[c].alias(c) if c in new else old for c, old in zip(documents.columns, parts(documents, "whole"))))

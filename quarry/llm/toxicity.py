@@ -12,8 +12,8 @@ of their density as value.  A screen keeps those whose mean differs between the
 ``SCREEN`` standard errors.  Neither labels nor lang, source or doc_id are ever an input
 of a score.
 
-The samples are rows with the lowest hash of their doc_id, ``POSITIVES`` and
-``UNLABELLED`` in expectation; whole texts are read.  Only this fit is sampled; every
+The samples are ids with the lowest hashes, ``POSITIVES`` and ``UNLABELLED`` in expectation,
+with one text each (of an id's several, the one of the least hash); whole texts are read.  Only this fit is sampled; every
 document is scored.
 
 Edge cases: a null or empty text has no features and gets the intercept's score; a doc_id
@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import parts, schema, whole
 from .textvec import buffer_of, hash_spans, mix, slices, word_spans
 from .workers import lean
 
@@ -186,16 +187,17 @@ def train(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, u
     toxic = marks.where("toxic = 1").select("doc_id")
     sure = toxic.where(lowest(positives, seen["toxic"]))
     rest = docs.select("doc_id").where(lowest(unlabelled, n_docs)).distinct().join(toxic, "doc_id", "left_anti")
-    xp = _collect(docs.join(F.broadcast(sure), "doc_id", "left_semi"))
-    xu = _collect(docs.join(F.broadcast(rest), "doc_id", "left_semi"))
+    # One text of each id, whatever the number of its rows.
+    one = lambda ids: docs.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    xp, xu = _collect(one(sure)), _collect(one(rest))
     # Documents labelled as not toxic are part of the unlabelled sample and hide none.
     hidden = prior * max(0.0, n_docs - seen["n"]) / max(1, n_docs - seen["toxic"])
     return non_negative_pu(xp, xu, prior, hidden)
 
 
-def score(documents: DataFrame, model: Linear, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row, and the columns that ``carry``
-    names, prefixed with ``in_``."""
+def score(documents: DataFrame, model: Linear, carry: bool = False) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every row, and with ``carry`` also ``in_row``,
+    all columns of ``documents`` in a struct."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, weights = np.zeros(1 << BITS, bool), np.zeros(1 << BITS)
@@ -206,13 +208,12 @@ def score(documents: DataFrame, model: Linear, carry: tuple[str, ...] = ()) -> D
                 x = Sparse(bounds, ids, values)
                 value = _sigmoid(x.times(weights) + model.bias)
                 columns = {"doc_id": piece.column("doc_id"), "held_out": piece.column("held_out"), "score": pa.array(value), "predicted": pa.array((value >= 0.5).astype(np.int32))}
-                yield pa.record_batch(columns | {f"in_{c}": piece.column(f"in_{c}") for c in carry})
+                yield pa.record_batch(columns | ({"in_row": piece.column("in_row")} if carry else {}))
 
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("text").cast("string").alias("text"),
-        *(F.col(c).alias(f"in_{c}") for c in carry))
-    more = "".join(f", in_{c} {documents.schema[c].dataType.simpleString()}" for c in carry)
-    return rows.mapInArrow(lean(run), SCORED + more)
+        *([whole(documents).alias("in_row")] if carry else []))
+    return rows.mapInArrow(lean(run), schema(SCORED, documents if carry else None))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -221,5 +222,4 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def kept_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``documents`` that aren't predicted to be toxic, with their own columns."""
-    found = score(documents, train(documents, labels), tuple(documents.columns)).where("predicted = 0")
-    return found.select(*(F.col(f"in_{c}").alias(c) for c in documents.columns))
+    return score(documents, train(documents, labels), carry=True).where("predicted = 0").select(*parts(documents, "in_row"))
