@@ -16,7 +16,8 @@ over the two halves of a class, so that a word costs about as many choices as it
   training token, up to ``2 ** MOST_BITS``; those of nearby choices lie side by side.
 * Training.  In each of ``ROUNDS`` rounds over as many parts of the training documents, every
   task computes its gradient and curvature with the weights so far, Spark adds them up by
-  ranges of slots, and each slot takes a damped step.  A task sends what it has touched.
+  ranges of slots, and each slot takes a damped step.  A task sends what it has touched; the
+  weights of a round, in 16 bits, are a file in the shared folder that workers map to memory.
 * In the tail, a word of count c has (c - d) / N_t of the tail's probability, and what the
   discount d frees, d * V_t / N_t, is that of the one unknown token, so all sums are one.
 * Scoring is one pass in numpy over blocks of tokens: the choices of all tokens of a block are
@@ -44,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .piece_table import ranges
-from .storage import cut
+from .storage import cut, map_file, shared_dir, write_file
 from .textvec import mix, slices, words
 from .workers import lean
 
@@ -250,7 +251,7 @@ def walk(v: Vocabulary, weights: np.ndarray, bits: int, places: np.ndarray, feat
         h += near
         h &= np.uint32((1 << bits) - 1)
         slots.append(h.view(np.int32))
-    z = weights[slots[0]]
+    z = weights[slots[0]].astype(np.float32)
     for h in slots[1:]:
         z += weights[h]
     x = x + z * sign
@@ -318,17 +319,22 @@ def _blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, lis
         row = to
 
 
-def train(encoded: DataFrame, v: Vocabulary, head, rounds: int = ROUNDS) -> tuple[np.ndarray, int]:
-    """The weights by slot, and how many bits a slot has."""
+def read_weights(uri: str) -> np.ndarray:
+    """The weights by slot, memory-mapped where the file system is local."""
+    return np.frombuffer(map_file(uri), "<f2")
+
+
+def train(encoded: DataFrame, v: Vocabulary, head, rounds: int = ROUNDS) -> tuple[str, int]:
+    """The file of weights by slot, and how many bits a slot has."""
     context = encoded.sparkSession.sparkContext
     bits = table_bits(v.n)
     span = 1 << min(RANGE_BITS, bits)
-    weights = np.zeros(1 << bits, np.float32)
+    weights, folder = np.zeros(1 << bits, np.float16), shared_dir(encoded.sparkSession, "maxent")
     for k in range(rounds):
-        now = context.broadcast(weights)
+        write_file(now := f"{folder}/{k}.weights", [weights.astype("<f2").tobytes()])
 
         def gradient(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            sums, table, any_rows = np.zeros(1 << bits, np.complex64), now.value, False
+            sums, table, any_rows = np.zeros(1 << bits, np.complex64), read_weights(now), False
             for batch in batches:
                 for _, some, _, feats in _blocks(batch.column("ids")):
                     walk(head.value, table, bits, some, feats, sums)
@@ -348,7 +354,7 @@ def train(encoded: DataFrame, v: Vocabulary, head, rounds: int = ROUNDS) -> tupl
                 hit = np.flatnonzero(np.unpackbits(np.frombuffer(row["hit"], np.uint8), count=span))
                 g[hit] += np.frombuffer(row["g"], "<f2")
                 h[hit] += np.frombuffer(row["h"], "<f2")
-            move = np.clip(g / (FEATURES * (h + RIDGE)), -MOST_STEP, MOST_STEP).astype("<f4")
+            move = np.clip(g / (FEATURES * (h + RIDGE)), -MOST_STEP, MOST_STEP).astype("<f2")
             return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "move": pa.array([move.tobytes()], pa.binary())})
 
         # A task sends the slots it has touched, so it takes as many tokens as make that worth it.
@@ -357,24 +363,24 @@ def train(encoded: DataFrame, v: Vocabulary, head, rounds: int = ROUNDS) -> tupl
         parts = part.mapInArrow(lean(gradient), "at long, hit binary, g binary, h binary")
         # 2 ** MOST_BITS steps at most reach the driver.
         moves = parts.groupBy("at").applyInArrow(step, "at long, move binary").toArrow()
-        now.unpersist()
-        weights = weights.copy()
         for at, move in zip(moves.column("at").to_pylist(), moves.column("move")):
-            weights[at: at + span] += np.frombuffer(move.as_buffer(), "<f4")
-    return weights, bits
+            weights[at: at + span] += np.frombuffer(move.as_buffer(), "<f2")
+    write_file(last := f"{folder}/{rounds}.weights", [weights.astype("<f2").tobytes()])
+    return last, bits
 
 
 SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>"
 
 
-def _score(encoded: DataFrame, head, weights, bits: int) -> DataFrame:
+def _score(encoded: DataFrame, head, weights: str, bits: int) -> DataFrame:
     """One row per document with the log10 probability of its places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = read_weights(weights)
         for batch in batches:
             score = np.zeros(batch.num_rows)
             for row, some, bounds, feats in _blocks(batch.column("ids")):
-                logs = walk(head.value, weights.value, bits, some, feats)
+                logs = walk(head.value, table, bits, some, feats)
                 score[row: row + len(bounds) - 1] += np.add.reduceat(logs, bounds[:-1]) / math.log(10)
             n = np.diff(batch.column("ids").offsets.to_numpy()).astype(np.int64)
             kept = {c: batch.column(c) for c in ("rid", "doc_id", "held_out", "known", "base", "tail")}
@@ -391,7 +397,7 @@ def score_documents(documents: DataFrame, most: int = HEAD, rounds: int = ROUNDS
     head = context.broadcast(found)
     encoded = cut(encode(documents, head), "encoded")
     weights, bits = train(encoded, found, head, rounds)
-    docs = cut(_score(encoded, head, context.broadcast(weights), bits), "head-scores")
+    docs = cut(_score(encoded, head, weights, bits), "head-scores")
 
     tail = docs.select("rid", F.explode("tail").alias("h"))
     rare = counts.where((F.col("c") < found.least) & (F.col("h") != END_HASH)).select("h", "c")

@@ -301,7 +301,8 @@ def test_maxent_beats_a_bigram_model(spark):
     v = maxent_lm.vocabulary(maxent_lm.count_tokens(docs).cache())
     head = spark.sparkContext.broadcast(v)
     encoded = maxent_lm.encode(docs, head).cache()
-    weights, bits = maxent_lm.train(encoded, v, head)
+    uri, bits = maxent_lm.train(encoded, v, head)
+    weights = maxent_lm.read_weights(uri)
     table = encoded.select("held_out", "ids").toArrow()
     held, ids = np.array(table.column("held_out").to_pylist()), table.column("ids").combine_chunks()
     places, bounds = ids.flatten().to_numpy().astype(np.int64), ids.offsets.to_numpy().astype(np.int64)
