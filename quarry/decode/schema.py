@@ -117,38 +117,36 @@ def _is_array(node: Node) -> bool:
     return b"Array" in (node.type_name, node.field_name)
 
 
-def _array_is_sound(nodes: list[Node], k: int) -> bool:
-    """An Array node: below an owner, with a 4-byte int ``size`` and a ``data`` as only children."""
-    node = nodes[k]
-    kids = children(nodes, k)
-    if node.type_name != b"Array" or node.field_name != b"Array" or node.byte_size != -1 or node.parent != k - 1 or len(kids) != 2:
-        return False
-    size, data = nodes[kids[0]], nodes[kids[1]]
-    if (size.field_name, size.type_name, size.byte_size, size.child_count) != (b"size", b"int", 4, 0) or data.field_name != b"data":
-        return False
-    of_string = nodes[k - 1].type_name == b"string"
-    return not of_string or (data.type_name, data.byte_size, data.child_count) == (b"char", 1, 0)
-
-
 def grammar_error(nodes: list[Node]) -> int | None:
-    """The first node that breaks the grammar of schemas whose values can be decoded."""
-    for k, node in enumerate(nodes):
-        width = WIDTH_OF.get(node.type_name)
-        first = nodes[node.first_child] if node.child_count else None
-        sound = bool(node.type_name and node.field_name) and node.byte_size >= -1
-        if width is not None:
-            sound &= not node.child_count and node.byte_size == width
-        if _is_array(node):
-            sound = sound and _array_is_sound(nodes, k)
-        if node.type_name == b"string":
-            sound = sound and node.byte_size == -1 and first is not None and _array_is_sound(nodes, k + 1)
-        elif first is not None:
-            sound = sound and (not _is_array(first) or _array_is_sound(nodes, k + 1))
-        elif width is None and node.type_name != b"Array":
-            sound = False
-        if not sound:
-            return k
-    return None
+    """The first node that breaks the grammar of schemas whose values can be decoded.
+
+    Every node has names and a size of -1 or more.  A node whose type is a scalar has that
+    scalar's width and nothing below it.  An array is a node ``Array Array`` of no fixed size
+    that comes first below its owner and holds just an ``int size`` and something ``data``.
+    A string owns an array of one-byte chars.  Whatever else has nothing below it has no known
+    width.  A node that owns a broken array is itself broken.
+    """
+    below: dict[int, list[int]] = {k: [] for k in range(len(nodes))}
+    for k, n in enumerate(nodes):
+        if n.parent is not None:
+            below[n.parent].append(k)
+    leaf = lambda k, name, width: (nodes[k].type_name, nodes[k].byte_size, below[k]) == (name, width, [])
+    strings = {k for k, n in enumerate(nodes) if n.type_name == b"string"}
+    arrays = {
+        k for k, n in enumerate(nodes) if (n.type_name, n.field_name, n.byte_size) == (b"Array", b"Array", -1) and n.parent == k - 1
+        and [nodes[c].field_name for c in below[k]] == [b"size", b"data"] and leaf(below[k][0], b"int", 4)}
+    arrays -= {k for k in arrays if k - 1 in strings and not leaf(below[k][1], b"char", 1)}
+    called_arrays = {k for k, n in enumerate(nodes) if _is_array(n)}
+    scalars = {k for k, n in enumerate(nodes) if n.type_name in WIDTH_OF}
+    owners = {k for k in below if below[k] and below[k][0] in called_arrays}
+    broken = (
+        {k for k, n in enumerate(nodes) if not n.type_name or not n.field_name or n.byte_size < -1}
+        | {k for k in scalars if not leaf(k, nodes[k].type_name, WIDTH_OF[nodes[k].type_name])}
+        | (called_arrays - arrays)
+        | {k for k in strings if nodes[k].byte_size != -1}
+        | {k for k in strings | owners if not below[k] or below[k][0] not in arrays}
+        | {k for k in below if not below[k] and k not in scalars and nodes[k].type_name != b"Array"})
+    return min(broken, default=None)
 
 
 def compile_schema(raw: bytes, strings: bytes, big: bool) -> list[Node]:

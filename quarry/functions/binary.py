@@ -1,9 +1,11 @@
-"""Integers, text checks and folding over BINARY columns, all native."""
+"""Integers, text checks and folding over BINARY columns, native but for the place of an error."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -50,6 +52,16 @@ def first_invalid_utf8(data: bytes) -> int | None:
     return None
 
 
+@F.pandas_udf(T.LongType())
+def _first_invalid(values: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None else first_invalid_utf8(bytes(v)) for v in values], dtype="Int64")
+
+
+def utf8_error(data: Column) -> Column:
+    """The offset of the first byte sequence that isn't strict UTF-8, null if there is none."""
+    return F.when(~valid_utf8(data), _first_invalid(data.cast("binary")))
+
+
 def digest(data: Column) -> Column:
     return F.sha2(data.cast("binary"), 256)
 

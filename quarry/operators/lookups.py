@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.decode.registry import KEY
@@ -68,19 +68,19 @@ def rid_totals(resolved: DataFrame) -> DataFrame:
         F.count("*").alias("slots"), F.count_if(F.col("resolution") == "missing").alias("missing"), F.count_if(F.col("resolution") == "ambiguous").alias("ambiguous"))
 
 
-def string_starts(table: Column) -> Column:
-    """The byte offsets at which a NUL-separated table's strings start."""
-    parts = F.split(F.decode(table, "ISO-8859-1"), "\\x00")
-    whole = F.slice(parts, 1, F.size(parts) - 1)  # what follows the last NUL isn't terminated
-    ends = F.aggregate(whole, F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(s) + 1)))
-    return F.arrays_zip(F.slice(ends, 1, F.size(whole)).alias("start"), whole.alias("text"))
+def strings_of(tables: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys, and ``offset, text`` of every string of the NUL-separated ``strings``: where it
+    starts, from a running sum of the lengths before."""
+    parts = tables.select(*keys, F.posexplode(F.split(F.decode("strings", "ISO-8859-1"), "\\x00")).alias("at", "text"))
+    before = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumns({"offset": F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("long"), "last": F.max("at").over(Window.partitionBy(*keys))})
+    return placed.where("at < last").select(*keys, "offset", "text")  # what follows the last NUL isn't terminated
 
 
 def resolve_strings(offsets: DataFrame, tables: DataFrame, keys: list[str]) -> DataFrame:
     """Names by exact start offset: ``offsets`` has the keys and ``offset``, ``tables`` the keys
     and ``strings``.  ``text`` is null where no string starts."""
-    starts = tables.select(*keys, F.explode(string_starts(F.col("strings"))).alias("s")).select(*keys, F.col("s.start").cast("long").alias("offset"), F.col("s.text").alias("text"))
-    return offsets.join(starts, [*keys, "offset"], "left")
+    return offsets.join(strings_of(tables, keys), [*keys, "offset"], "left")
 
 
 # Schema registry

@@ -100,7 +100,8 @@ def resolve(nodes: DataFrame, objects: DataFrame, externals: DataFrame, pointers
     nodes: ``node, outer_path, member_name, is_member, scope_root, has_guid, guid``;
     objects: ``node, ordinal, path_id, class_id``;
     externals: ``node, ordinal, virtual_path, path_name, guid, type``;
-    pointers: ``pointer, node, file_id, path_id, expected_class`` (null for any).
+    pointers: ``pointer, node, file_id, path_id, expected_class`` (null for any).  One of a node
+    that ``nodes`` doesn't hold is ``source-missing`` unless its own ids decide.
     """
     located = _located(nodes)
     x = externals.select(
@@ -121,7 +122,7 @@ def resolve(nodes: DataFrame, objects: DataFrame, externals: DataFrame, pointers
     p = p.withColumns({"route": route, "builtin": F.coalesce(built, F.lit(False)), "locator": F.coalesce(library, F.col("path_name"))})
     source = located.select(
         "node", F.col("outer_n").alias("s_outer"), F.col("root_n").alias("s_root"), F.col("in_scope").alias("s_in_scope"), F.col("is_member").alias("s_member"))
-    p = p.join(source, "node")
+    p = p.join(source, "node", "left")
     candidate = located.where("in_scope").select(
         F.col("node").alias("target"), F.col("outer_n").alias("c_outer"), F.col("root_n").alias("c_root"), F.col("member_n").alias("c_member_name"),
         F.col("is_member").alias("c_member"), F.col("has_guid").alias("c_has_guid"), F.col("guid").alias("c_guid"))
@@ -143,7 +144,7 @@ def resolve(nodes: DataFrame, objects: DataFrame, externals: DataFrame, pointers
     target = F.when(F.col("route") == "local", F.col("node")).when(outside & (F.col("hit.n") == 1), F.col("hit.target"))
     early = (
         F.when(~outside & (F.col("route") != "local"), F.col("route"))
-        .when(outside & F.col("hit").isNull(), "out-of-scope").when(outside & (F.col("hit.n") > 1), "ambiguous"))
+        .when(F.col("s_member").isNull(), "source-missing").when(outside & F.col("hit").isNull(), "out-of-scope").when(outside & (F.col("hit.n") > 1), "ambiguous"))
     p = p.withColumns({"target": target, "early": early})
     firsts = first_match(objects, ["node", "path_id"], "ordinal").select(F.col("node").alias("o_node"), F.col("path_id").alias("o_path_id"), "class_id")
     p = p.join(firsts, (F.col("target") == F.col("o_node")) & (F.col("path_id") == F.col("o_path_id")), "left")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LINKS = "parent int, first_child int, next_sibling int, child_count int, subtree_end int"
 
@@ -20,53 +22,68 @@ def hierarchy_errors(nodes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def links(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """Parent, first child, next sibling, child count and subtree end of every node.
+    """Parent, first child, next sibling, child count and subtree end of every node, beside all
+    its columns.
 
     A linear pass over each tree in order.  Trees are spread by their keys; a tree is a
     schema, whose size the format bounds.
     """
-    columns = [*keys, "ordinal", "level"]
-    rows = nodes.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "ordinal")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-
-    def finish(tree: list[dict]) -> list[dict]:
-        path: list[int] = []
-        last: dict[int, int] = {}
-        for row in tree:
-            row |= {"parent": None, "first_child": None, "next_sibling": None, "child_count": 0, "subtree_end": len(tree)}
-        for k, row in enumerate(tree):
-            for closed in path[row["level"]:]:
-                tree[closed]["subtree_end"] = k
-            del path[row["level"]:]
-            if path:
-                up = path[-1]
-                row["parent"] = up
-                tree[up]["child_count"] += 1
-                if up in last:
-                    tree[last[up]]["next_sibling"] = k
-                else:
-                    tree[up]["first_child"] = k
-                last[up] = k
-            path.append(k)
-        return tree
+    rows = nodes.repartition(*keys).sortWithinPartitions(*keys, "ordinal")
+    names = [x.split()[0] for x in LINKS.split(", ")]
+
+    def finish(table: pa.Table, starts: list[int]) -> pa.RecordBatch:
+        """Whole trees, each from its start to the next one's."""
+        levels = table.column("level").to_pylist()
+        n = len(levels)
+        parent, first, following, count, end = [None] * n, [None] * n, [None] * n, [0] * n, [0] * n
+        for low, high in zip(starts, [*starts[1:], n]):
+            path: list[int] = []
+            last: dict[int, int] = {}
+            for k in range(low, high):
+                for closed in path[levels[k]:]:
+                    end[closed] = k - low
+                del path[levels[k]:]
+                if path:
+                    up = path[-1]
+                    parent[k] = up - low
+                    count[up] += 1
+                    if up in last:
+                        following[last[up]] = k - low
+                    else:
+                        first[up] = k - low
+                    last[up] = k
+                path.append(k)
+            for closed in path:
+                end[closed] = high - low
+        for name, column in zip(names, (parent, first, following, count, end)):
+            table = table.append_column(name, pa.array(column, pa.int32()))
+        return table.combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: list[dict] = []
-        now, kinds = None, None
+        held: pa.Table | None = None
         for batch in batches:
-            kinds = kinds or pa.schema([*batch.schema, *(pa.field(x.split()[0], pa.int32()) for x in LINKS.split(", "))])
-            for row in batch.to_pylist():
-                key = tuple(row[k] for k in keys)
-                if tree and key != now:
-                    yield pa.RecordBatch.from_pylist(finish(tree), schema=kinds)
-                    tree = []
-                now = key
-                tree.append(row)
-        if tree:
-            yield pa.RecordBatch.from_pylist(finish(tree), schema=kinds)
-
-    found = rows.mapInArrow(run, f"{ddl}, {LINKS}")
-    return nodes.join(found.drop("level"), [*keys, "ordinal"])
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            starts = _starts(held, keys)
+            if len(starts) > 1:  # the last tree may go on
+                yield finish(held.slice(0, starts[-1]), starts[:-1])
+                held = held.slice(starts[-1])
+        if held is not None:
+            yield finish(held, [0])
+
+    return rows.mapInArrow(run, T.StructType([*nodes.schema.fields, *T.StructType.fromDDL(LINKS).fields]))
+
+
+def _starts(table: pa.Table, keys: list[str]) -> list[int]:
+    """Where the key of sorted rows changes."""
+    change = np.zeros(table.num_rows, bool)
+    change[0] = True
+    for k in keys:
+        codes = table.column(k).combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        change[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(change).tolist()
 
 
 def links_by_join(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -99,13 +116,12 @@ def contexts(linked: DataFrame, keys: list[str]) -> DataFrame:
     """Per tree how far a traversal goes: ``registry`` is the one node flagged 0x04, which must
     be the last direct child of the root; a selected reference payload stops before it."""
     flagged = F.col("type_flags").bitwiseAND(F.lit(4)) != 0
-    sizes = linked.groupBy(*keys).agg(F.count("*").alias("size"))
-    rows = linked.join(sizes, keys)
     wrong_flags = flagged & (F.col("type_flags") != 4)
-    wrong_place = flagged & ((F.col("parent") != 0) | F.col("parent").isNull() | F.col("next_sibling").isNotNull() | (F.col("subtree_end") != F.col("size")))
-    found = rows.groupBy(*keys, "size").agg(
-        F.bool_or(wrong_flags).alias("bad_flags"), F.bool_or(wrong_place).alias("bad_place"),
-        F.count_if(flagged).alias("n"), F.min(F.when(flagged, F.col("ordinal"))).alias("registry"))
+    wrong_place = flagged & ((F.col("parent") != 0) | F.col("parent").isNull() | F.col("next_sibling").isNotNull())
+    found = linked.groupBy(*keys).agg(
+        F.bool_or(wrong_flags).alias("bad_flags"), F.bool_or(wrong_place).alias("bad_place"), F.count_if(flagged).alias("n"),
+        F.min(F.when(flagged, F.col("ordinal"))).alias("registry"), F.min(F.when(flagged, F.col("subtree_end"))).alias("stop"), F.max("subtree_end").alias("size"))
+    found = found.withColumn("bad_place", F.col("bad_place") | F.coalesce(F.col("stop") != F.col("size"), F.lit(False)))
     status = F.when(F.col("bad_flags"), "unsupported-registry-flags").when(F.col("bad_place") | (F.col("n") > 1), "unsupported-registry-position").otherwise("ok")
     ok = F.col("status") == "ok"
     found = found.withColumn("status", status)

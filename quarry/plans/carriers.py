@@ -69,13 +69,6 @@ def path_merge(spark, sf_dir):
     return constraints.merge_paths(one, other)
 
 
-@query("SELECT doc_id, true AS valid, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, CAST(length(text) AS BIGINT) AS n_points FROM documents")
-def utf8_measure(spark, sf_dir):
-    text = F.col("text")
-    return _table(spark, sf_dir, "documents").select(
-        "doc_id", binary.valid_utf8(text).alias("valid"), F.octet_length(text).cast("long").alias("n_bytes"), F.length(text).cast("long").alias("n_points"))
-
-
 @query("SELECT l_orderkey, l_linenumber % 3 AS slot, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def duplicate_ids(spark, sf_dir):
     rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") % 3).alias("slot"))
@@ -121,27 +114,6 @@ def descendant_pairs(spark, sf_dir):
     return keyed.join(roots, F.col("head") == F.col("root")).where(paths.is_within(F.col("path"), F.col("root"))).groupBy("root").agg(F.count("*").alias("n"))
 
 
-@query(f"""
-WITH p AS (SELECT page_id, {_PATH} AS path FROM pages),
-dirs AS (SELECT page_id, path, unnest(range(1, CAST(len(string_split(path, '/')) AS BIGINT))) AS k, CAST(len(string_split(path, '/')) AS BIGINT) AS parts FROM p),
-steps AS (SELECT page_id, parts - 1 - k AS depth, array_to_string(string_split(path, '/')[:k], '/') AS dir FROM dirs),
-known AS (SELECT array_to_string(string_split(path, '/')[:2], '/') AS dir, page_id AS target FROM p WHERE page_id % 3 = 0),
-hits AS (SELECT s.page_id, s.depth, count(*) AS n, min(k.target) AS target FROM steps s JOIN known k ON s.dir = k.dir GROUP BY ALL),
-best AS (SELECT page_id, min(depth) AS depth FROM hits GROUP BY page_id)
-SELECT h.page_id, CAST(h.depth AS BIGINT) AS depth, h.n, CASE WHEN h.n = 1 THEN 'exact' ELSE 'ambiguous' END AS status, CASE WHEN h.n = 1 THEN h.target END AS target
-FROM hits h JOIN best b ON h.page_id = b.page_id AND h.depth = b.depth""")
-def nearest_ancestor(spark, sf_dir):
-    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
-    parts = _table(spark, sf_dir, "pages").select("page_id", F.split(path, "/").alias("parts"))
-    steps = parts.where(F.size("parts") > 1).select("page_id", "parts", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("k"))
-    steps = steps.select("page_id", (F.size("parts") - 1 - F.col("k")).cast("long").alias("depth"), F.array_join(F.slice("parts", F.lit(1), F.col("k")), "/").alias("dir"))
-    known = parts.where("page_id % 3 = 0").select(F.array_join(F.slice("parts", 1, 2), "/").alias("dir"), F.col("page_id").alias("target"))
-    hits = steps.join(known, "dir").groupBy("page_id", "depth").agg(F.count("*").alias("n"), F.min("target").alias("target"))
-    best = hits.groupBy("page_id").agg(F.min_by(F.struct("depth", "n", "target"), "depth").alias("h"))
-    one = F.col("h.n") == 1
-    return best.select("page_id", "h.depth", "h.n", F.when(one, "exact").otherwise("ambiguous").alias("status"), F.when(one, F.col("h.target")).alias("target"))
-
-
 _TREE = """
 WITH rows AS (
   SELECT 0 AS a, 0 AS b, 0 AS level UNION ALL SELECT r_regionkey + 1, 0, 1 FROM region UNION ALL SELECT n_regionkey + 1, n_nationkey + 1, 2 FROM nation),
@@ -178,15 +150,6 @@ def hierarchy_errors(spark, sf_dir):
     return trees.hierarchy_errors(nodes, ["tree"]).select("ordinal", "level")
 
 
-@query("""
-SELECT lang, n_chars % 50 AS bucket, CASE WHEN count(DISTINCT source) > 1 THEN 'conflict' ELSE 'same' END AS status, count(*) AS n
-FROM documents WHERE source IS NOT NULL GROUP BY ALL""")
-def schema_conflict(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").where("source IS NOT NULL").select("lang", (F.col("n_chars") % 50).alias("bucket"), "source")
-    found = rows.groupBy("lang", "bucket").agg((F.min("source") != F.max("source")).alias("conflict"), F.count("*").alias("n"))
-    return found.select("lang", "bucket", F.when(F.col("conflict"), "conflict").otherwise("same").alias("status"), "n")
-
-
 @query("""
 SELECT CAST(user_id % 10 AS BIGINT) AS shard, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS "view", count(*) FILTER (event_type = 'purchase') AS purchase
 FROM events GROUP BY ALL""")
@@ -221,11 +184,6 @@ def flag_decode(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", kind.alias("kind"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.page') AS page FROM events")
-def path_extract(spark, sf_dir):
-    return _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.page").alias("page"))
-
-
 @query("""
 WITH w AS (SELECT o_custkey, o_orderkey, sum(CAST(floor(o_totalprice) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS total FROM orders)
 SELECT o_custkey, min(o_orderkey) AS row, CAST(arg_min(total, o_orderkey) AS BIGINT) AS total FROM w WHERE total > 500000 GROUP BY o_custkey""")

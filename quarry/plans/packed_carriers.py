@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.decode import encode
 from quarry.functions import binary
-from quarry.operators import constraints, lookups, references, trees
+from quarry.operators import lookups, references
 from quarry.sources import files, tables
 
 from .carriers import _table, query
@@ -75,12 +75,6 @@ def directory_scan(spark, sf_dir):
     return rows.select("path", "ordinal", "path_id", F.col("rel_offset").cast("long").alias("rel_offset"), "byte_size", "class_id")
 
 
-@query(f"""
-SELECT CAST(s_nationkey AS VARCHAR) AS path, count(*) AS n_objects, CAST(0 AS BIGINT) AS duplicate_ids, CAST(0 AS BIGINT) AS overlapping, true AS accepted FROM {_SUPPLY} GROUP BY s_nationkey""")
-def semantic_open(spark, sf_dir):
-    return constraints.object_table_report(tables.objects_table(_supplier_files(spark, sf_dir))).drop("member")
-
-
 @query("""
 SELECT n_name AS path, CAST(0 AS INTEGER) AS ordinal, n_name || '/lib' AS path_name, 'archive:/' || n_name AS virtual_path, CAST(n_regionkey AS INTEGER) AS type, CAST(n_nationkey AS BIGINT) AS script_path_id FROM nation""")
 def tail_scan(spark, sf_dir):
@@ -97,15 +91,14 @@ def tail_scan(spark, sf_dir):
 
 @query("""
 SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 'resource' WHEN doc_id % 3 = 1 THEN 'serialized-file' ELSE 'deleted' END AS VARCHAR) AS kind,
-  CAST(CASE WHEN doc_id % 3 = 2 THEN 0 ELSE octet_length(encode(coalesce(text, ''))) END AS BIGINT) AS size,
-  sha256(CASE WHEN doc_id % 3 = 2 THEN '' ELSE coalesce(text, '') END) AS sha256 FROM documents""")
+  CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size, sha256(coalesce(text, '')) AS sha256 FROM documents""")
 def archive_scan(spark, sf_dir):
     d = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
     def pack(row: dict) -> bytes:
         k = int(row["path"])
-        member = (b"body.resS", 0 if k % 3 == 0 else 4 if k % 3 == 1 else 2, b"" if k % 3 == 2 else bytes(row["text"]))
-        return encode.archive([(b"folder", 1, b""), member], compressed=k % 2 == 0)
+        member = (b"body.resS", 0 if k % 3 == 0 else 4 if k % 3 == 1 else 2, bytes(row["text"]))
+        return encode.archive([(b"folder", 1, b""), member], compressed=k % 4 % 3)
 
     found = tables.members(_packed(d, pack)).where("ordinal = 1")
     return found.select(F.col("path").cast("long").alias("doc_id"), "kind", F.col("size").cast("long").alias("size"), F.sha2("data", 256).alias("sha256"))
@@ -143,28 +136,15 @@ def schema_nodes(spark, sf_dir):
     return n.select(F.col("path").cast("long").alias("p_partkey"), "ordinal", "level", F.decode("type_name", "UTF-8").alias("type_name"), F.decode("field_name", "UTF-8").alias("field_name"))
 
 
-@query("SELECT p_partkey, CAST(NULL AS INTEGER) AS registry, CAST(8 AS INTEGER) AS ordinary_end, CAST(8 AS INTEGER) AS selected_end, 'ok' AS status FROM part")
-def schema_context(spark, sf_dir):
-    keys = ["path", "row_kind", "type_ordinal"]
-    linked = trees.links(tables.type_nodes(_part_files(spark, sf_dir)), keys)
-    found = trees.contexts(linked, keys)
-    return found.select(F.col("path").cast("long").alias("p_partkey"), "registry", F.col("ordinary_end").cast("int").alias("ordinary_end"), F.col("selected_end").cast("int").alias("selected_end"), "status")
-
-
-@query("SELECT CAST(s_nationkey AS VARCHAR) AS path, 'build-settings-missing' AS status FROM supplier GROUP BY s_nationkey")
-def build_settings(spark, sf_dir):
-    return tables.build_settings_table(_supplier_files(spark, sf_dir)).select("path", "status")
-
-
 @query("""
 WITH t AS (SELECT r_regionkey, string_agg(n_name || chr(1), '' ORDER BY n_name) AS names FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ALL),
-o AS (SELECT r_regionkey, CAST(unnest(range(0, 40)) AS BIGINT) AS "offset" FROM region)
+o AS (SELECT r_regionkey, CAST(unnest(range(0, length(names) + 2)) AS BIGINT) AS "offset" FROM t)
 SELECT o.r_regionkey, o."offset", CASE WHEN (o."offset" = 0 OR substr(names, o."offset", 1) = chr(1)) AND o."offset" < length(names)
   THEN split_part(substr(names, o."offset" + 1), chr(1), 1) END AS text FROM o JOIN t USING (r_regionkey)""")
 def string_resolution(spark, sf_dir):
     nation = _table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list("n_name")).alias("names"))
     table = nation.select("r_regionkey", F.concat(F.array_join("names", "\0"), F.lit("\0")).cast("binary").alias("strings"))
-    offsets = _table(spark, sf_dir, "region").select("r_regionkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("offset"))
+    offsets = table.select("r_regionkey", F.explode(F.sequence(F.lit(0).cast("long"), F.octet_length("strings") + F.lit(1).cast("long"))).alias("offset"))
     return lookups.resolve_strings(offsets, table, ["r_regionkey"])
 
 
@@ -180,18 +160,10 @@ def _line_references(spark, sf_dir, line: DataFrame) -> DataFrame:
     return references.resolve(nodes, objects, externals, pointers).select("pointer.*", "status")
 
 
-@query("""
-SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 11 = 0 OR l_suppkey + (l_partkey % 3 - 1) * 1000000 = 0 THEN 'null' WHEN l_linenumber = 7 THEN 'invalid-file-id'
-  WHEN l_partkey % 3 <> 1 THEN 'target-missing' WHEN l_linenumber % 2 = 0 THEN 'target-wrong-class' ELSE 'local' END AS status FROM lineitem WHERE l_orderkey % 10 = 3""")
-def local_references(spark, sf_dir):
-    """A tenth of the pointers; ``whole_local_references`` resolves all of them."""
-    return _line_references(spark, sf_dir, _table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 3"))
-
-
 @query("""
 SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 11 = 0 OR l_suppkey + (l_partkey % 3 - 1) * 1000000 = 0 THEN 'null' WHEN l_linenumber = 7 THEN 'invalid-file-id'
   WHEN l_partkey % 3 <> 1 THEN 'target-missing' WHEN l_linenumber % 2 = 0 THEN 'target-wrong-class' ELSE 'local' END AS status FROM lineitem""")
-def whole_local_references(spark, sf_dir):
+def local_references(spark, sf_dir):
     return _line_references(spark, sf_dir, _table(spark, sf_dir, "lineitem"))
 
 
@@ -230,18 +202,10 @@ def _known_schemas(spark, sf_dir, keep: str) -> DataFrame:
     return found.select(F.col("path").cast("long").alias("p_partkey"), "found", F.col("found_schema").cast("string").cast("int").alias("size"))
 
 
-@query("""
-WITH known AS (SELECT p_type, length(p_name) AS n, p_brand, min(p_size) AS size FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL)
-SELECT p.p_partkey, k.size IS NOT NULL AS found, k.size AS size FROM part p LEFT JOIN known k ON p.p_type = k.p_type AND length(p.p_name) = k.n AND p.p_brand = k.p_brand WHERE p.p_partkey % 3 = 1""")
-def registry_lookup(spark, sf_dir):
-    """A third of the parts; ``whole_registry_lookup`` looks up all of them."""
-    return _known_schemas(spark, sf_dir, "p_partkey % 3 = 1")
-
-
 @query("""
 WITH known AS (SELECT p_type, length(p_name) AS n, p_brand, min(p_size) AS size FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL)
 SELECT p.p_partkey, k.size IS NOT NULL AS found, k.size AS size FROM part p LEFT JOIN known k ON p.p_type = k.p_type AND length(p.p_name) = k.n AND p.p_brand = k.p_brand""")
-def whole_registry_lookup(spark, sf_dir):
+def registry_lookup(spark, sf_dir):
     return _known_schemas(spark, sf_dir, "true")
 
 

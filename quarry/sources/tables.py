@@ -35,6 +35,7 @@ SCHEMAS = {
     "shapes": f"{KEYS}, row_kind string, type_ordinal int, class_id int, type_hash binary, engine binary, shape_digest string, grammar_error int, profile string",
     "schema_entries": f"{KEYS}, row_kind string, type_ordinal int, file_version int, engine binary, class_id int, type_id int, script_index int, has_script_hash boolean, is_stripped boolean, is_ref boolean, script_hash binary, type_hash binary, schema binary, nodes binary, strings binary, dependencies array<int>, class_name binary, name_space binary, assembly binary",
     "tree_values": f"{KEYS}, object_ordinal int, path_id long, ordinal int, value_path string, depth int, kind string, type_name string, int_value long, uint_value {U64}, double_value double, bytes_value binary, count long, value_digest string",
+    "value_paths": f"{KEYS}, object_ordinal int, path_id long, value_path string, kind string, as_int long, as_uint {U64}, text binary, count long",
     "values": f"{KEYS}, object_ordinal int, path_id long, ordinal int, kind string, node_ordinal int, field_name binary, offset long, size long, bits long, bytes binary, padding int, parent int, first_child int, next_sibling int, child_count int, subtree_end int",
     "managed_values": f"{KEYS}, object_ordinal int, path_id long, ordinal int, kind string, node_ordinal int, field_name binary, registry_row int, ref_type int, offset long, size long, bits long, bytes binary, padding int",
     "registry_rows": f"{KEYS}, object_ordinal int, path_id long, ordinal int, rid long, kind string, class_name binary, name_space binary, assembly binary, match_count int, ref_type int, payload_offset long, payload_size long",
@@ -239,6 +240,24 @@ def tree_values(source: DataFrame) -> DataFrame:
     return _rows(source, "tree_values", lambda s: _each_object(s, _tree_rows), _SOURCE)
 
 
+def value_paths(source: DataFrame, paths: list[str]) -> DataFrame:
+    """For every object with a schema and each path into its value: what is there, as each
+    accessor gives it (``as_int``, ``as_uint``, ``text``) and the length of its array if any."""
+    def decode(f, data, o, t, nodes) -> list[dict]:
+        at, size = _payload(f, data, o)
+        value, _ = schema.parse_value(nodes, data[at: at + size], bool(f.header["endian"]), pack=True)
+        out = []
+        for path in paths:
+            found = schema.find_path(value, path)
+            array = schema.get_array(found)
+            out.append({
+                "value_path": path, "kind": found.kind if found else None, "as_int": schema.as_int(found), "as_uint": schema.as_uint(found),
+                "text": found.text if found else None, "count": None if array is None else len(array.items if array.packed is None else array.packed)})
+        return out
+
+    return _rows(source, "value_paths", lambda s: _each_object(s, decode), _SOURCE)
+
+
 def values(source: DataFrame) -> DataFrame:
     """Values of objects of the known ordinary shapes, with their byte ranges."""
     def decode(f, data, o, t, nodes):

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from conftest import SF
 
-from quarry.plans import carriers, packed_carriers  # noqa: F401
+from quarry.plans import asset_carriers, carriers, packed_carriers  # noqa: F401
 
 TABLES = [f[:-8] for f in os.listdir(SF)]
 
@@ -41,11 +41,11 @@ def test_entry_and_registration(spark):
 
 
 def test_every_line_item_is_resolved(spark):
-    found = carriers.QUERIES["whole_local_references"](spark, SF)
+    found = carriers.QUERIES["local_references"](spark, SF)
     line = spark.read.parquet(f"{SF}/lineitem.parquet")
     assert found.count() == line.count() and found.select("l_orderkey", "l_linenumber").exceptAll(line.select("l_orderkey", "l_linenumber")).count() == 0
 
 
 def test_every_part_is_looked_up(spark):
-    found = carriers.QUERIES["whole_registry_lookup"](spark, SF)
+    found = carriers.QUERIES["registry_lookup"](spark, SF)
     assert sorted(r.p_partkey for r in found.collect()) == sorted(r.p_partkey for r in spark.read.parquet(f"{SF}/part.parquet").collect())
