@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import parts, schema, whole
@@ -396,11 +396,8 @@ def bands(scored: DataFrame) -> DataFrame:
     x = scored.where(~F.col("base_failed") & F.col("perplexity").isNotNull())
 
     def median(value, name: str, rows: DataFrame, width: float) -> DataFrame:
-        bins = rows.groupBy("lang", F.round(value / width).cast("long").alias("bin")).agg(F.count("*").alias("n"))
-        w = Window.partitionBy("lang")
-        upto = F.sum("n").over(w.orderBy("bin"))
-        marked = bins.withColumns({"upto": upto, "all": F.sum("n").over(w)})
-        return marked.where(F.col("upto") * 2 >= F.col("all")).groupBy("lang").agg((F.min("bin") * width).alias(name))
+        # Tasks hand on a count for each bin, never the values.
+        return rows.groupBy("lang").agg((F.percentile(F.round(value / width).cast("long"), 0.5) * width).alias(name))
 
     centre = cut(median(F.log10("perplexity"), "centre", x, BIN), "kn-centres")
     away = F.abs(F.log10("perplexity") - F.col("centre"))
