@@ -8,10 +8,13 @@ the assistants' texts are intersected with the sorted token spans by binary sear
 Inside roles and texts ``<``, any number of backslashes and ``|`` gets one backslash more,
 so that no control string can occur there; ``unescape`` takes it away again.
 
+Turns come sorted from Spark and stream through a task, so no conversation is held whole: one
+of more than ``PART_CHARS`` characters becomes several rows, cut between turns, where a control
+string separates the tokens in any case.
+
 Edge cases: a null text or role is empty; turns are ordered by turn (null first), then
 role and text; rows with a null conv_id are one conversation; an empty table gives an
-empty result; extra columns are ignored.  A conversation is one row, so it may hold up to
-what a row may hold (2 GB of text).
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,9 @@ from .workers import lean
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
-FORMATTED = "conv_id long, formatted string, input_ids array<int>, starts array<int>, ends array<int>, mask array<byte>"
+FORMATTED = "conv_id long, part int, at long, formatted string, input_ids array<int>, starts array<int>, ends array<int>, mask array<byte>"
+#: Characters after which a row ends with its turn, and that are encoded together.
+PART_CHARS, TOGETHER = 1 << 20, 1 << 20
 
 
 def escape(text: str | None) -> str:
@@ -97,24 +102,64 @@ class Formatter:
         return out
 
 
-def format_conversations(conversations: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """One row per conversation: its text, token ids, token offsets and loss mask."""
+_formatters: dict[str, Formatter] = {}
+
+
+def formatter(path: str) -> Formatter:
+    """The formatter of this worker process, kept from task to task."""
+    if path not in _formatters:
+        _formatters[path] = Formatter(path)
+    return _formatters[path]
+
+
+def format_conversations(conversations: DataFrame, vocabulary: str | None = None, most_chars: int = PART_CHARS) -> DataFrame:
+    """The text, token ids, token offsets and loss mask of every conversation: a row each, or
+    for a long one several in order of ``part``, ``at`` being the characters of those before;
+    offsets count from the row's own start.  A conversation's rows lie together and in order."""
     vocabulary = vocabulary or vocabulary_path()
-    turn = F.struct("turn", "role", "text")
-    grouped = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        formatter = Formatter(vocabulary)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                found = formatter([[(t["role"], t["text"]) for t in turns] for turns in piece.column("turns").to_pylist()])
-                columns = {"conv_id": piece.column("conv_id"), "formatted": pa.array([x["formatted"] for x in found], pa.string())}
+        done: list[tuple[int | None, int, int, list]] = []
+        turns: list[tuple[str | None, str | None]] = []
+        now: tuple[int | None] | None = None
+        part = at = size = waiting = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal waiting
+            if done:
+                found = formatter(vocabulary)([x[3] for x in done])
+                columns = {"conv_id": pa.array([x[0] for x in done], pa.int64()), "part": pa.array([x[1] for x in done], pa.int32()), "at": pa.array([x[2] for x in done], pa.int64())}
+                columns["formatted"] = pa.array([x["formatted"] for x in found], pa.string())
                 columns |= {k: pa.array([x[k] for x in found], pa.list_(pa.int32())) for k in ("input_ids", "starts", "ends")}
                 columns["mask"] = pa.array([x["mask"] for x in found], pa.list_(pa.int8()))
                 yield pa.record_batch(columns)
+            done.clear()
+            waiting = 0
+
+        def close() -> None:
+            nonlocal part, at, size, waiting, turns
+            done.append((now[0], part, at, turns))
+            part, at, waiting, size, turns = part + 1, at + size, waiting + size, 0, []
 
-    return grouped.mapInArrow(lean(run), FORMATTED)
+        for batch in batches:
+            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
+                if now != (conv,):
+                    if turns:
+                        close()
+                    now, part, at, size = (conv,), 0, 0, 0
+                if waiting > TOGETHER or len(done) >= 256:
+                    yield from flush()
+                turns.append((role, text))
+                size += len(escape(role)) + len(escape(text)) + len(START) + len(SEP) + len(END) + 1
+                if size > most_chars:
+                    close()
+        if turns:
+            close()
+        yield from flush()
+
+    return rows.mapInArrow(lean(run), FORMATTED)
 
 
 def loss_text(row: dict) -> list[str]:
@@ -124,20 +169,41 @@ def loss_text(row: dict) -> list[str]:
     return [unescape(row["formatted"][row["starts"][a]: row["ends"][b - 1]]) for a, b in zip(edge[0::2], edge[1::2])]
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """What the formatted rows say, read back from them alone."""
+def digests(formatted: DataFrame, ordered: bool = False) -> DataFrame:
+    """What the formatted rows say, read back from them alone.  Unless they are ``ordered``, as
+    ``format_conversations`` gives them, the rows of a conversation are brought together first."""
+    layout = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+    if not ordered:
+        formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        now: tuple[int | None] | None = None
+        said = loss = None
+
+        def close() -> None:
+            out[-1] |= {"turns_sha256": said.hexdigest(), "loss_sha256": loss.hexdigest()}
+
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                turns, loss = parse(row["formatted"]), "".join(loss_text(row))
-                said = "".join(f"{r}\n{t}\n" for r, t in turns)
-                out.append({
-                    "conv_id": row["conv_id"], "n_turns": len(turns), "turns_sha256": hashlib.sha256(said.encode()).hexdigest(),
-                    "loss_chars": len(loss), "loss_sha256": hashlib.sha256(loss.encode()).hexdigest(),
-                    "formatted_chars": len(row["formatted"])})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
-                ("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]))
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                if now != (row["conv_id"],):
+                    if out:
+                        close()
+                    if len(out) >= 1024:
+                        yield pa.RecordBatch.from_pylist(out, schema=layout)
+                        out = []
+                    now, said, loss = (row["conv_id"],), hashlib.sha256(), hashlib.sha256()
+                    out.append({"conv_id": row["conv_id"], "n_turns": 0, "loss_chars": 0, "formatted_chars": 0})
+                for role, text in parse(row["formatted"]):
+                    said.update(f"{role}\n{text}\n".encode())
+                    out[-1]["n_turns"] += 1
+                for text in loss_text(row):
+                    loss.update(text.encode())
+                    out[-1]["loss_chars"] += len(text)
+                out[-1]["formatted_chars"] += len(row["formatted"])
+        if out:
+            close()
+            yield pa.RecordBatch.from_pylist(out, schema=layout)
 
     return formatted.mapInArrow(lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -332,6 +332,15 @@ def test_chat(spark):
     rows = [(1, 0, "user", odd), (1, 1, "assistant", odd), (2, 1, "assistant", "\n\n lead"), (2, 0, "system", None), (2, 2, "assistant", ""), (2, 3, "assistant", "tail "), (3, None, None, "x"), (None, 0, "assistant", "é你\U0001F600"), (4, 0, "a\nb<|im_sep|>", "y"), (4, 0, "a\nb<|im_sep|>", "y")]
     frame = spark.createDataFrame([(*r, 7) for r in rows], TALK + ", turns int")
     got = {r.conv_id: r for r in chat.digests(chat.format_conversations(frame)).collect()}
+    whole = {r.conv_id: r for r in chat.format_conversations(frame).collect()}
+    cut = chat.format_conversations(frame, most_chars=1)  # a row for each turn
+    assert sorted(map(tuple, chat.digests(cut.orderBy("at")).collect()), key=str) == sorted(map(tuple, got.values()), key=str)
+    parts = sorted(cut.collect(), key=lambda r: r.part)
+    for c, r in whole.items():
+        own = [p for p in parts if p.conv_id == c]
+        assert len(own) == got[c].n_turns and "".join(p.formatted for p in own) == r.formatted
+        assert [i for p in own for i in p.input_ids] == r.input_ids and [m for p in own for m in p.mask] == r.mask
+        assert [p.at + x for p in own for x in p.starts] == r.starts
     groups = {}
     for c, turn, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
         groups.setdefault(c, []).append((role or "", text or ""))
