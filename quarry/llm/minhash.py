@@ -47,6 +47,8 @@ WORDS, PERCENT = 5, 80
 #: Members of an open bucket that meet in one piece of work, those outside and all, and how
 #: many shingles either may have.
 OUTSIDE_BLOCK, MEMBER_BLOCK, BLOCK_SHINGLES = 512, 512, 1 << 20
+#: Parts that the members of an open bucket are dealt out in.
+KEY_PARTS = 16
 _U = np.uint64
 _EMPTY = np.iinfo(np.uint64).max
 
@@ -267,7 +269,10 @@ def links(documents: DataFrame, classes: DataFrame, size: int, percent: int) ->
     n_i = F.ceil(F.greatest((F.col("k") - F.col("top.share")) / OUTSIDE_BLOCK, (F.col("m") - F.col("top.mass")) / BLOCK_SHINGLES))
     n_j = F.ceil(F.greatest(F.col("k") / MEMBER_BLOCK, F.col("m") / BLOCK_SHINGLES))
     largest = largest.where("parts > 1").select("key", F.col("top.component").alias("top"), n_i.alias("n_i"), n_j.alias("n_j"))
-    rows = placed.drop("k").join(largest, "key")
+    # A bucket's members come in several parts, each with a copy of its row.
+    part = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(KEY_PARTS)).cast("int")
+    copies = largest.withColumn("part", F.explode(F.array(*map(F.lit, range(KEY_PARTS)))))
+    rows = placed.drop("k").withColumn("part", part).join(copies.hint("merge"), ["key", "part"]).drop("part")
     n_i, n_j = F.col("n_i"), F.col("n_j")
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     mine = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n)
