@@ -391,14 +391,25 @@ def _score(encoded: DataFrame, head, weights: str, bits: int) -> DataFrame:
 
 def score_documents(documents: DataFrame, most: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
-    context = documents.sparkSession.sparkContext
     counts = cut(count_tokens(documents), "token-counts")
     found = vocabulary(counts, most)
-    head = context.broadcast(found)
+    head = documents.sparkSession.sparkContext.broadcast(found)
     encoded = cut(encode(documents, head), "encoded")
     weights, bits = train(encoded, found, head, rounds)
-    docs = cut(_score(encoded, head, weights, bits), "head-scores")
+    return _with_tail(cut(_score(encoded, head, weights, bits), "head-scores"), counts, found)
 
+
+def base_scores(documents: DataFrame, most: int = HEAD) -> DataFrame:
+    """The same columns but ``score``, without a model."""
+    counts = cut(count_tokens(documents), "token-counts")
+    found = vocabulary(counts, most)
+    encoded = encode(documents, documents.sparkSession.sparkContext.broadcast(found))
+    docs = encoded.select("rid", "doc_id", "held_out", F.size("ids").cast("long").alias("n_tokens"), "known", "base", F.lit(0.0).alias("score"), "tail")
+    return _with_tail(cut(docs, "head-scores"), counts, found).drop("score")
+
+
+def _with_tail(docs: DataFrame, counts: DataFrame, found: Vocabulary) -> DataFrame:
+    """Documents with the sums over their tail words added to those over their head."""
     tail = docs.select("rid", F.explode("tail").alias("h"))
     rare = counts.where((F.col("c") < found.least) & (F.col("h") != END_HASH)).select("h", "c")
     seen = tail.join(rare.hint("merge"), "h", "left")

@@ -174,6 +174,14 @@ def mix(documents: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int =
     return sources, pieces, slots(sources, shard_slots, block_words, seed, stratified)
 
 
+def targets(documents: DataFrame) -> DataFrame:
+    """``doc_id, size, source_size, target`` of every row of ``documents``: what is to be taken
+    from its source, before any draw."""
+    sizes = documents.select("doc_id", F.col("source").cast("string").alias("source"), _source_key(F.col("source")).alias("src"), word_count(F.col("text")).alias("size"))
+    sizes = cut(sizes, "mix-sizes")
+    return sizes.join(source_targets(sizes), "src").select("doc_id", "size", "source_size", "target")
+
+
 def taken_words(documents: DataFrame, **options) -> DataFrame:
     """``doc_id, size, source_size, target, taken``: one row per row of ``documents``."""
     sources, pieces, filled = mix(documents, **options)

@@ -353,6 +353,23 @@ def word_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
 SCORED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, perplexity double, error double"
 
 
+def _failed(found: dict[str, np.ndarray]) -> np.ndarray:
+    return (found["n_words"] < MIN_WORDS) | (100 * found["n_repeat_words"] > MAX_REPEAT_PERCENT * found["n_words"])
+
+
+def statistics(documents: DataFrame) -> DataFrame:
+    """``doc_id``, the word statistics and ``base_failed`` of every document, without a model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch):
+                found = word_statistics(piece.column("text"))
+                yield pa.record_batch({"doc_id": piece.column("doc_id")} | {k: pa.array(v, pa.int64()) for k, v in found.items()} | {"base_failed": pa.array(_failed(found))})
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(lean(run), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean")
+
+
 def score(documents: DataFrame, path: str, bits: int, carry: bool = False) -> DataFrame:
     """Word statistics, the base rules and the perplexity of every document; with ``carry``
     also ``in_row``, all columns of ``documents`` in a struct."""
@@ -371,7 +388,7 @@ def score(documents: DataFrame, path: str, bits: int, carry: bool = False) -> Da
                 none, n = n == 0, np.maximum(n, 1)
                 mean = total / n
                 error = np.sqrt(np.maximum(squares / n - mean * mean, 0) / n)
-                failed = (found["n_words"] < MIN_WORDS) | (100 * found["n_repeat_words"] > MAX_REPEAT_PERCENT * found["n_words"])
+                failed = _failed(found)
                 columns = {"doc_id": piece.column("doc_id"), "lang": piece.column("lang")} | {k: pa.array(v, pa.int64()) for k, v in found.items()}
                 columns |= {"base_failed": pa.array(failed), "perplexity": pa.array(10.0 ** np.minimum(-mean, 300), mask=none), "error": pa.array(error, mask=none)}
                 yield pa.record_batch(columns | ({"in_row": piece.column("in_row")} if carry else {}))

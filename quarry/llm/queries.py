@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, maxent_lm, minhash, mixing, piece_viterbi, pivot_index, quality, token_counts, token_files, toxicity
 
@@ -56,13 +57,62 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokens_on_disk(_read(spark, sf_dir, "documents"))
 
 
+def base_quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1 that SQL can state."""
+    return quality.statistics(_read(spark, sf_dir, "documents"))
+
+
+def base_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that SQL can state, the score to four places."""
+    found = maxent_lm.base_scores(_read(spark, sf_dir, "documents"))
+    return found.withColumn("base_score", F.round("base_score", 4))
+
+
+def base_mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that SQL can state, targets to four places."""
+    return mixing.targets(_read(spark, sf_dir, "documents")).withColumn("target", F.round("target", 4))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_rules, op2_sentencepiece_viterbi, op3_maxent_scoring, op4_chat_formatting,
-        op5_token_counts, op6_toxicity, op7_minhash_near_duplicates, op8_pivot_near_vectors, op9_source_mixing, op10_token_files)
+        op5_token_counts, op6_toxicity, op7_minhash_near_duplicates, op8_pivot_near_vectors, op9_source_mixing, op10_token_files,
+        base_quality_statistics, base_maxent_scores, base_mixing_targets)
 }
 
+_WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+#: crc32 of a doc_id as text, a bit at a time.
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+  lambda acc, b: list_reduce(list_prepend(xor(acc, b), [CAST(k AS BIGINT) for k in range(8)]), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "base_quality_statistics": rf"""
+WITH split AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+runs AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 7], ' ')) AS run FROM split, unnest(range(1, CAST(len(ws) AS BIGINT) - 6)) t(i)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS n FROM runs) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(8) r(k) GROUP BY doc_id),
+found AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM split LEFT JOIN covered USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM found""",
+    "base_maxent_scores": rf"""
+WITH split AS (SELECT doc_id, {_CRC} % 10 = 0 AS held_out, list_append(list_transform({_WORDS}, lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), '') AS ws FROM documents),
+tokens AS (SELECT doc_id, held_out, unnest(ws) AS w FROM split),
+counts AS (SELECT w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY w),
+total AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM counts)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.1) / (n + 0.1 * (v + 1)))), 4) AS base_score
+FROM tokens LEFT JOIN counts USING (w), total GROUP BY doc_id, held_out""",
+    "base_mixing_targets": rf"""
+WITH RECURSIVE sizes AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS k FROM sizes GROUP BY source),
+weighed AS (SELECT *, CAST([3, 1, 2][CAST((k - 1) % 3 + 1 AS BIGINT)] AS DOUBLE) AS weight FROM src),
+steps AS (
+  SELECT 0 AS step, k, source_size, weight, CAST(NULL AS DOUBLE) AS capped FROM weighed
+  UNION ALL
+  SELECT step + 1, k, source_size, weight, CASE WHEN capped IS NOT NULL THEN capped WHEN weight * rest / free > 2 * source_size THEN 2.0 * source_size END
+  FROM (SELECT *, 1.5 * sum(source_size) OVER () - sum(coalesce(capped, 0)) OVER () AS rest, sum(CASE WHEN capped IS NULL THEN weight ELSE 0 END) OVER () AS free FROM steps) WHERE step < (SELECT count(*) FROM src)),
+done AS (SELECT *, 1.5 * sum(source_size) OVER () - sum(coalesce(capped, 0)) OVER () AS rest, sum(CASE WHEN capped IS NULL THEN weight ELSE 0 END) OVER () AS free FROM steps WHERE step = (SELECT count(*) FROM src))
+SELECT s.doc_id, s.size, src.source_size, round(coalesce(d.capped, d.weight * d.rest / d.free), 4) AS target
+FROM sizes s JOIN src ON s.source IS NOT DISTINCT FROM src.source JOIN done d USING (k)""",
     "op4_chat_formatting": r"""
 WITH told AS (
   SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
