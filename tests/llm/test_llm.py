@@ -12,7 +12,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from quarry.llm import byte_bpe, chat, maxent_lm, minhash, mixing, piece_viterbi, pivot_index, quality, token_counts, token_files, toxicity
+from quarry.llm import byte_bpe, chat, maxent_lm, minhash, mixing, piece_table, piece_viterbi, pivot_index, quality, queries, storage, textvec, token_counts, token_files, toxicity
 from quarry.llm.components import UnionFind, components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -53,6 +53,75 @@ def words(text):
     return WORD.findall(text or "")
 
 
+# words and pieces
+
+def thue_morse(size):
+    """A word whose polynomial hash equals that of its complement, whatever the base."""
+    word = "a"
+    while len(word) < size:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("size", [64, 512, 1024, 2048, 4096])
+def test_words_that_collide_under_polynomials(spark, size):
+    from tokenizers import Tokenizer
+
+    pair = thue_morse(size)
+    rows = [(1, pair[0], "en", "s"), (2, pair[1], "en", "s"), (3, f"{pair[0]} {pair[1]} x", "en", "s"), (4, f"{pair[1]} {pair[0]} x", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1)
+    hashes, _ = textvec.words(pa.array(pair), True)
+    assert hashes[0] != hashes[1]
+    plain = Tokenizer.from_file(byte_bpe.vocabulary_path())
+    ids = {i: plain.encode(t, add_special_tokens=False).ids for i, t, _, _ in rows}
+    for r in token_files.tokens_on_disk(docs).collect():
+        assert (r.n_tokens, r.ids_crc32) == (len(ids[r.doc_id]) + 1, zlib.crc32(np.array([*ids[r.doc_id], 2], "<u4").tobytes()))
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs).collect()} == {i: len(x) for i, x in ids.items()}
+    assert all(r.kept and r.n_shingles == (1 if r.doc_id < 3 else 2) for r in minhash.near_duplicates(docs, size=2).collect())
+    assert all(r.round_trip for r in piece_viterbi.encoding_digests(docs).collect())
+
+
+def test_pieces_that_share_a_hash():
+    """With seven hashes in all, the bytes still tell pieces apart."""
+    draw = np.random.default_rng(0)
+    words = [bytes(draw.integers(97, 100, draw.integers(1, 30)).astype(np.uint8)) for _ in range(300)] + [b"x" * 600, b"x" * 601, b"x" * 600]
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    starts = ends - np.array([len(w) for w in words])
+    table = piece_table.PieceTable("<u4")
+
+    def encode(at):
+        found = [[sum(words[k]), len(words[k])] for k in at]
+        return np.array([x for f in found for x in f], "<u4"), np.full(len(at), 2)
+
+    for _ in range(3):
+        ids, upto = table.expand(textvec.hash_spans(raw, starts, ends, False) % np.uint64(7), raw, starts, ends, encode)
+        assert ids.reshape(-1, 2).tolist() == [[sum(w), len(w)] for w in words] and upto.tolist() == [2 * k + 2 for k in range(len(words))]
+
+
+def test_shared_folder(spark):
+    path = storage.shared_dir(spark, "probe")
+    storage.write_file(f"{path}/x", [b"0123456789"])
+    assert bytes(storage.read_range(f"{path}/x", 3, 4)) == b"3456" and bytes(storage.read_range(f"{path}/x", 8, 9)) == b"89"
+    import os
+
+    assert storage.clean_up(spark) >= 1 and not os.path.exists(path.removeprefix("file:"))
+    assert storage.clean_up(spark) == 0
+
+
+@pytest.mark.parametrize("name", ["base_quality_statistics", "base_maxent_scores", "base_mixing_targets"])
+def test_base_columns_equal_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, SF)
+    order = sorted(want.columns)
+    assert sorted(got.columns) == order
+    assert sorted(tuple(r[c] for c in order) for r in got.collect()) == sorted(tuple(r[want.columns.index(c)] for c in order) for r in want.fetchall())
+
+
 # 1 quality rules
 
 def brute_statistics(text):
@@ -416,6 +485,66 @@ def test_toxicity(spark, awkward, empty):
     assert kept.columns == awkward.columns and kept.dtypes == awkward.dtypes
 
 
+def slow_features(text):
+    """Feature counts of a text: each word, and its first 5, 6 and 7 bytes, lower-cased."""
+    found = Counter()
+    own = [w.translate(LOWER).encode() for w in words(text)]
+    for k, size in enumerate(toxicity.PREFIXES):
+        for w in own:
+            part = np.frombuffer(w[:size], np.uint8)
+            h = textvec.hash_spans(part, np.array([0]), np.array([len(part)]), False)
+            found[int(textvec.mix(h + np.uint64(7919 * k))[0]) >> 64 - toxicity.BITS] += 1
+    return {i: math.log1p(c * 200 / max(len(own), 50)) for i, c in found.items()}
+
+
+def slow_fit(positive, unlabelled, prior, hidden):
+    """The clamped risk by dense gradient steps; weights by feature id, and the bias."""
+    ids = sorted({i for row in [*positive, *unlabelled] for i in row})
+    dense = lambda rows: np.array([[row.get(i, 0.0) for i in ids] for row in rows])
+    xp, xu = dense(positive), dense(unlabelled)
+    error = np.sqrt((xp.var(axis=0) + 1 / len(xp)) / len(xp) + (xu.var(axis=0) + 1 / len(xu)) / len(xu))
+    keep = np.abs(xp.mean(axis=0) - xu.mean(axis=0)) > toxicity.SCREEN * error
+    xp, xu, ids = xp[:, keep], xu[:, keep], [i for i, k in zip(ids, keep) if k]
+    w, b, m, v = np.zeros(len(ids)), math.log(prior / (1 - prior)), np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for step in range(1, toxicity.STEPS + 1):
+        pp, pu = sigmoid(xp @ w + b), sigmoid(xu @ w + b)
+        negative = -np.log(1 - pu).mean() + hidden * np.log(1 - pp).mean()
+        if negative >= 0:  # the whole risk goes down, else what the negative part has overfitted goes up
+            gp, gu = (prior * (pp - 1) - hidden * pp) / len(xp), pu / len(xu)
+        else:
+            gp, gu = hidden * pp / len(xp), -pu / len(xu)
+        g = np.append(xp.T @ gp + xu.T @ gu + toxicity.RIDGE / len(xp) * w, gp.sum() + gu.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        move = toxicity.RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
+        w, b = w - move[:-1], b - move[-1]
+    return dict(zip(ids, w)), b
+
+
+def test_toxicity_equals_the_slow_model(spark):
+    import random
+
+    draw = random.Random(5)
+    plain, bad = [f"word{k}" for k in range(40)], ["vile", "Nasty", "grim-é"]
+    texts = {i: " ".join(draw.choices(plain, k=30) + (draw.choices(bad, k=6) if i % 3 == 0 else [])) for i in range(150)} | {150: "", 151: None}
+    labels = {i: int(i % 3 == 0) for i in range(0, 150, 2)}
+    docs = spark.createDataFrame([*texts.items(), (0, texts[0])], "doc_id long, text string")
+    marks = spark.createDataFrame([*labels.items(), (3, None)], "doc_id long, toxic int")
+    train = lambda i: zlib.crc32(str(i).encode()) % 5 != 0
+    sure = [i for i in texts if train(i) and labels.get(i) == 1]
+    rest = [i for i in texts if train(i) and labels.get(i) != 1]
+    seen = [i for i in labels if train(i)]
+    n_docs = sum(train(i) for i in [*texts, 0])
+    prior = sum(labels[i] for i in seen) / len(seen)
+    hidden = prior * (n_docs - len(seen)) / (n_docs - len(sure))
+    weights, bias = slow_fit([slow_features(texts[i]) for i in sure], [slow_features(texts[i]) for i in rest], prior, hidden)
+    got = toxicity.toxicity(docs, marks).collect()
+    assert len(got) == len(texts) + 1 and len(weights) > 3
+    for r in got:
+        want = 1 / (1 + math.exp(-bias - sum(weights.get(i, 0.0) * x for i, x in slow_features(texts[r.doc_id]).items())))
+        assert r.score == pytest.approx(want, abs=1e-3) and r.held_out == (not train(r.doc_id))
+
+
 def test_non_negative_risk_learns():
     rng = np.random.default_rng(1)
 
@@ -651,6 +780,32 @@ def test_mixing(spark, documents, awkward, empty):
     assert mixing.taken_words(empty).count() == 0
 
 
+def test_mixing_takes_the_words_of_its_blocks(spark, documents):
+    """Every word of every source laid out by hand, and counted as often as its block is taken."""
+    size, options = 32, {"block_words": 32, "shard_slots": 64}
+    sources, pieces, filled = mixing.mix(documents, **options)
+    of = {r.src: r for r in sources.collect()}
+    blocks = {s: math.ceil(r.source_size / size) for s, r in of.items()}
+    times, by_pass, shards = Counter(), Counter(), Counter()
+    for r in filled.collect():
+        times[r.src, r.block] += 1
+        by_pass[r.src, r["pass"], r.block] += 1
+        shards[r.shard] += 1
+        assert r.slot // blocks[r.src] == r["pass"]
+    assert max(by_pass.values()) == 1 and max(times.values()) <= 2 and max(shards.values()) <= 64
+    taken, place = {}, Counter()
+    rows = documents.select("doc_id", mixing._source_key(F.col("source")).alias("src"), mixing.word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    for r in sorted(mixing.place(rows).collect(), key=lambda r: (r.src, r.bucket, r.seq)):
+        taken[r.doc_id] = sum(times[r.src, (place[r.src] + k) // size] for k in range(r.size))
+        place[r.src] += r.size
+    assert place == Counter({s: r.source_size for s, r in of.items()})
+    assert {r.doc_id: r.taken for r in mixing.taken_words(documents, **options).collect()} == taken
+    # All slots of a shard drawn: the same means, wider.
+    plain = mixing.slots(sources, 64, size, stratified=False).groupBy("src").agg(F.count("*").alias("n")).collect()
+    expected = {s: r.target / size for s, r in of.items()}
+    assert all(abs(r.n - expected[r.src]) <= 5 * math.sqrt(expected[r.src]) + 2 for r in plain)
+
+
 def test_mixing_permutation(spark):
     for n in (1, 2, 3, 10, 97):
         got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5).cast("long"))).collect()]
@@ -690,3 +845,14 @@ def test_pipeline(spark, awkward, empty):
     for frame in (awkward, empty):
         for name, stage in pipeline.STAGES:
             frame = pipeline.cut(stage(spark, frame, SF), "test")
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, awkward):
+    import corpus_pipeline as pipeline
+
+    odd = awkward.withColumns({"a b": F.lit(1), "a.b": F.lit("x"), "a`b": F.lit(2.0), "in_row": F.lit(3)})
+    for name, stage in pipeline.STAGES[:-1]:
+        after = stage(spark, odd, SF)
+        assert after.dtypes == odd.dtypes, name
+        assert all(r["a b"] == 1 and r["a.b"] == "x" and r["a`b"] == 2.0 for r in pipeline.cut(after, "odd").collect())
+    assert pipeline.STAGES[-1][1](spark, odd, SF).count() == odd.count()
