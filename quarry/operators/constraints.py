@@ -51,6 +51,27 @@ def counts_by_kind(rows: DataFrame, kind: str, kinds: list[str], *keys: str) ->
     return rows.groupBy(*keys).agg(*(F.count_if(F.col(kind) == k).alias(k.replace("-", "_")) for k in kinds))
 
 
+def visit(members: DataFrame, kind_of_data: Column) -> DataFrame:
+    """Per archive how a visit of its members ends, and its counters up to there.
+
+    It stops at the first member that isn't sound: directories and deleted members must be
+    empty, and a serialized file must be one by its own bytes (``kind_of_data``, from a probe).
+    A member that stops the visit counts if it is a directory or deleted.
+    """
+    kind, empty = F.col("kind"), F.col("size") == 0
+    status = (
+        F.when(kind == "resource", "ok").when(kind.isin("directory", "deleted"), F.when(empty, "ok").otherwise("member-invalid"))
+        .when((kind != "serialized-file") | empty, "member-invalid").when(kind_of_data == "serialized-file", "ok")
+        .when(kind_of_data.startswith("unsupported"), "unsupported").otherwise("member-invalid"))
+    rows = members.select("path", "ordinal", "kind", status.alias("status"))
+    first = rows.where("status <> 'ok'").groupBy("path").agg(F.min_by("status", "ordinal").alias("refusal"), F.min("ordinal").alias("stop"))
+    rows = rows.join(first, "path", "left").where("stop IS NULL OR ordinal <= stop")
+    before = F.col("stop").isNull() | (F.col("ordinal") < F.col("stop"))
+    return rows.groupBy("path").agg(
+        F.coalesce(F.first("refusal"), F.lit("ok")).alias("status"), F.count_if((kind == "serialized-file") & before).alias("serialized_files"),
+        F.count_if((kind == "resource") & before).alias("resource_members"), F.count_if(kind == "directory").alias("directory_members"), F.count_if(kind == "deleted").alias("deleted_members"))
+
+
 def exactly_one(rows: DataFrame, wanted: Column, *keys: str) -> DataFrame:
     """Per group whether the wanted row is missing, duplicate or there once, and its first ordinal."""
     found = rows.groupBy(*keys).agg(F.count_if(wanted).alias("n"), F.min(F.when(wanted, F.col("ordinal"))).alias("ordinal"))

@@ -15,7 +15,7 @@ from quarry.decode import build_settings as settings
 from quarry.decode import encode, objects
 from quarry.functions import binary, paths
 from quarry.operators import constraints, lookups, references, trees
-from quarry.sources import tables
+from quarry.sources import files, tables
 
 from .carriers import _table, query
 from .packed_carriers import HASH, _packed
@@ -380,6 +380,25 @@ def archive_coverage(spark, sf_dir):
     return found.select(F.col("path").cast("long").alias("s_suppkey"), F.col("payload").cast("long").alias("payload"), "covered", F.sha2("text", 256).alias("sha256"))
 
 
+@query("""
+SELECT p_partkey, CASE k WHEN 0 THEN 'ok' WHEN 2 THEN 'unsupported' ELSE 'member-invalid' END AS status, CAST(CASE k WHEN 0 THEN 2 ELSE 1 END AS BIGINT) AS serialized_files,
+  CAST(CASE WHEN k = 0 THEN 1 ELSE 0 END AS BIGINT) AS resource_members, CAST(CASE WHEN k = 3 THEN 2 ELSE 1 END AS BIGINT) AS directory_members, CAST(CASE WHEN k = 4 THEN 1 ELSE 0 END AS BIGINT) AS deleted_members
+FROM (SELECT p_partkey, p_partkey % 6 AS k FROM part)""")
+def archive_visit(spark, sf_dir):
+    """Visits that end well, at a member that is no serialized file, at one of another version,
+    at a directory or deleted member that isn't empty, and at one of no kind."""
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"))
+    sound = encode.serialized_file([(1, HASH, None)], [], b"")
+    other = sound[:8] + struct.pack(">I", 21) + sound[12:]
+    third = [(b"level1", 4, sound), (b"level1", 4, b"nothing of the kind, but long"), (b"level1", 4, other), (b"sub", 1, b"x"), (b"gone", 2, b"x"), (b"what", 0, b"")]
+
+    def pack(row: dict) -> bytes:
+        return encode.archive([(b"folder", 1, b""), (b"level0", 4, sound), third[int(row["path"]) % 6], (b"data.resource", 0, b"r")])
+
+    found = constraints.visit(tables.members(_packed(rows, pack)), files.probe(F.col("data"))["kind"])
+    return found.select(F.col("path").cast("long").alias("p_partkey"), *found.columns[1:])
+
+
 # Sources and their objects
 
 @query("""

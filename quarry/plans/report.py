@@ -51,3 +51,9 @@ def member_report(spark: SparkSession, inputs: list[str]) -> DataFrame:
     """Counts of members by kind per archive."""
     opened = tables.members(probed(spark, inputs).where("kind = 'archive'"))
     return constraints.counts_by_kind(opened, "kind", ["serialized-file", "resource", "directory", "deleted", "invalid"], "path")
+
+
+def visit_report(spark: SparkSession, inputs: list[str]) -> DataFrame:
+    """How a visit of each archive's members ends, with its counters."""
+    opened = tables.members(probed(spark, inputs).where("kind = 'archive'"))
+    return constraints.visit(opened, files.probe(F.col("data"))["kind"])

@@ -1,4 +1,4 @@
-"""Finding input files on the driver: explicit files and directory trees."""
+"""Finding input files: explicit files and directory trees, here or on shared storage."""
 
 from __future__ import annotations
 
@@ -94,8 +94,65 @@ def discover(inputs: list[str], options: Options = Options()) -> list[tuple[str,
     return sorted(found.items(), key=lambda item: os.fsencode(item[0]))
 
 
+def is_local(path: str) -> bool:
+    return "://" not in path and not path.startswith("file:")
+
+
+def discover_shared(spark: SparkSession, inputs: list[str], options: Options = Options()) -> list[tuple[str, bool]]:
+    """The same for URIs of any file system that Spark can list, which the driver walks through
+    Hadoop's interface; links and special nodes exist there only as far as it shows them."""
+    if not inputs:
+        raise Reject("invalid-argument", "inputs")
+    settings, path_of = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    found: dict[str, bool] = {}
+    queue: deque[tuple[str, int, bool]] = deque((path, 0, True) for path in inputs)
+    directories = files = 0
+    while queue:
+        path, depth, named = queue.popleft()
+        _check_path(path, options)
+        where = path_of(path)
+        system = where.getFileSystem(settings)
+        if not system.exists(where):
+            raise Reject("not-found", path)
+        state = system.getFileStatus(where)
+        if state.isSymlink():
+            if named or options.reject_links:
+                raise Reject("link-rejected", path)
+        elif state.isDirectory():
+            if not named and not options.recursive:
+                continue
+            directories += 1
+            if options.max_depth and depth > options.max_depth:
+                raise Reject("depth-limit-exceeded", path)
+            if options.max_directories and directories > options.max_directories:
+                raise Reject("directory-limit-exceeded", path)
+            for child in system.listStatus(where):
+                name = child.getPath().toString()
+                if child.isFile():
+                    _check_path(name, options)
+                    files += 1
+                    found.setdefault(name, False)
+                else:
+                    queue.append((name, depth + 1, False))
+        else:
+            files += 1
+            found[state.getPath().toString()] = True
+        if options.max_files and files > options.max_files:
+            raise Reject("file-limit-exceeded", path)
+    return sorted(found.items(), key=lambda item: item[0].encode())
+
+
+def uris(spark: SparkSession, inputs: list[str], options: Options = Options()) -> list[str]:
+    """What discovery finds as URIs: local paths by the driver's own walk, all others shared."""
+    local, shared = [p for p in inputs if is_local(p)], [p for p in inputs if not is_local(p)]
+    found = [f"file://{os.path.abspath(p)}" for p, _ in discover(local, options)] if local or not inputs else []
+    return found + ([p for p, _ in discover_shared(spark, shared, options)] if shared else [])
+
+
 def paths(spark: SparkSession, inputs: list[str], options: Options = Options()) -> DataFrame:
-    return spark.createDataFrame(discover(inputs, options), PATHS)
+    local, shared = [p for p in inputs if is_local(p)], [p for p in inputs if not is_local(p)]
+    found = discover(local, options) if local or not inputs else []
+    return spark.createDataFrame(found + (discover_shared(spark, shared, options) if shared else []), PATHS)
 
 
 def program_resource(name: str, program: str | None = None) -> str:

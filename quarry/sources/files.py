@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.binary import unsigned
 
-from .discovery import discover
+from .discovery import uris
 
 FILES = "path string, length long, content binary, sha256 string"
 
@@ -21,6 +21,13 @@ PREFIX_BYTES = 96
 HEADER_BYTES = 48
 
 
+def opened(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI as Spark or Hadoop writes it, and the path in it."""
+    if uri.startswith("file:") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:"):]
+    return pafs.FileSystem.from_uri("s3" + uri[3:] if uri.startswith(("s3a://", "s3n://")) else uri)
+
+
 def files(spark: SparkSession, locations: list[str], max_bytes: int | None = None) -> DataFrame:
     """``path, length, content, sha256`` of files or folders; the size limit is pushed down
     to the listing, so longer files are never read."""
@@ -37,7 +44,7 @@ def prefixes(paths: DataFrame, size: int = PREFIX_BYTES) -> DataFrame:
         for batch in batches:
             rows = []
             for uri in batch.column("path").to_pylist():
-                system, path = pafs.FileSystem.from_uri(uri)
+                system, path = opened(uri)
                 with system.open_input_file(path) as f:
                     rows.append({"path": uri, "length": f.size(), "head": f.read(size)})
             if rows:
@@ -48,7 +55,7 @@ def prefixes(paths: DataFrame, size: int = PREFIX_BYTES) -> DataFrame:
 
 def listed(spark: SparkSession, inputs: list[str]) -> DataFrame:
     """The URIs of what discovery finds, spread over tasks."""
-    found = [(f"file://{os.path.abspath(p)}",) for p, _ in discover(inputs)]
+    found = [(p,) for p in uris(spark, inputs)]
     parts = max(1, min(len(found), 4 * spark.sparkContext.defaultParallelism))
     return spark.createDataFrame(found, "path string").repartition(parts)
 
@@ -60,7 +67,7 @@ def revalidate(found: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for uri, digest in zip(batch.column("path").to_pylist(), batch.column("sha256").to_pylist()):
-                system, path = pafs.FileSystem.from_uri(uri)
+                system, path = opened(uri)
                 if not system.get_file_info(path).is_file:
                     rows.append({"path": uri, "status": "missing"})
                     continue
@@ -82,7 +89,7 @@ def read_listed(paths: DataFrame, max_bytes: int | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column("path").to_pylist():
-                system, path = pafs.FileSystem.from_uri(uri)
+                system, path = opened(uri)
                 if max_bytes is not None and system.get_file_info(path).size > max_bytes:
                     continue
                 with system.open_input_file(path) as f:
@@ -94,7 +101,7 @@ def read_listed(paths: DataFrame, max_bytes: int | None = None) -> DataFrame:
 
 def listed_files(spark: SparkSession, inputs: list[str], max_bytes: int | None = None) -> DataFrame:
     """As ``files``, over what discovery finds, with hidden names and without links."""
-    found = [f"file://{os.path.abspath(p)}" for p, _ in discover(inputs)]
+    found = uris(spark, inputs)
     shown = [p for p in found if os.path.basename(p)[0] not in "_."]
     hidden = [(p,) for p in found if os.path.basename(p)[0] in "_."]
     out = read_listed(spark.createDataFrame(hidden, "path string"), max_bytes)

@@ -98,6 +98,25 @@ def sources(files: DataFrame, opened: DataFrame | None = None) -> DataFrame:
     return loose.unionByName(inside)
 
 
+def visit(source: DataFrame, visitor: Callable[[dict], bool | Iterator[dict] | None], ddl: str = "done boolean") -> DataFrame:
+    """Run a user's function over every source row.  It may give rows of ``ddl``, or nothing;
+    False refuses the source, which fails the job."""
+    layout = to_arrow_schema(T.StructType.fromDDL(f"{KEYS}, {ddl}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = visitor(row)
+                if found is False:
+                    raise ValueError(f"visitor-failed: {row['path']}, member {row['member']}")
+                keys = {"path": row["path"], "member": row["member"]}
+                rows = [keys | r for r in ([] if found is None or found is True else found)]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=layout)
+
+    return source.mapInArrow(run, f"{KEYS}, {ddl}")
+
+
 # Metadata of serialized files; ``source`` has ``path, member, data``
 
 _SOURCE = ("path", "member", "data")

@@ -222,3 +222,35 @@ def test_streaming_ingest(spark, folder, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("arrivals").agg(F.sum("n")).first()[0] >= 9
+
+
+def test_discovery_by_uri(spark, tmp_path):
+    import pytest
+
+    from quarry.decode.cursor import Reject
+    from quarry.sources import discovery, files
+
+    for name in ("b/two", "a", "b/_hidden"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    want = [f"file:{tmp_path}/{n}" for n in ("a", "b/_hidden", "b/two")]
+    assert discovery.discover_shared(spark, [f"file://{tmp_path}"]) == [(p, False) for p in want]
+    assert discovery.discover_shared(spark, [f"file:{tmp_path}/a", f"file:{tmp_path}"])[0] == (want[0], True)
+    assert [p for p, _ in discovery.discover_shared(spark, [f"file:{tmp_path}"], discovery.Options(recursive=False))] == want[:1]
+    assert sorted(r.content for r in files.listed_files(spark, [f"file://{tmp_path}"]).collect()) == [b"a", b"b/_hidden", b"b/two"]
+    assert sorted(r.content for r in files.listed_files(spark, [str(tmp_path)]).collect()) == [b"a", b"b/_hidden", b"b/two"]
+    for inputs, options in (([f"file:{tmp_path}/none"], {}), ([f"file:{tmp_path}"], {"max_files": 2}), ([f"file:{tmp_path}"], {"max_directories": 1}), ([], {})):
+        with pytest.raises(Reject):
+            discovery.discover_shared(spark, inputs, discovery.Options(**options))
+
+
+def test_visitor(spark):
+    import pytest
+
+    from quarry.sources import tables
+
+    source = spark.createDataFrame([("p", 0, bytearray(b"abc")), ("q", 1, bytearray(b""))], "path string, member int, data binary")
+    got = tables.visit(source, lambda row: [{"n": len(row["data"])}] if row["data"] else None, "n int").collect()
+    assert [tuple(r) for r in got] == [("p", 0, 3)]
+    with pytest.raises(Exception, match="visitor-failed"):
+        tables.visit(source, lambda row: bool(row["data"])).collect()
