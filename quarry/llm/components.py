@@ -19,6 +19,10 @@ from .storage import cut
 from .workers import lean
 
 
+#: Nodes that a task holds at a time.
+MOST_HELD = 1 << 20
+
+
 class UnionFind:
     """Disjoint sets whose root is the least member."""
 
@@ -43,16 +47,22 @@ class UnionFind:
             self.parent.setdefault(low, low)
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forest(batches: Iterator[pa.RecordBatch], most: int = MOST_HELD) -> Iterator[pa.RecordBatch]:
     sets = UnionFind()
+
+    def stars() -> Iterator[pa.RecordBatch]:
+        pairs = [(a, b) for a, b in ((x, sets.find(x)) for x in sets.parent) if a != b]
+        for at in range(0, len(pairs), 65536):
+            some = pairs[at: at + 65536]
+            yield pa.record_batch({"a": pa.array([x for x, _ in some], pa.int64()), "b": pa.array([y for _, y in some], pa.int64())})
+
     for batch in batches:
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
             sets.union(a, b)
-    pairs = [(x, sets.find(x)) for x in sets.parent]
-    pairs = [(a, b) for a, b in pairs if a != b]
-    for at in range(0, len(pairs), 65536):
-        some = pairs[at: at + 65536]
-        yield pa.record_batch({"a": pa.array([x for x, _ in some], pa.int64()), "b": pa.array([y for _, y in some], pa.int64())})
+        if len(sets.parent) > most:  # what later edges join to these, the steps below do
+            yield from stars()
+            sets = UnionFind()
+    yield from stars()
 
 
 def components(edges: DataFrame) -> DataFrame:

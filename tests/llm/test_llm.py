@@ -13,7 +13,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from quarry.llm import byte_bpe, chat, maxent_lm, minhash, mixing, piece_table, piece_viterbi, pivot_index, quality, queries, storage, textvec, token_counts, token_files, toxicity
-from quarry.llm.components import UnionFind, components
+from quarry.llm.components import UnionFind, _forest, components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -672,6 +672,13 @@ def test_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: u.find(i) for e in edges for i in e if e[0] != e[1] or i in got}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    batches = [pa.record_batch({"a": pa.array([a]), "b": pa.array([b])}) for a, b in edges]
+    for most in (1, 50, 1 << 20):
+        again = UnionFind()
+        for batch in _forest(iter(batches), most):
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                again.union(a, b)
+        assert all(again.find(i) == u.find(i) for e in edges for i in e)
 
 
 # 8 vectors
