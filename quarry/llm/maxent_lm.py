@@ -60,7 +60,7 @@ RANGE_BITS, NEARBY = 14, 4
 ROUNDS, RIDGE, MOST_STEP = 3, 0.3, 2.0
 FEATURES = 4
 #: Tokens of a block, and the least that a task takes in a round of training.
-BLOCK, TASK_TOKENS = 8192, 1 << 23
+BLOCK, TASK_TOKENS = 8192, 1 << 25
 #: The hash of the end token; no word's hash is made this way.
 END_HASH = int(np.uint64(0x454E444F46444F43).view(np.int64))
 HELD_ROWS = 1 << 20
