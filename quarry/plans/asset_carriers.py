@@ -238,6 +238,21 @@ def value_digests(spark, sf_dir):
     return found.join(first, "value_digest").select("p_partkey", "first_same")
 
 
+@query("""
+SELECT p_partkey, x.ordinal, parent, first_child, CASE WHEN p_partkey % 2 = 1 AND x.ordinal = 4 THEN NULL ELSE next_sibling END AS next_sibling,
+  CASE WHEN p_partkey % 2 = 1 AND x.ordinal = 0 THEN 2 ELSE child_count END AS child_count, CASE WHEN p_partkey % 2 = 1 AND x.ordinal = 0 THEN 8 ELSE subtree_end END AS subtree_end
+FROM part, (VALUES (0, NULL, 1, NULL, 3, 12), (1, 0, 2, 4, 2, 4), (2, 1, NULL, 3, 0, 3), (3, 1, NULL, NULL, 0, 4), (4, 0, 5, 8, 1, 8), (5, 4, 6, NULL, 2, 8),
+  (6, 5, NULL, 7, 0, 7), (7, 5, NULL, NULL, 0, 8), (8, 0, 9, NULL, 1, 12), (9, 8, 10, NULL, 2, 12), (10, 9, NULL, 11, 0, 11), (11, 9, NULL, NULL, 0, 12)) x(ordinal, parent, first_child, next_sibling, child_count, subtree_end)
+WHERE p_partkey % 2 = 0 OR x.ordinal < 8""")
+def schema_links(spark, sf_dir):
+    """The links of a schema's nodes, one tree a part and two kinds of them."""
+    blocks = [encode.schema_block(_VALUE), encode.schema_block(_VALUE[:8])]
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"))
+    source = _packed(rows, lambda row: encode.serialized_file([(1, HASH, blocks[int(row["path"]) % 2])], [], b""))
+    found = trees.links(tables.type_nodes(source), ["path", "row_kind", "type_ordinal"])
+    return found.select(F.col("path").cast("long").alias("p_partkey"), "ordinal", "parent", "first_child", "next_sibling", "child_count", "subtree_end")
+
+
 def _shape(rows: list[tuple]) -> list[tuple]:
     """A known shape as fields to pack, an authored name where it has none."""
     return [(kind or "Authored", name or "authored", level, size, meta, flags) for kind, name, level, flags, size, meta in rows]
@@ -262,6 +277,28 @@ def text_assets(spark, sf_dir):
     return found.select(F.col("path").cast("long").alias("doc_id"), "ordinal", "kind", "field_name", "sha256")
 
 
+@query("""
+SELECT c_custkey, x.ordinal, x.kind, x.field_name, CAST(CASE x.ordinal WHEN 2 THEN c_custkey % 3 WHEN 3 THEN c_custkey WHEN 4 THEN 1 WHEN 6 THEN 0 WHEN 7 THEN -c_custkey
+  WHEN 9 THEN CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END WHEN 10 THEN 2 WHEN 11 THEN c_custkey + 5 END AS BIGINT) AS bits
+FROM customer, (VALUES (0, 2, 'container', 'Base'), (1, 2, 'container', 'm_GameObject'), (2, 2, 'signed-integer', 'm_FileID'), (3, 2, 'signed-integer', 'm_PathID'), (4, 2, 'unsigned-integer', 'm_Enabled'),
+  (5, 2, 'container', 'm_Script'), (6, 2, 'signed-integer', 'm_FileID'), (7, 2, 'signed-integer', 'm_PathID'), (8, 2, 'byte-string', 'm_Name'), (9, 0, 'signed-integer', 'authored'),
+  (9, 1, 'container', 'authored'), (10, 1, 'signed-integer', 'm_FileID'), (11, 1, 'signed-integer', 'm_PathID')) x(ordinal, of, kind, field_name)
+WHERE x.of = 2 OR x.of = c_custkey % 2""")
+def scripted_objects(spark, sf_dir):
+    """Customers as scripted objects of two shapes: 10 or 12 values with their integers."""
+    blocks = [encode.schema_block(_shape(x)) for x in (objects.SCRIPTED_INT, objects.SCRIPTED_TEXT)]
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("path"), "c_nationkey")
+
+    def pack(row: dict) -> bytes:
+        k = int(row["path"])
+        body = struct.pack("<iq", k % 3, k) + struct.pack("<B3x", 1) + struct.pack("<iq", 0, -k) + _text("<", b"name")
+        body += struct.pack("<iq", 2, k + 5) if k % 2 else struct.pack("<i", row["c_nationkey"])
+        return encode.serialized_file([(114, HASH, blocks[k % 2], 0)], [(7, 0, len(body), 0)], body)
+
+    found = tables.values(_packed(rows, pack))
+    return found.select(F.col("path").cast("long").alias("c_custkey"), "ordinal", "kind", F.decode("field_name", "UTF-8").alias("field_name"), "bits")
+
+
 _HOST_BLOCK = encode.schema_block(_shape([*objects.HOST, *objects.REGISTRY]))
 _ALPHA = encode.schema_block(_shape([*objects.PAYLOAD_TEXT, *objects.REGISTRY]))
 _BETA = encode.schema_block(_shape([*objects.PAYLOAD_FLOAT, *objects.REGISTRY]))
