@@ -45,6 +45,10 @@ SCHEMAS = {
 }
 
 
+#: Rows of a batch, and bytes of the sources that they may come from.
+TOGETHER_ROWS, TOGETHER_BYTES = 4096, 32 << 20
+
+
 def _arrow(name: str) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromDDL(SCHEMAS[name]))
 
@@ -55,18 +59,25 @@ def _rows(source: DataFrame, name: str, rows_of: Callable[[dict], Iterator[dict]
     decimals = {f.name for f in layout if pa.types.is_decimal(f.type)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        room = TOGETHER_BYTES
         for batch in batches:
             for source_row in batch.to_pylist():
                 try:
                     found = list(rows_of(source_row))
                 except Reject:
                     continue
+                keys = {k: source_row[k] for k in ("path", "member") if k in source_row}
                 for row in found:
                     for k in decimals:
                         row[k] = None if row.get(k) is None else Decimal(row[k])
-                if found:
-                    keys = {k: source_row[k] for k in ("path", "member") if k in source_row}
-                    yield pa.RecordBatch.from_pylist([keys | r for r in found], schema=layout)
+                    held.append(keys | row)
+                room -= sum(len(x) for x in source_row.values() if isinstance(x, (bytes, bytearray))) if found else 0
+                if len(held) >= TOGETHER_ROWS or room < 0:
+                    yield pa.RecordBatch.from_pylist(held, schema=layout)
+                    held, room = [], TOGETHER_BYTES
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=layout)
 
     return source.select(*columns).mapInArrow(run, SCHEMAS[name])
 
