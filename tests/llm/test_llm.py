@@ -63,7 +63,7 @@ def thue_morse(size):
     return word, word.translate(str.maketrans("ab", "ba"))
 
 
-@pytest.mark.parametrize("size", [64, 512, 1024, 2048, 4096])
+@pytest.mark.parametrize("size", [1024, 4096])
 def test_words_that_collide_under_polynomials(spark, size):
     from tokenizers import Tokenizer
 
