@@ -15,9 +15,9 @@ import numpy as np
 from .textvec import same_spans
 
 #: Distinct pieces, and bytes of them, that a worker keeps; beyond, it starts anew.
-KEPT, KEPT_BYTES = 1_000_000, 32 << 20
+KEPT, KEPT_BYTES = 300_000, 8 << 20
 #: Pieces, and bytes of them, that are looked up at a time.
-TOGETHER, TOGETHER_BYTES = 1 << 18, 4 << 20
+TOGETHER, TOGETHER_BYTES = 1 << 17, 2 << 20
 
 
 class Store:
@@ -49,7 +49,7 @@ class PieceTable:
 
     def _forget(self) -> None:
         # Of each known piece: hash, place and number of its ids, place and number of its bytes.
-        empty = lambda: (np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(4)))
+        empty = lambda: (np.empty(0, np.uint64), *(np.empty(0, np.int32) for _ in range(4)))
         self.levels = [empty(), empty()]
         self.ids, self.bytes = Store(self.dtype), Store(np.dtype(np.uint8))
 
@@ -99,7 +99,7 @@ class PieceTable:
             text = self.bytes.append(window[ranges(starts[first[new]], size)]) + np.cumsum(size) - size
             for to, column in zip(entry, (self.ids.append(ids) + np.cumsum(count) - count, count, text, size)):
                 to[new] = column
-            self._merge(1, (keys[new], *(x[new] for x in entry)))
+            self._merge(1, (keys[new], *(x[new].astype(np.int32) for x in entry)))
             if 4 * len(self.levels[1][0]) > len(self.levels[0][0]):
                 self._merge(0, self.levels[1])
                 self.levels[1] = tuple(x[:0] for x in self.levels[1])

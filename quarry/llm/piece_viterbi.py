@@ -41,7 +41,7 @@ VOCABULARY = "piece_bpe_32k.model"
 SPACE, LITERAL = 0x2581, 0x110000  # the mark for a space, and what stands for that character itself
 BYTE_PENALTY = 10.0
 #: Code points of text taken at a time.
-PART = 1 << 20
+PART = 1 << 19
 #: Code points from which a part's states are held in machine types.
 MANY = 1 << 12
 _LOW = 0x250

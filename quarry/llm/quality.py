@@ -51,7 +51,7 @@ ERROR_BIN, MOST_ERRORS = 0.005, 100.0
 #: Languages up to which their bands are broadcast.
 MOST_BROADCAST = 65_536
 #: Characters taken at a time, entries of a file of the model, and places of a worker's table.
-PART, SHARD_ENTRIES, TABLE_BITS = 1 << 20, 1 << 21, 21
+PART, SHARD_ENTRIES, TABLE_BITS = 1 << 19, 1 << 21, 20
 
 _U = np.uint64
 _ONE, _TWO = (1 << BITS) - 1, (1 << 2 * BITS) - 1
@@ -136,7 +136,7 @@ def count_grams(documents: DataFrame) -> DataFrame:
                     key, first, n = np.unique(gram_hash(block.hi, block.lo, ORDER), return_index=True, return_counts=True)
                     found = held.setdefault(lang, [])
                     found.append((key, block.hi[first], block.lo[first], n))
-                    if sum(len(f[0]) for f in found[1:]) > max(1 << 19, len(found[0][0])):
+                    if sum(len(f[0]) for f in found[1:]) > max(1 << 18, len(found[0][0])):
                         held[lang] = [merged(found)]
                         if len(held[lang][0][0]) > PART or len(held) > 64:
                             yield rows(lang, held.pop(lang))
