@@ -15,9 +15,10 @@ over the two halves of a class, so that a word costs about as many choices as it
   w2 and w1 _ w3.  The weights lie in one table of at least ``PER_TOKEN`` slots for each
   training token, up to ``2 ** MOST_BITS``; those of nearby choices lie side by side.
 * Training.  In each of ``ROUNDS`` rounds over as many parts of the training documents, every
-  task computes its gradient and curvature with the weights so far, Spark adds them up by
-  ranges of slots, and each slot takes a damped step.  A task sends what it has touched; the
-  weights of a round, in 16 bits, are a file in the shared folder that workers map to memory.
+  task computes its gradient and curvature with the weights so far, other tasks add them up by
+  ranges of slots, and each slot takes a damped step.  A task writes what it has touched to a
+  file in the shared folder, which is deleted after the round (a shuffle's files would stay);
+  the weights of a round, in 16 bits, are a file there that workers map to memory.
 * In the tail, a word of count c has (c - d) / N_t of the tail's probability, and what the
   discount d frees, d * V_t / N_t, is that of the one unknown token, so all sums are one.
 * Scoring is one pass in numpy over blocks of tokens: the choices of all tokens of a block are
@@ -36,6 +37,7 @@ are ignored.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .piece_table import ranges
-from .storage import cut, map_file, shared_dir, write_file
+from .storage import cut, map_file, read_range, remove, shared_dir, write_file
 from .textvec import mix, slices, words
 from .workers import lean
 
@@ -59,8 +61,10 @@ PER_TOKEN, LEAST_BITS, MOST_BITS = 4, 16, 24
 RANGE_BITS, NEARBY = 14, 4
 ROUNDS, RIDGE, MOST_STEP = 3, 0.3, 2.0
 FEATURES = 4
-#: Tokens of a block, and the least that a task takes in a round of training.
-BLOCK, TASK_TOKENS = 8192, 1 << 25
+#: Tokens of a block, and of a task in a round of training; beyond the cores, a task takes more.
+BLOCK, TASK_TOKENS = 8192, 1 << 22
+#: The largest sum that a task sends in 16 bits as it is.
+MOST_SENT = 1 << 15
 #: The hash of the end token; no word's hash is made this way.
 END_HASH = int(np.uint64(0x454E444F46444F43).view(np.int64))
 HELD_ROWS = 1 << 20
@@ -235,36 +239,42 @@ def features(places: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
 def walk(v: Vocabulary, weights: np.ndarray, bits: int, places: np.ndarray, feats: list[np.ndarray], sums: np.ndarray | None = None) -> np.ndarray:
     """Natural log probability of each place in its context.  With ``sums``, adds the gradient
     (real part) and curvature (imaginary part) of every slot."""
-    n = v.first[places + 1] - v.first[places]
+    first = v.first[places]
+    n = v.first[places + 1] - first
     if not len(n) or not n.any():
         return np.zeros(len(n))
-    row, at = np.repeat(np.arange(len(n), dtype=np.int32), n), ranges(v.first[places], n)
-    key, near, sign, x = v.key[at], v.near[at], v.sign[at], v.bias[at]
-    slots = []
+    at, mask = ranges(first, n), (1 << bits) - 1
+    near, sign, x = (np.take(c, at, mode="clip") for c in (v.near, v.sign, v.bias))
+    near = near.astype(np.int64)
+    # A context's hash is made once for all choices of a neighbourhood.
+    parts = -(-n // NEARBY)
+    row, done = np.repeat(np.arange(len(n)), parts), NEARBY * ranges(np.zeros(len(n), np.int64), parts)
+    key, size = v.key[first[row] + done], np.minimum(NEARBY, n[row] - done)
+    slots, z = [], np.zeros(len(x), np.float32)
     for f in feats:
-        h = f[row]
+        h = np.take(f, row, mode="clip")
         h ^= key
         h *= np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA77)
         h >>= np.uint32(32 - bits)
+        h = np.repeat(h.astype(np.int64), size)
         h += near
-        h &= np.uint32((1 << bits) - 1)
-        slots.append(h.view(np.int32))
-    z = weights[slots[0]].astype(np.float32)
-    for h in slots[1:]:
-        z += weights[h]
-    x = x + z * sign
+        h &= mask
+        slots.append(h)
+        z += np.take(weights, h, mode="clip")
+    x += z * sign
     small = np.exp(-np.abs(x))
     if sums is not None:
         other = np.where(x >= 0, small, 1) / (1 + small)  # the probability of the other half
         step = np.empty(len(x), np.complex64)
         step.real, step.imag = other * sign, other * (1 - other)
         for h in slots:
-            np.add.at(sums, h.astype(np.int64), step)
-    logs = np.concatenate(([0.0], np.cumsum(np.minimum(x, 0) - np.log1p(small), dtype=np.float64)))
-    ends = np.cumsum(n)
-    return logs[ends] - logs[ends - n]
+            np.add.at(sums, h, step)
+    logs = np.minimum(x, 0).astype(np.float64) - np.log(1 + small.astype(np.float64))
+    out, some = np.zeros(len(n)), n > 0
+    out[some] = np.add.reduceat(logs, (np.cumsum(n) - n)[some])
+    return out
 
 
 def table_bits(n: int) -> int:
@@ -324,16 +334,44 @@ def read_weights(uri: str) -> np.ndarray:
     return np.frombuffer(map_file(uri), "<f2")
 
 
+def training_tasks(n: int, rounds: int, cores: int) -> int:
+    """A task sends the slots it has touched, 64 MB at most, so it takes as many tokens as make
+    that worth it; all cores take part from there on."""
+    return max(1, min(cores, -(-n // (max(1, rounds) * TASK_TOKENS))))
+
+
+def pack(part: np.ndarray) -> bytes:
+    """The sums of a range of slots: which are touched, a scale, and gradients and curvatures
+    in 16 bits under it, so that those of frequent contexts stay finite; nothing if none is."""
+    hit = part.imag > 0
+    if not hit.any():
+        return b""
+    g, h = part.real[hit], part.imag[hit]
+    scale = max(1.0, float(max(np.abs(g).max(), h.max())) / MOST_SENT)
+    return np.packbits(hit).tobytes() + np.float64(scale).astype("<f8").tobytes() + (g / scale).astype("<f2").tobytes() + (h / scale).astype("<f2").tobytes()
+
+
+def add_packed(data: bytes, g: np.ndarray, h: np.ndarray) -> None:
+    if not len(data):
+        return
+    bits = -(-len(g) // 8)
+    hit = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, bits), count=len(g)))
+    scale = np.frombuffer(data, "<f8", 1, bits)[0]
+    g[hit] += np.frombuffer(data, "<f2", len(hit), bits + 8) * scale
+    h[hit] += np.frombuffer(data, "<f2", len(hit), bits + 8 + 2 * len(hit)) * scale
+
+
 def train(encoded: DataFrame, v: Vocabulary, head, rounds: int = ROUNDS) -> tuple[str, int]:
     """The file of weights by slot, and how many bits a slot has."""
-    context = encoded.sparkSession.sparkContext
+    spark = encoded.sparkSession
+    cores = spark.sparkContext.defaultParallelism
     bits = table_bits(v.n)
     span = 1 << min(RANGE_BITS, bits)
-    weights, folder = np.zeros(1 << bits, np.float16), shared_dir(encoded.sparkSession, "maxent")
+    weights, folder = np.zeros(1 << bits, np.float16), shared_dir(spark, "maxent")
     for k in range(rounds):
         write_file(now := f"{folder}/{k}.weights", [weights.astype("<f2").tobytes()])
 
-        def gradient(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+        def gradient(batches: Iterator[pa.RecordBatch], now=now, to=f"{folder}/{k}.sums") -> Iterator[pa.RecordBatch]:
             sums, table, any_rows = np.zeros(1 << bits, np.complex64), read_weights(now), False
             for batch in batches:
                 for _, some, _, feats in _blocks(batch.column("ids")):
@@ -341,30 +379,41 @@ def train(encoded: DataFrame, v: Vocabulary, head, rounds: int = ROUNDS) -> tupl
                     any_rows = True
             if not any_rows:
                 return
-            for at in range(0, 1 << bits, span):
-                part = sums[at: at + span]
-                hit = part.imag > 0
-                if hit.any():
-                    g, h = part.real[hit].astype("<f2"), part.imag[hit].astype("<f2")
-                    yield pa.record_batch({"at": pa.array([at], pa.int64()), "hit": pa.array([np.packbits(hit).tobytes()]), "g": pa.array([g.tobytes()]), "h": pa.array([h.tobytes()])})
-
-        def step(key: tuple, table: pa.Table) -> pa.Table:
-            g, h = np.zeros(span), np.zeros(span)
-            for row in table.to_pylist():
-                hit = np.flatnonzero(np.unpackbits(np.frombuffer(row["hit"], np.uint8), count=span))
-                g[hit] += np.frombuffer(row["g"], "<f2")
-                h[hit] += np.frombuffer(row["h"], "<f2")
-            move = np.clip(g / (FEATURES * (h + RIDGE)), -MOST_STEP, MOST_STEP).astype("<f2")
-            return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "move": pa.array([move.tobytes()], pa.binary())})
-
-        # A task sends the slots it has touched, so it takes as many tokens as make that worth it.
-        tasks = max(1, min(context.defaultParallelism, v.n // (rounds * TASK_TOKENS)))
+            ends = [0]
+
+            def ranges_of() -> Iterator[bytes]:
+                for at in range(0, 1 << bits, span):
+                    data = pack(sums[at: at + span])
+                    ends.append(ends[-1] + len(data))
+                    yield data
+
+            # Only files that a task has returned count, so a repeated task does no harm.
+            write_file(uri := f"{to}/{uuid.uuid4().hex}", ranges_of())
+            yield pa.record_batch({"uri": pa.array([uri]), "ends": pa.array([ends], pa.list_(pa.int64()))})
+
+        tasks = training_tasks(v.n, rounds, cores)
         part = encoded.where((F.col("fold") != 0) & (F.col("fold") % rounds == k)).select("ids").coalesce(tasks)
-        parts = part.mapInArrow(lean(gradient), "at long, hit binary, g binary, h binary")
-        # 2 ** MOST_BITS steps at most reach the driver.
-        moves = parts.groupBy("at").applyInArrow(step, "at long, move binary").toArrow()
-        for at, move in zip(moves.column("at").to_pylist(), moves.column("move")):
-            weights[at: at + span] += np.frombuffer(move.as_buffer(), "<f2")
+        # One row a task, with an offset for each range.
+        files = part.mapInArrow(lean(gradient), "uri string, ends array<long>").collect()
+        sent = [(row["uri"], np.array(row["ends"])) for row in files]
+
+        def step(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for j in batch.column("id").to_pylist():
+                    g, h = np.zeros(span), np.zeros(span)
+                    for uri, ends in sent:
+                        add_packed(read_range(uri, int(ends[j]), int(ends[j + 1] - ends[j])), g, h)
+                    move = np.clip(g / (FEATURES * (h + RIDGE)), -MOST_STEP, MOST_STEP).astype("<f2")
+                    yield pa.record_batch({"at": pa.array([j * span], pa.int64()), "move": pa.array([move.tobytes()], pa.binary())})
+
+        if sent:
+            each = spark.range(0, (1 << bits) // span, 1, cores)
+            # 2 ** MOST_BITS steps at most reach the driver.
+            moves = each.mapInArrow(lean(step), "at long, move binary").toArrow()
+            for at, move in zip(moves.column("at").to_pylist(), moves.column("move")):
+                weights[at: at + span] += np.frombuffer(move.as_buffer(), "<f2")
+            remove(spark, f"{folder}/{k}.sums")
+        remove(spark, now)
     write_file(last := f"{folder}/{rounds}.weights", [weights.astype("<f2").tobytes()])
     return last, bits
 

@@ -350,6 +350,39 @@ def test_maxent_score_equals_the_slow_model(spark, texts):
         assert got[i] == pytest.approx(want, rel=2e-3)
 
 
+def test_maxent_training_uses_all_cores():
+    # Of the tables of 0.1 and 0.5 GB; one task trained on the larger before.
+    assert [maxent_lm.training_tasks(n, 3, 6) for n in (0, 1, 24_000_000, 121_000_000, 7_000_000_000)] == [1, 1, 2, 6, 6]
+
+
+def test_maxent_sums_of_frequent_contexts_stay_finite():
+    sums = np.zeros(8, np.complex64)
+    sums[[1, 2, 5]] = 3e5 + 4e5j, -2.5 + 0.75j, -7e4 + 2e5j
+    g, h = np.zeros(8), np.zeros(8)
+    for _ in range(2):
+        maxent_lm.add_packed(maxent_lm.pack(sums), g, h)
+    assert np.allclose(g, 2 * sums.real, rtol=2e-3) and np.allclose(h, 2 * sums.imag, rtol=2e-3)
+    small = np.array([0.5 + 0.25j], np.complex64)
+    one = np.zeros(1), np.zeros(1)
+    maxent_lm.add_packed(maxent_lm.pack(small), *one)
+    assert (one[0][0], one[1][0]) == (0.5, 0.25) and maxent_lm.pack(np.zeros(8, np.complex64)) == b""
+
+
+def test_maxent_training_in_several_tasks_leaves_one_file(spark, documents, monkeypatch):
+    docs = documents.limit(200).cache()
+    v = maxent_lm.vocabulary(maxent_lm.count_tokens(docs), 500)
+    head = spark.sparkContext.broadcast(v)
+    encoded = maxent_lm.encode(docs.repartition(4), head).cache()
+    alone, bits = maxent_lm.train(encoded, v, head)
+    monkeypatch.setattr(maxent_lm, "TASK_TOKENS", 1 + v.n // 12)
+    assert maxent_lm.training_tasks(v.n, 3, 4) == 4
+    uri, _ = maxent_lm.train(encoded, v, head)
+    a, b = (maxent_lm.read_weights(x).astype(float) for x in (alone, uri))
+    assert a.any() and np.abs(a - b).max() < 0.05
+    fs, path = storage.filesystem(uri.rpartition("/")[0])
+    assert [x.base_name for x in fs.get_file_info(pa.fs.FileSelector(path, recursive=True)) if x.is_file and not x.base_name.startswith(".")] == ["3.weights"]
+
+
 def test_maxent_sums_to_one(spark, documents):
     counts = maxent_lm.count_tokens(documents)
     rng = np.random.default_rng(0)
