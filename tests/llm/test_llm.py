@@ -383,6 +383,13 @@ def test_maxent_training_in_several_tasks_leaves_one_file(spark, documents, monk
     assert [x.base_name for x in fs.get_file_info(pa.fs.FileSelector(path, recursive=True)) if x.is_file and not x.base_name.startswith(".")] == ["3.weights"]
 
 
+def test_a_cut_trims_the_driver(spark, monkeypatch):
+    said = []
+    real = storage.trim_driver
+    monkeypatch.setattr(storage, "trim_driver", lambda s: said.append(real(s)))
+    assert storage.cut(spark.range(3), "trimmed").count() == 3 and said == [True]
+
+
 def test_maxent_sums_to_one(spark, documents):
     counts = maxent_lm.count_tokens(documents)
     rng = np.random.default_rng(0)
