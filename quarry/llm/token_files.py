@@ -9,7 +9,7 @@ Layout of a data set, one pair of files per partition of ascending doc_id ranges
               first), n document ids (int64) and n null flags (uint8).
 
 ``manifest/`` (Parquet) lists the files in order with their counts and ``base``, the
-number of ids in all files before, from a prefix sum over partitions; base + offset is a
+number of ids in all files before, a running sum over partitions; base + offset is a
 document's position in the whole data set.  Files are written under a new name for every
 attempt of a task and renamed when whole; only those that the manifest names count, so a
 lost executor or a repeated task leaves unread files at worst.
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe
@@ -105,12 +105,13 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str | None = None,
         yield pa.RecordBatch.from_pylist([row], schema=pa.schema([
             ("part", pa.int32()), ("lo", pa.int64()), ("ids_uri", pa.string()), ("idx_uri", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    # Written at once: the writing task must not run again with another outcome.
-    rows.mapInArrow(lean(write), MANIFEST).write.parquet(f"{path}/written")
-    written = spark.read.parquet(f"{path}/written")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    based = written.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
-    based.write.parquet(f"{path}/manifest")
+    # Collected at once, a row a file: the writing task must not run again with another outcome,
+    # and a table of them would be a file (for Spark, a process that sets its mode) a task.
+    base, listed = 0, []
+    for row in sorted(rows.mapInArrow(lean(write), MANIFEST).collect(), key=lambda row: row["part"]):
+        listed.append((*row, base))
+        base += row["n_ids"]
+    spark.createDataFrame(listed, f"{MANIFEST}, base long").coalesce(1).write.parquet(f"{path}/manifest")
     return spark.read.parquet(f"{path}/manifest")
 
 

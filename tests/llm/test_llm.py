@@ -383,6 +383,14 @@ def test_maxent_training_in_several_tasks_leaves_one_file(spark, documents, monk
     assert [x.base_name for x in fs.get_file_info(pa.fs.FileSelector(path, recursive=True)) if x.is_file and not x.base_name.startswith(".")] == ["3.weights"]
 
 
+def test_token_files_leave_one_table_of_one_file(spark, documents, tmp_path):
+    manifest = token_files.write_tokens(documents.repartition(8), str(tmp_path / "out"))
+    rows = manifest.orderBy("part").collect()
+    assert [r["base"] for r in rows] == [sum(x["n_ids"] for x in rows[:i]) for i in range(len(rows))]
+    assert [x.name for x in (tmp_path / "out").iterdir() if x.is_dir()] == ["manifest"]
+    assert len(list((tmp_path / "out" / "manifest").glob("*.parquet"))) == 1
+
+
 def test_a_cut_trims_the_driver(spark, monkeypatch):
     said = []
     real = storage.trim_driver
