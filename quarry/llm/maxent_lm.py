@@ -21,9 +21,10 @@ over the two halves of a class, so that a word costs about as many choices as it
   the weights of a round, in 16 bits, are a file there that workers map to memory.
 * In the tail, a word of count c has (c - d) / N_t of the tail's probability, and what the
   discount d frees, d * V_t / N_t, is that of the one unknown token, so all sums are one.
-* Scoring is one pass in numpy over blocks of tokens: the choices of all tokens of a block are
-  laid out in one row and their weights looked up sparsely.  Tail words are scored by a join
-  with the counts.
+* Scoring is one pass in numpy over blocks of tokens: a word's path is a few rows, one for each
+  neighbourhood, of ``NEARBY`` choices each, the last ones padded with choices that are certain.
+  Rows are fetched whole, and the weights of their choices looked up sparsely.  Tail words are
+  scored by a join with the counts.
 
 Words are told apart by 64-bit hashes; among V distinct ones V**2 / 2**65 pairs are expected
 to share one.
@@ -59,6 +60,13 @@ DISCOUNT = 0.5
 PER_TOKEN, LEAST_BITS, MOST_BITS = 4, 16, 24
 #: Slots that are added up together, and choices on a path whose weights lie side by side.
 RANGE_BITS, NEARBY = 14, 4
+#: Where the choices of a neighbourhood lie, from the top: those of the third level each before
+#: the two that follow them, so that a path touches fewer cache lines.
+ORDER = np.array([0, 1, 2, 3, 6, 9, 12, 4, 5, 7, 8, 10, 11, 13, 14], np.uint32)
+#: The sign bit of a number of 32 bits, and the bias of a choice that is none.
+FLIP, CERTAIN = np.int32(-1 << 31), np.float32(1e30)
+#: Where the bits of a half lie in a number of 32 bits, and what that number is too small by.
+HALF, HALF_SCALE = np.int32(0x8FFFE000 - (1 << 32)), np.float32(2.0 ** 112)
 ROUNDS, RIDGE, MOST_STEP = 3, 0.3, 2.0
 FEATURES = 4
 #: Tokens of a block, and of a task in a round of training; beyond the cores, a task takes more.
@@ -143,11 +151,9 @@ class Vocabulary:
     hashes: np.ndarray
     counts: np.ndarray
     places: np.ndarray
-    first: np.ndarray  # of each place, its first choice among the following; one more at the end
-    key: np.ndarray  # of each choice, the key of its neighbourhood
-    near: np.ndarray  # and its place there
-    sign: np.ndarray  # 1 where the place is in the second half of the class, else -1
-    bias: np.ndarray  # times the sign
+    first: np.ndarray  # of each place, its first row among the following; one more at the end
+    key: np.ndarray  # of each row, the key of its neighbourhood
+    rows: np.ndarray  # and its choices, as ``laid_out`` has them
     least: int
     n: int
     v: int
@@ -179,7 +185,7 @@ def choices(counts: np.ndarray) -> tuple[np.ndarray, ...]:
         size = high - low
         place = ranges(low, size)
         sign = np.where(place >= np.repeat(cut_at, size), 1, -1).astype(np.float32)
-        found.append((place, np.repeat((key >> _U(32)).astype(np.uint32), size), np.repeat(near, size), sign, np.repeat(bias, size).astype(np.float32) * sign))
+        found.append((place, np.repeat((key >> _U(32)).astype(np.uint32), size), np.repeat(ORDER[near], size), sign, np.repeat(bias, size).astype(np.float32) * sign))
         depth += 1
         low, high = np.stack((low, cut_at), 1).ravel(), np.stack((cut_at, high), 1).ravel()
         if depth % NEARBY:
@@ -195,6 +201,24 @@ def choices(counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return np.searchsorted(columns[0][rank], np.arange(len(counts) + 1)), *(x[rank] for x in columns[1:])
 
 
+def laid_out(first: np.ndarray, key: np.ndarray, near: np.ndarray, sign: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``first, key, rows`` of paths: a row holds the biases of ``NEARBY`` choices and then, as
+    bits, their places in the neighbourhood, with ``FLIP`` set where the sign is negative."""
+    n = np.diff(first)
+    parts = -(-n // NEARBY)
+    begin = np.repeat(first[:-1], parts) + NEARBY * ranges(np.zeros(len(n), np.int64), parts)
+    end = np.repeat(first[1:], parts)
+    rows = np.zeros((len(begin), 2 * NEARBY), np.float32)
+    rows[:, :NEARBY] = CERTAIN
+    code = rows.view(np.int32)
+    for k in range(NEARBY):
+        some = np.flatnonzero(begin + k < end)
+        at = begin[some] + k
+        rows[some, k] = bias[at]
+        code[some, NEARBY + k] = near[at].astype(np.int32) | np.where(sign[at] < 0, FLIP, np.int32(0))
+    return np.concatenate(([0], np.cumsum(parts))), key[begin], rows
+
+
 def vocabulary(counts: DataFrame, most: int = HEAD) -> Vocabulary:
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     # The least bound from a histogram with a fixed number of bins.
@@ -218,7 +242,7 @@ def vocabulary(counts: DataFrame, most: int = HEAD) -> Vocabulary:
     places = np.empty(len(h), np.int64)
     places[ranked] = np.arange(1, len(h) + 1)
     paths = choices(np.concatenate(([max(1, tail_n)], c[ranked])).astype(np.float64))
-    return Vocabulary(h, c, places, *paths, int(least), int(total["n"]), int(total["v"]), tail_n, tail_v)
+    return Vocabulary(h, c, places, *laid_out(*paths), int(least), int(total["n"]), int(total["v"]), tail_n, tail_v)
 
 
 def features(places: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
@@ -236,45 +260,66 @@ def features(places: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return [(mix(k + (_U(i + 1) << _U(50))) >> _U(32)).astype(np.uint32) for i, k in enumerate(keys)]
 
 
-def walk(v: Vocabulary, weights: np.ndarray, bits: int, places: np.ndarray, feats: list[np.ndarray], sums: np.ndarray | None = None) -> np.ndarray:
-    """Natural log probability of each place in its context.  With ``sums``, adds the gradient
-    (real part) and curvature (imaginary part) of every slot."""
+def taken(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The weights at these slots in 32 bits; finite halves are widened by their bits, which
+    takes less than numpy's conversion of one after the other."""
+    found = np.take(weights, at, mode="clip")
+    if found.dtype != np.float16:
+        return found
+    bits = found.view(np.int16).astype(np.int32)
+    bits <<= 13
+    bits &= HALF
+    wide = bits.view(np.float32)
+    wide *= HALF_SCALE
+    return wide
+
+
+def walk(v: Vocabulary, weights: np.ndarray | None, bits: int, places: np.ndarray, feats: list[np.ndarray], sums: np.ndarray | None = None) -> np.ndarray | None:
+    """Natural log probability of each place in its context, or with ``sums``, adds the gradient
+    (real part) and curvature (imaginary part) of every slot to them instead.  No weights are
+    weights of zero."""
     first = v.first[places]
     n = v.first[places + 1] - first
-    if not len(n) or not n.any():
+    if not len(n) or not n.any():  # one place only; otherwise each has a choice
         return np.zeros(len(n))
-    at, mask = ranges(first, n), (1 << bits) - 1
-    near, sign, x = (np.take(c, at, mode="clip") for c in (v.near, v.sign, v.bias))
-    near = near.astype(np.int64)
-    # A context's hash is made once for all choices of a neighbourhood.
-    parts = -(-n // NEARBY)
-    row, done = np.repeat(np.arange(len(n)), parts), NEARBY * ranges(np.zeros(len(n), np.int64), parts)
-    key, size = v.key[first[row] + done], np.minimum(NEARBY, n[row] - done)
-    slots, z = [], np.zeros(len(x), np.float32)
+    at, row, mask = ranges(first, n), np.repeat(np.arange(len(n)), n), (1 << bits) - 1
+    key, found = np.take(v.key, at, mode="clip"), np.take(v.rows, at, axis=0, mode="clip")
+    code = found[:, NEARBY:].view(np.int32)
+    near, flip = (code & ~FLIP).ravel().astype(np.int64), code & FLIP
+    slots, x = [], np.zeros(code.shape, np.float32)
     for f in feats:
+        # A context's hash is made once for all choices of a neighbourhood.
         h = np.take(f, row, mode="clip")
         h ^= key
         h *= np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA77)
         h >>= np.uint32(32 - bits)
-        h = np.repeat(h.astype(np.int64), size)
+        h = np.repeat(h.astype(np.int64), NEARBY)
         h += near
         h &= mask
-        slots.append(h)
-        z += np.take(weights, h, mode="clip")
-    x += z * sign
-    small = np.exp(-np.abs(x))
+        if sums is not None:
+            slots.append(h)
+        if weights is not None:
+            x += taken(weights, h).reshape(x.shape)
+    x.view(np.int32)[...] ^= flip
+    x += found[:, :NEARBY]
+    less = np.minimum(x, 0)
+    one = 1 + np.exp(-np.abs(x))
     if sums is not None:
-        other = np.where(x >= 0, small, 1) / (1 + small)  # the probability of the other half
-        step = np.empty(len(x), np.complex64)
-        step.real, step.imag = other * sign, other * (1 - other)
+        other = np.exp(less - x) / one  # the probability of the other half
+        step = np.empty(x.shape, np.complex64)
+        step.imag = other * (1 - other)
+        other.view(np.int32)[...] ^= flip
+        step.real = other
         for h in slots:
-            np.add.at(sums, h, step)
-    logs = np.minimum(x, 0).astype(np.float64) - np.log(1 + small.astype(np.float64))
-    out, some = np.zeros(len(n)), n > 0
-    out[some] = np.add.reduceat(logs, (np.cumsum(n) - n)[some])
-    return out
+            np.add.at(sums, h, step.ravel())
+        return None
+    # Factors of a row are at most two each, so one logarithm does.
+    logs = -np.log(np.multiply.reduce([one[:, k] for k in range(NEARBY)]))
+    for k in range(NEARBY):
+        logs += less[:, k]
+    return np.add.reduceat(logs, np.cumsum(n) - n, dtype=np.float64)
 
 
 def table_bits(n: int) -> int:
@@ -284,9 +329,10 @@ def table_bits(n: int) -> int:
 ENCODED = "rid long, doc_id long, fold int, held_out boolean, ids array<int>, known long, base double, tail array<long>"
 
 
-def encode(documents: DataFrame, head) -> DataFrame:
+def encode(documents: DataFrame, head, packed: bool = False) -> DataFrame:
     """Of each document the places of its tokens, the base sums over its head tokens, and the
-    list of its others."""
+    list of its others.  With ``packed``, places are bytes of four each, which Spark stores and
+    passes on whole and not number by number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -304,22 +350,38 @@ def encode(documents: DataFrame, head) -> DataFrame:
                 sums = lambda x: np.add.reduceat(x, bounds[:-1]) if len(x) else np.zeros(0)
                 rest, n = np.flatnonzero(~hit), piece.num_rows
                 lists = lambda to, x: pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(x))
+                held = lists(bounds, ids.astype("<i4"))
+                if packed:
+                    held = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((4 * bounds).astype(np.int32)), held.values.buffers()[1]])
                 yield pa.record_batch({
-                    "rid": pa.array(rid + np.arange(n)), **{c: piece.column(c) for c in ("doc_id", "fold", "held_out")}, "ids": lists(bounds, ids.astype(np.int32)),
+                    "rid": pa.array(rid + np.arange(n)), **{c: piece.column(c) for c in ("doc_id", "fold", "held_out")}, "ids": held,
                     "known": pa.array(sums(hit.astype(np.int64)).astype(np.int64)), "base": pa.array(sums(base)), "tail": lists(np.searchsorted(rest, bounds), tokens[rest])})
                 rid += n
 
-    return _rows(documents).select("doc_id", "fold", "held_out", "text").mapInArrow(lean(run), ENCODED)
+    return _rows(documents).select("doc_id", "fold", "held_out", "text").mapInArrow(lean(run), ENCODED.replace("array<int>", "binary") if packed else ENCODED)
+
+
+def _places(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where the places of each text start, one more for the end, and the places of all, from
+    lists or bytes."""
+    if pa.types.is_list(column.type):
+        return column.offsets.to_numpy().astype(np.int64), column.values.to_numpy()
+    if not len(column):
+        return np.zeros(1, np.int64), np.zeros(0, np.int32)
+    wide = column.cast(pa.large_binary())
+    _, offsets, data = wide.buffers()
+    at = np.frombuffer(offsets, np.int64)[wide.offset: wide.offset + len(wide) + 1] // 4
+    return at, np.frombuffer(data, "<i4", int(at[-1]))
 
 
 def _blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
     """The place in the column of the first text, places and bounds of about ``BLOCK`` tokens
     of whole texts or a part of a long one, and their features."""
-    offsets, ids = column.offsets.to_numpy().astype(np.int64), column.values.to_numpy().astype(np.int64)
+    offsets, ids = _places(column)
     row = 0
     while row < len(column):
         to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK, side="right")) - 1)
-        some, bounds = ids[offsets[row]: offsets[to]], offsets[row: to + 1] - offsets[row]
+        some, bounds = ids[offsets[row]: offsets[to]].astype(np.int64), offsets[row: to + 1] - offsets[row]
         feats = features(some, bounds)
         if to > row + 1 or len(some) <= 2 * BLOCK:
             yield row, some, bounds, feats
@@ -369,10 +431,12 @@ def train(encoded: DataFrame, v: Vocabulary, head, rounds: int = ROUNDS) -> tupl
     span = 1 << min(RANGE_BITS, bits)
     weights, folder = np.zeros(1 << bits, np.float16), shared_dir(spark, "maxent")
     for k in range(rounds):
-        write_file(now := f"{folder}/{k}.weights", [weights.astype("<f2").tobytes()])
+        now = f"{folder}/{k}.weights" if weights.any() else None  # all are zero at first
+        if now:
+            write_file(now, [weights.astype("<f2").tobytes()])
 
         def gradient(batches: Iterator[pa.RecordBatch], now=now, to=f"{folder}/{k}.sums") -> Iterator[pa.RecordBatch]:
-            sums, table, any_rows = np.zeros(1 << bits, np.complex64), read_weights(now), False
+            sums, table, any_rows = np.zeros(1 << bits, np.complex64), read_weights(now) if now else None, False
             for batch in batches:
                 for _, some, _, feats in _blocks(batch.column("ids")):
                     walk(head.value, table, bits, some, feats, sums)
@@ -413,7 +477,8 @@ def train(encoded: DataFrame, v: Vocabulary, head, rounds: int = ROUNDS) -> tupl
             for at, move in zip(moves.column("at").to_pylist(), moves.column("move")):
                 weights[at: at + span] += np.frombuffer(move.as_buffer(), "<f2")
             remove(spark, f"{folder}/{k}.sums")
-        remove(spark, now)
+        if now:
+            remove(spark, now)
     write_file(last := f"{folder}/{rounds}.weights", [weights.astype("<f2").tobytes()])
     return last, bits
 
@@ -431,7 +496,7 @@ def _score(encoded: DataFrame, head, weights: str, bits: int) -> DataFrame:
             for row, some, bounds, feats in _blocks(batch.column("ids")):
                 logs = walk(head.value, table, bits, some, feats)
                 score[row: row + len(bounds) - 1] += np.add.reduceat(logs, bounds[:-1]) / math.log(10)
-            n = np.diff(batch.column("ids").offsets.to_numpy()).astype(np.int64)
+            n = np.diff(_places(batch.column("ids"))[0])
             kept = {c: batch.column(c) for c in ("rid", "doc_id", "held_out", "known", "base", "tail")}
             yield pa.record_batch([kept["rid"], kept["doc_id"], kept["held_out"], pa.array(n), kept["known"], kept["base"], pa.array(score), kept["tail"]], names=["rid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail"])
 
@@ -443,7 +508,7 @@ def score_documents(documents: DataFrame, most: int = HEAD, rounds: int = ROUNDS
     counts = cut(count_tokens(documents), "token-counts")
     found = vocabulary(counts, most)
     head = documents.sparkSession.sparkContext.broadcast(found)
-    encoded = cut(encode(documents, head), "encoded")
+    encoded = cut(encode(documents, head, packed=True), "encoded")
     weights, bits = train(encoded, found, head, rounds)
     return _with_tail(cut(_score(encoded, head, weights, bits), "head-scores"), counts, found)
 

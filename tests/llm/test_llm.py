@@ -398,6 +398,66 @@ def test_a_cut_trims_the_driver(spark, monkeypatch):
     assert storage.cut(spark.range(3), "trimmed").count() == 3 and said == [True]
 
 
+def plain_walk(paths, weights, bits, places, feats, sums):
+    """The walk over choices laid out one after the other."""
+    first, key, near, sign, bias = paths
+    n = first[places + 1] - first[places]
+    at, row = piece_table.ranges(first[places], n), np.repeat(np.arange(len(n)), n)
+    slots = []
+    for f in feats:
+        h = (f[row] ^ key[at]) * np.uint32(0x9E3779B1)
+        h = ((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
+        slots.append((h.astype(np.int64) + near[at]) & ((1 << bits) - 1))
+    x = bias[at] + sign[at] * sum(weights[s].astype(np.float32) for s in slots)
+    other = 1 / (1 + np.exp(x))
+    for s in slots:
+        np.add.at(sums, s, (other * sign[at] + 1j * other * (1 - other)).astype(np.complex64))
+    return np.add.reduceat(-np.logaddexp(0, -x.astype(float)), np.cumsum(n) - n)
+
+
+def test_maxent_walks_rows_of_choices_with_fewer_lookups(monkeypatch):
+    """The same numbers as choice by choice.  Lookups cost most of the CPU time: 8 a choice
+    before, and in the first round as in others."""
+    rng = np.random.default_rng(1)
+    counts = rng.zipf(1.3, 30_000).clip(1, 10 ** 6).astype(float)
+    paths = maxent_lm.choices(counts)
+    v = maxent_lm.Vocabulary(None, None, None, *maxent_lm.laid_out(*paths), 2, 0, 0, 0, 0)
+    places = rng.choice(len(counts), 8192, p=counts / counts.sum())
+    n = int(np.diff(paths[0])[places].sum())
+    feats = [rng.integers(0, 2 ** 32, 8192).astype(np.uint32) for _ in range(maxent_lm.FEATURES)]
+    weights = np.clip(rng.normal(size=1 << 16), -6, 6).astype(np.float16)
+    weights[::5] = 0
+    looked, take = [], np.take
+    monkeypatch.setattr(np, "take", lambda a, at, *rest, **more: looked.append(np.size(at)) or take(a, at, *rest, **more))
+    for table, most in ((weights, 7.5), (None, 2.5)):
+        sums, want_sums = np.zeros(1 << 16, np.complex64), np.zeros(1 << 16, np.complex64)
+        want = plain_walk(paths, weights if table is not None else np.zeros_like(weights), 16, places, feats, want_sums)
+        looked.clear()
+        assert np.allclose(maxent_lm.walk(v, table, 16, places, feats), want, rtol=1e-5, atol=1e-5) and sum(looked) < most * n
+        assert maxent_lm.walk(v, table, 16, places, feats, sums) is None and np.allclose(sums, want_sums, rtol=1e-4, atol=1e-4)
+
+
+def test_maxent_paths_stay_in_few_cache_lines():
+    first, key, near, *_ = maxent_lm.choices(np.random.default_rng(2).zipf(1.5, 5000).clip(1, 10 ** 6).astype(float))
+    assert sorted(maxent_lm.ORDER) == list(range(2 ** maxent_lm.NEARBY - 1))
+    for a, b in zip(first, first[1:]):
+        for at in range(a, b, maxent_lm.NEARBY):
+            part = near[at: min(b, at + maxent_lm.NEARBY)].astype(int).tolist()
+            assert len(set(key[at: at + len(part)])) == 1 and all(other - one in (1, 2) for one, other in zip(part[::2], part[1::2]))
+
+
+def test_maxent_packed_places_are_the_lists(spark, awkward, empty):
+    counts = maxent_lm.count_tokens(awkward)
+    head = spark.sparkContext.broadcast(maxent_lm.vocabulary(counts, 20))
+    lists, packed = (maxent_lm.encode(awkward.coalesce(1), head, packed=p).toArrow().column("ids").combine_chunks() for p in (False, True))
+    assert packed.type == pa.binary() and lists.type == pa.list_(pa.int32()) and len(lists)
+    for one, other in zip(maxent_lm._places(lists), maxent_lm._places(packed), strict=True):
+        assert one.tolist() == other.tolist()
+    part = maxent_lm._places(packed.slice(2, 3))
+    assert [part[1][a:b].tolist() for a, b in zip(part[0], part[0][1:])] == lists.slice(2, 3).to_pylist()
+    assert [x.tolist() for x in maxent_lm._places(packed.slice(0, 0))] == [[0], []]
+
+
 def test_maxent_sums_to_one(spark, documents):
     counts = maxent_lm.count_tokens(documents)
     rng = np.random.default_rng(0)
