@@ -285,7 +285,7 @@ def walk(v: Vocabulary, weights: np.ndarray | None, bits: int, places: np.ndarra
     at, row, mask = ranges(first, n), np.repeat(np.arange(len(n)), n), (1 << bits) - 1
     key, found = np.take(v.key, at, mode="clip"), np.take(v.rows, at, axis=0, mode="clip")
     code = found[:, NEARBY:].view(np.int32)
-    near, flip = (code & ~FLIP).ravel().astype(np.int64), code & FLIP
+    near, flip = code.ravel().astype(np.int64), code & FLIP  # the mask clears a sign bit of slots
     slots, x = [], np.zeros(code.shape, np.float32)
     for f in feats:
         # A context's hash is made once for all choices of a neighbourhood.
@@ -483,7 +483,7 @@ def train(encoded: DataFrame, v: Vocabulary, head, rounds: int = ROUNDS) -> tupl
     return last, bits
 
 
-SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>"
+SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
 
 
 def _score(encoded: DataFrame, head, weights: str, bits: int) -> DataFrame:
@@ -497,10 +497,10 @@ def _score(encoded: DataFrame, head, weights: str, bits: int) -> DataFrame:
                 logs = walk(head.value, table, bits, some, feats)
                 score[row: row + len(bounds) - 1] += np.add.reduceat(logs, bounds[:-1]) / math.log(10)
             n = np.diff(_places(batch.column("ids"))[0])
-            kept = {c: batch.column(c) for c in ("rid", "doc_id", "held_out", "known", "base", "tail")}
-            yield pa.record_batch([kept["rid"], kept["doc_id"], kept["held_out"], pa.array(n), kept["known"], kept["base"], pa.array(score), kept["tail"]], names=["rid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail"])
+            kept = {c: batch.column(c) for c in ("rid", "doc_id", "held_out", "known", "base")}
+            yield pa.record_batch([kept["rid"], kept["doc_id"], kept["held_out"], pa.array(n), kept["known"], kept["base"], pa.array(score)], names=["rid", "doc_id", "held_out", "n_tokens", "known", "base", "score"])
 
-    return encoded.mapInArrow(lean(run), SCORED)
+    return encoded.select("rid", "doc_id", "held_out", "ids", "known", "base").mapInArrow(lean(run), SCORED)
 
 
 def score_documents(documents: DataFrame, most: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
@@ -510,7 +510,7 @@ def score_documents(documents: DataFrame, most: int = HEAD, rounds: int = ROUNDS
     head = documents.sparkSession.sparkContext.broadcast(found)
     encoded = cut(encode(documents, head, packed=True), "encoded")
     weights, bits = train(encoded, found, head, rounds)
-    return _with_tail(cut(_score(encoded, head, weights, bits), "head-scores"), counts, found)
+    return _with_tail(cut(_score(encoded, head, weights, bits), "head-scores"), encoded, counts, found)
 
 
 def base_scores(documents: DataFrame, most: int = HEAD) -> DataFrame:
@@ -519,12 +519,13 @@ def base_scores(documents: DataFrame, most: int = HEAD) -> DataFrame:
     found = vocabulary(counts, most)
     encoded = encode(documents, documents.sparkSession.sparkContext.broadcast(found))
     docs = encoded.select("rid", "doc_id", "held_out", F.size("ids").cast("long").alias("n_tokens"), "known", "base", F.lit(0.0).alias("score"), "tail")
-    return _with_tail(cut(docs, "head-scores"), counts, found).drop("score")
+    docs = cut(docs, "head-scores")
+    return _with_tail(docs.drop("tail"), docs, counts, found).drop("score")
 
 
-def _with_tail(docs: DataFrame, counts: DataFrame, found: Vocabulary) -> DataFrame:
+def _with_tail(docs: DataFrame, tails: DataFrame, counts: DataFrame, found: Vocabulary) -> DataFrame:
     """Documents with the sums over their tail words added to those over their head."""
-    tail = docs.select("rid", F.explode("tail").alias("h"))
+    tail = tails.select("rid", F.explode("tail").alias("h"))
     rare = counts.where((F.col("c") < found.least) & (F.col("h") != END_HASH)).select("h", "c")
     seen = tail.join(rare.hint("merge"), "h", "left")
     z = math.log10(found.n + 0.1 * (found.v + 1))
@@ -532,7 +533,7 @@ def _with_tail(docs: DataFrame, counts: DataFrame, found: Vocabulary) -> DataFra
     inside = F.when(F.col("c").isNotNull(), F.log10((F.col("c") - DISCOUNT) / float(max(1, found.tail_n)))).otherwise(F.lit(unknown))
     sums = seen.groupBy("rid").agg(
         F.count("c").alias("more"), F.sum(F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.1) - F.lit(z)).alias("tail_base"), F.sum(inside).alias("tail_score"))
-    out = docs.drop("tail").join(sums.hint("merge"), "rid", "left")
+    out = docs.join(sums.hint("merge"), "rid", "left")
     zero = F.lit(0.0)
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(found.n).cast("long").alias("train_tokens"),

@@ -446,6 +446,13 @@ def test_maxent_paths_stay_in_few_cache_lines():
             assert len(set(key[at: at + len(part)])) == 1 and all(other - one in (1, 2) for one, other in zip(part[::2], part[1::2]))
 
 
+def test_maxent_stores_tail_words_once(spark, awkward, monkeypatch):
+    stored = []
+    monkeypatch.setattr(maxent_lm, "cut", lambda df, label: stored.append(df.columns) or storage.cut(df, label))
+    assert maxent_lm.score_documents(awkward, most=20).count() == len(AWKWARD)
+    assert sum("tail" in columns for columns in stored) == 1
+
+
 def test_maxent_packed_places_are_the_lists(spark, awkward, empty):
     counts = maxent_lm.count_tokens(awkward)
     head = spark.sparkContext.broadcast(maxent_lm.vocabulary(counts, 20))
